@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, packing, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85)
 
 
-QUERIES = {"op2_minhash": op2_minhash}
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.new_path(spark, "tokens")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path)
+    return tokenfile.digests(spark, path)
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_token_files": op3_token_files}
 ORACLE_SQL: dict[str, str] = {}
