@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, packing, shared, tokenfile
+from . import licenses, minhash, packing, secrets, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +28,21 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_token_files": op3_token_files}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_samples(spark)))
+    base = F.filter("spans", lambda x: x["k"] < 3)
+
+    def n(k: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
+
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.said(base), 256).alias("base_sha256"), secrets.said(F.col("spans")).alias("spans"), n(3).alias("n_markov"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")}).drop("detections")
+
+
+QUERIES |= {"op5_secrets": op5_secrets, "op10_licenses": op10_licenses}
