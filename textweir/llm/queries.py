@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, packing, posindex, secrets, shared, tokenfile
+from . import bigru, bytecnn, licenses, minhash, packing, posindex, secrets, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +54,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op9_decontamination": op9_decontamination}
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bigru.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES |= {"op6_quality": op6_quality, "op7_toxicity": op7_toxicity}
