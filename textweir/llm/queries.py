@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bigru, bytecnn, licenses, minhash, packing, posindex, secrets, shared, tokenfile
+from . import bigru, bytecnn, licenses, minhash, packing, posindex, prefixfree, secrets, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +65,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_quality": op6_quality, "op7_toxicity": op7_toxicity}
+
+
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixfree.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+QUERIES |= {"op8_repeats": op8_repeats}
