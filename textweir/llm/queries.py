@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bigru, bytecnn, licenses, minhash, packing, posindex, prefixfree, secrets, shared, tokenfile
+from . import bigru, bytecnn, licenses, minhash, packing, pivots, posindex, prefixfree, secrets, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,3 +72,10 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_repeats": op8_repeats}
+
+
+def op4_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op4_pivots": op4_pivots}
