@@ -155,6 +155,19 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, m: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, whose texts score at least the threshold; one pass, no shuffle."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                text = pa.RecordBatch.from_arrays([b.column(place)], ["text"])
+                yield b.filter(pa.array(np.concatenate([scores(x.column(0), m) for x in H.slices(iter([text]), "text")]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, by a model trained on the labelled rows that are not held out."""
     out = score(docs, train(*sample(docs, labels, "quality")))

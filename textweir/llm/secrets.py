@@ -108,8 +108,11 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
 
     k is the place of the kind in KINDS. Positions are in code points, end exclusive.
     """
+    return found(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model, threshold)
+
+
+def found(t: DataFrame, model: list[float], threshold: float) -> DataFrame:
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
-    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     assign = F.filter(matches(F.col("text"), F.lit(ASSIGN)), lambda x: x.isNotNull())
     assign = F.zip_with(assign, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1)), lambda x, v: F.when(F.length(v) >= 6, x))
     none = F.array().cast("array<struct<s:int,e:int>>")
@@ -132,6 +135,17 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
     return t.select("doc_id", "text", F.array_sort(every).alias("spans"))
 
 
+def redact(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, mark: str = "[secret]") -> DataFrame:
+    """All rows with all their columns, every span of the text replaced by the mark; n_chars, if there, counts anew."""
+    t = docs.select(F.struct(*docs.columns).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    t = found(t, model, threshold)
+    some = F.size("spans") > 0
+    new = {"text": redacted(F.col("text"), F.col("spans"), mark)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
+    return t.select(*[F.when(some, new[c]).otherwise(F.col("doc_id")[c]).alias(c) if c in new else F.col("doc_id")[c].alias(c) for c in docs.columns])
+
+
 def said(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
