@@ -63,7 +63,7 @@ def test_gradients(module):
         raw = r.normal(0, 1, (50, module.INPUTS)).astype(np.float32)
         rows, mask = r.integers(0, 50, (3, module.WINDOW)), np.ones((module.WINDOW, 3), dtype=bool)
         mask[20:, 1] = False
-        grad = lambda: module.gradients(raw, rows, mask, y, w, m)
+        grad = lambda: module.gradients(raw[rows.T], mask, y, w, m)
         out = lambda: module.window_logits(raw @ m["x"] + m["xb"], rows, mask, m)
         keys = ("x", "xb", "u0", "u1", "v", "o")
 

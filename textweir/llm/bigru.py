@@ -165,18 +165,56 @@ class Scorer:
         return sigmoid(np.maximum.reduceat(out, own[:-1]).astype(np.float64)) if len(col) else np.zeros(0)
 
 
-def log_odds(buckets: np.ndarray, doc: np.ndarray, y: np.ndarray, least: int = 3) -> np.ndarray:
-    """Learned weights of hashed features from the labelled documents that hold them; 0 where fewer than `least` do."""
-    seen = np.unique(doc * TABLE + buckets)
-    n = [np.bincount(seen[y[seen // TABLE] == k] % TABLE, minlength=TABLE) for k in (0, 1)]
-    total = [(y == k).sum() for k in (0, 1)]
+def feature_counts(parts: list[pa.Array], labels: list[np.ndarray], of) -> np.ndarray:
+    """(2, TABLE): labelled documents of each class that hold a hashed feature; of(words, rows) gives a word's features."""
+    n = np.zeros((2, TABLE), np.int64)
+    for texts, y in zip(parts, labels, strict=True):
+        w = Words(*H.text_bytes(texts))
+        doc = np.repeat(np.arange(len(y)), np.diff(w.first))
+        for a in range(0, len(y), 64):
+            here = slice(w.first[a], w.first[min(a + 64, len(y))])
+            pair = np.unique(doc[here] * len(w.hash) + w.inverse[here])
+            d, word = pair // max(1, len(w.hash)), pair % max(1, len(w.hash))
+            own, back = np.unique(word, return_inverse=True)
+            b, first = of(w, own)
+            size = np.diff(first)[back]
+            at = np.repeat(first[back] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            seen = np.unique(np.repeat(d, size) * TABLE + b[at])
+            for k in (0, 1):
+                n[k] += np.bincount(seen[y[seen // TABLE] == k] % TABLE, minlength=TABLE)
+    return n
+
+
+def log_odds(n: np.ndarray, total: list[int], least: int = 3) -> np.ndarray:
+    """Learned weights of hashed features: log-odds less their standard error; 0 where fewer than `least` documents hold one."""
     out = np.log((n[1] + 0.5) / (total[1] + 1)) - np.log((n[0] + 0.5) / (total[0] + 1))
-    out = np.sign(out) * np.maximum(0, np.abs(out) - np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5)))  # less its standard error
+    out = np.sign(out) * np.maximum(0, np.abs(out) - np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5)))
     return np.where(n[0] + n[1] >= least, np.clip(out, -4, 4) / 2, 0).astype(np.float32)
 
 
+class Part:
+    """The windows of some labelled texts: inputs of distinct words, and each window's words."""
+
+    def __init__(self, texts: pa.Array, m: Model) -> None:
+        w = Words(*H.text_bytes(texts))
+        self.raw = np.concatenate([word_inputs(w, m, np.arange(len(w.hash))), np.zeros((1, INPUTS), np.float32)])
+        start, self.own = cut(w.first)
+        place = start[:, None] + np.arange(WINDOW)
+        self.inside = place < np.repeat(w.first[1:], np.diff(self.own))[:, None]
+        words = w.inverse.astype(np.int32) if len(w.inverse) else np.zeros(1, np.int32)
+        self.rows = np.where(self.inside, words[np.minimum(place, len(words) - 1)], np.int32(len(w.hash)))
+
+    def first_guess(self) -> np.ndarray:
+        """How high a window's words weigh, before the network knows better."""
+        return np.where(self.inside, (self.raw[:, 0] + self.raw[:, 1])[self.rows], -9).max(axis=1)
+
+    def logits(self, m: Model) -> np.ndarray:
+        x = self.raw @ m["x"] + m["xb"]
+        return np.concatenate([window_logits(x, self.rows[k : k + 4096], self.inside[k : k + 4096].T, m) for k in range(0, len(self.rows), 4096)])
+
+
 def train(texts: pa.Array, y: np.ndarray, w: np.ndarray, seed: int = 5) -> Model:
-    """A model from texts, labels 0/1 and weights."""
+    """A model from texts, labels 0/1 and weights; works through slices of the texts, so memory stays small."""
     r = np.random.default_rng(seed)
     m: Model = {
         "x": r.normal(0, 0.4, (INPUTS, 6 * STATE)).astype(np.float32),
@@ -191,42 +229,41 @@ def train(texts: pa.Array, y: np.ndarray, w: np.ndarray, seed: int = 5) -> Model
     }
     if not len(y):
         return m
-    words = Words(*H.text_bytes(texts))
-    doc = np.repeat(np.arange(len(y)), np.diff(words.first))
-    pair = np.unique(doc * len(words.hash) + words.inverse)
-    doc, word = pair // len(words.hash), pair % len(words.hash)
-    m["word"] = log_odds((words.hash[word] >> H.U(46)).astype(np.int64), doc, y)
-    g, first = words.grams(np.arange(len(words.hash)))
-    size = np.diff(first)[word]
-    at = np.repeat(first[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    m["gram"] = log_odds(g[at], np.repeat(doc, size), y)
-    raw = np.concatenate([word_inputs(words, m, np.arange(len(words.hash))), np.zeros((1, INPUTS), np.float32)])
-    start, own = cut(words.first)
-    end = np.repeat(words.first[1:], np.diff(own))
-    place = np.minimum(start[:, None] + np.arange(WINDOW), max(0, len(words.inverse) - 1))
-    inside = start[:, None] + np.arange(WINDOW) < end[:, None]
-    rows = np.where(inside, words.inverse[place] if len(words.inverse) else 0, len(words.hash))
-    best = np.where(inside, raw[rows][..., 1] + raw[rows][..., 0], -9).max(axis=1)  # before the network knows better
+    cols = [b.column(0) for b in H.slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", 1 << 20)]
+    ends = np.cumsum([len(c) for c in cols])
+    labels = [y[e - len(c) : e] for c, e in zip(cols, ends.tolist(), strict=True)]
+    total = [int((y == k).sum()) for k in (0, 1)]
+    m["word"] = log_odds(feature_counts(cols, labels, lambda w, rows: ((w.hash[rows] >> H.U(46)).astype(np.int64), np.arange(len(rows) + 1))), total)
+    m["gram"] = log_odds(feature_counts(cols, labels, lambda w, rows: w.grams(rows)), total)
+    parts = [Part(c, m) for c in cols]
+    best = [p.first_guess() for p in parts]
     adam = Adam({k: m[k] for k in ("x", "xb", "u0", "u1", "v", "o", "ob")}, 0.01)
-    epochs = max(EPOCHS, -(-STEPS * BATCH // (len(y) + int((y == 0).sum()))))
+    epochs = max(EPOCHS, -(-STEPS * BATCH // (len(y) + total[0])))
+    clean = np.flatnonzero(y == 0)
+    label, weight = np.concatenate([y, y[clean]]), np.concatenate([w, w[clean]])
     for epoch in range(epochs):
         if epoch in (epochs // 3, 2 * epochs // 3):
-            best, *_ = Scorer(m).windows(texts)
-        top = np.array([a + int(np.argmax(best[a:b])) for a, b in zip(own[:-1], own[1:], strict=True)])
-        other = own[:-1] + (r.random(len(y)) * np.diff(own)).astype(np.int64)
-        clean = np.flatnonzero(y == 0)
-        win = np.concatenate([top, other[clean]])
-        label, weight = np.concatenate([y, y[clean]]), np.concatenate([w, w[clean]]) * 1.0
+            best = [p.logits(m) for p in parts]
+        inputs, masks = [], []
+        for of in ("best", "any"):
+            for p, score, own_y in zip(parts, best, labels, strict=True):
+                if of == "best":
+                    win = np.array([a + int(np.argmax(score[a:b])) for a, b in zip(p.own[:-1], p.own[1:], strict=True)])
+                else:
+                    win = (p.own[:-1] + (r.random(len(own_y)) * np.diff(p.own)).astype(np.int64))[own_y == 0]
+                inputs.append(p.raw[p.rows[win]])
+                masks.append(p.inside[win])
+        e, mask = np.concatenate(inputs), np.concatenate(masks)
         adam.rate = 0.012 * (1 - epoch / epochs) + 0.001
-        order = r.permutation(len(win))
+        order = r.permutation(len(e))
         for k in range(0, len(order), BATCH):
             b = order[k : k + BATCH]
-            adam.step(gradients(raw, rows[win[b]], inside[win[b]].T, label[b], weight[b], m))
+            adam.step(gradients(e[b].transpose(1, 0, 2), mask[b].T, label[b], weight[b], m))
     return m
 
 
-def gradients(raw: np.ndarray, rows: np.ndarray, mask: np.ndarray, y: np.ndarray, w: np.ndarray, m: Model) -> Model:
-    e = raw[rows.T]
+def gradients(e: np.ndarray, mask: np.ndarray, y: np.ndarray, w: np.ndarray, m: Model) -> Model:
+    """Of the weighted loss of windows with inputs e (WINDOW, n, INPUTS)."""
     x = e @ m["x"] + m["xb"]
     states, kept = run_windows(x, mask, m)
     a, ctx = attention(states, mask, m)
