@@ -43,7 +43,6 @@ PLACE = np.dtype([("doc", "<i8"), ("row", "<u4"), ("at", "<u4"), ("n", "<u2")])
 #: A group of up to 16 windows of a phrase: k, distance of its first window from the trigger, place, windows, then their hashes.
 RUN = np.dtype([("k", "<u4"), ("d", "u1"), ("doc", "<i8"), ("row", "<u4"), ("at", "<u4"), ("n", "u1")])
 NULL = np.iinfo(np.int64).min
-PARTS = 2
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -105,7 +104,8 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 
 def dealt(df: DataFrame, n: int) -> DataFrame:
-    return df.repartition(n, "part").sortWithinPartitions("part", "kind")
+    """Each part goes to the task of its number."""
+    return df.repartitionById(n, F.col("part")).sortWithinPartitions("part", "kind")
 
 
 def ids(col: pa.Array) -> np.ndarray:
@@ -191,7 +191,7 @@ def phrase_blocks(docs: DataFrame, n: int) -> DataFrame:
             out += [(p, 1, pack(*columns(y))) for p, y in split(every, (np.concatenate([key, H.mix(witness["k"].astype(H.U))]) % H.U(n)).astype(np.int64))]
             yield batch(out)
 
-    return dealt(texts(docs, n), partitions(docs.sparkSession)).mapInArrow(run, BLOCK)
+    return dealt(texts(docs, n), n).mapInArrow(run, BLOCK)
 
 
 def as_places(x: np.ndarray) -> np.ndarray:
@@ -224,7 +224,7 @@ def dictionary(blocks: DataFrame, n: int) -> DataFrame:
                     out += [(p, kind, pack(*columns(z))) for p, z in split(y, part_of(y["doc"], n))]
             yield batch(out)
 
-    return dealt(blocks, partitions(blocks.sparkSession)).mapInArrow(run, BLOCK)
+    return dealt(blocks, n).mapInArrow(run, BLOCK)
 
 
 def window_blocks(docs: DataFrame, kept: DataFrame, n: int) -> DataFrame:
@@ -286,7 +286,7 @@ def window_blocks(docs: DataFrame, kept: DataFrame, n: int) -> DataFrame:
             yield batch(out)
 
     both = texts(docs, n).unionByName(kept.where("kind = 3"))
-    return dealt(both, partitions(docs.sparkSession)).mapInArrow(run, BLOCK)
+    return dealt(both, n).mapInArrow(run, BLOCK)
 
 
 def compared(blocks: DataFrame, n: int) -> DataFrame:
@@ -321,7 +321,7 @@ def compared(blocks: DataFrame, n: int) -> DataFrame:
             y["doc"], y["row"], y["at"], y["n"] = r["doc"][own[hit[f]]], r["row"][own[hit[f]]], at[hit[f]], np.diff(np.append(f, len(hit)))
             yield batch([(p, 2, pack(*columns(z))) for p, z in split(y, part_of(y["doc"], n))])
 
-    return dealt(blocks, partitions(blocks.sparkSession)).mapInArrow(run, BLOCK)
+    return dealt(blocks, n).mapInArrow(run, BLOCK)
 
 
 def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -355,12 +355,12 @@ def final(docs: DataFrame, repeats: DataFrame, n: int, with_text: bool) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     both = texts(docs, n).unionByName(repeats)
-    return dealt(both, partitions(docs.sparkSession)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return dealt(both, n).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, null unless with_text) of every row."""
-    n = PARTS * partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession)
     first = written(dictionary(phrase_blocks(docs, n), n), "phrases")
     second = written(compared(window_blocks(docs, first, n), n), "windows")
     return final(docs, first.where("kind = 2").unionByName(second), n, with_text)
