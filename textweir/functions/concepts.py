@@ -113,8 +113,7 @@ def annotated(text: Column) -> Column:
     """array<struct<stems, found, bound, extra>> by clause; bound: a trailing pronoun may stand for an instruction."""
 
     def one(clause: Column) -> Column:
-        stems = F.transform(T.words(clause), T.stem)
-        return F.struct(stems.alias("stems"))
+        return F.struct(F.transform(T.words(clause), T.stem).alias("stems"))
 
     def with_found(c: Column) -> Column:
         stems = c["stems"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,11 @@ def strings(items: list[str]) -> Column:
     return F.split(F.lit(SEPARATOR.join(items)), SEPARATOR) if items else F.array().cast("array<string>")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: lambdas otherwise compute what they close over for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def usable(c: Column) -> Column:
     """Text from bytes or text; broken UTF-8 becomes U+FFFD."""
     return F.make_valid_utf8(c)
@@ -28,9 +36,6 @@ def normalize(c: Column) -> Column:
 
 def nfkc(c: Column) -> Column:
     """Compatibility normalisation; Spark has no function for it, so this is one Arrow UDF over non-ASCII text only."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
@@ -81,10 +86,13 @@ def clauses(c: Column) -> Column:
 
 def shingles(c: Column, size: int = 4) -> Column:
     """Distinct character n-grams of the normalised text; a shorter text is its own."""
-    body = normalize(c)
-    n = F.length(body)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), lambda i: F.substring(body, i, F.lit(size)))
-    return F.when(n <= size, F.array(body)).otherwise(F.array_distinct(grams))
+
+    def grams(body: Column) -> Column:
+        n = F.length(body)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), lambda i: F.substring(body, i, F.lit(size)))
+        return F.when(n <= size, F.array(body)).otherwise(F.array_distinct(every))
+
+    return let(normalize(c), grams)
 
 
 def containment(needle: Column, hay: Column) -> Column:

@@ -6,9 +6,11 @@ the text to go on with. certain is false where a rail could not look; that is ne
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,22 +105,21 @@ def similarity(seeds: list[str] = V.SEEDS, least: float = 0.75) -> Rail:
         every = T.strings(sorted({x for s in known for x in s}))
         floor = min(-(-len(s) * 3 // 4) for s in known) if least == 0.75 else 1
 
-        def close(clause: Column) -> Column:
-            own = T.shingles(clause)
-            common = F.array_intersect(own, every)
+        def near(common: Column) -> Column:
             hit = F.lit(False)
             for s in known:
                 hit = hit | (T.containment(T.strings(s), common) >= least)
             return F.when(F.size(common) >= floor, hit).otherwise(False)
 
+        def close(clause: Column) -> Column:
+            return T.let(F.array_intersect(T.shingles(clause), every), near)
+
         return blocked_by(text, F.when(F.exists(T.clauses(text), close), F.array(F.lit("known_attack"))).otherwise(none()))
 
     return Rail("similarity", decide, ("input", "context"))
 
 
 def driver_shingles(s: str, size: int = 4) -> list[str]:
-    import re
-
     body = " ".join(re.findall(r"[^\W_]+", s.lower()))
     return [body] if len(body) <= size else sorted({body[i : i + size] for i in range(len(body) - size + 1)})
 
@@ -141,8 +142,6 @@ def canary(tokens: list[str]) -> Rail:
     """Blocks a text that holds a token, also across characters that are not letters, digits or hyphens."""
 
     def decide(text: Column, _: dict) -> Column:
-        import re
-
         flat = F.regexp_replace(text, "[^A-Za-z0-9-]", "")
         hit = F.lit(False)
         for t in tokens:
@@ -193,10 +192,6 @@ def personal_data() -> Rail:
 
 
 def redact_personal():
-    import re
-
-    import pandas as pd
-
     shapes = {k: re.compile(p, re.A) for k, p in V.PERSONAL_PATTERNS.items()}
     host, remote, stand_in = (re.compile(p, re.A) for p in (V.HOST_COMMANDS, V.REMOTE_PATH, V.PLACEHOLDER_USERS))
 
@@ -262,8 +257,7 @@ def language() -> Rail:
 
     def decide(text: Column, _: dict) -> Column:
         def unread(c: Column) -> Column:
-            w = T.words(c)
-            return (F.size(w) >= 24) & (T.function_word_language(w) == "unknown")
+            return T.let(T.words(c), lambda w: F.when(F.size(w) >= 24, T.function_word_language(w) == "unknown").otherwise(False))
 
         known = ~unread(text) & ~F.exists(T.clauses(text), unread)
         return verdict("passed", text, none(), known)
