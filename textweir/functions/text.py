@@ -109,7 +109,7 @@ def function_word_language(tokens: Column) -> Column:
 
     def scored(code: str, own: list[str]) -> Column:
         hits = F.size(F.array_intersect(strings(own), tokens))
-        share = F.size(F.filter(tokens, lambda t: t.isin(*own))) / F.size(tokens)
+        share = F.coalesce(F.try_divide(F.size(F.filter(tokens, lambda t: t.isin(*own))), F.size(tokens)), F.lit(0.0))
         return F.struct(hits.alias("hits"), share.alias("share"), F.lit(code).alias("code"))
 
     best = None

@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators.rails import Rail, none
 
 STATE = "_state"
 
 
+def folded(r: Rail, s: Column) -> Callable[[Column], Column]:
+    """The state after a rail's verdict v; null where the rail did not look."""
+
+    def step(v: Column) -> Column:
+        changed = (v["status"] == "modified") & (v["content"] != s["content"])
+        doubt = v.isNotNull() & ~v["certain"]
+        new = F.struct(
+            v["content"].alias("content"),
+            F.when(v["status"] == "blocked", F.lit(r.name)).alias("rail"),
+            F.when(v["status"] == "blocked", v["categories"]).otherwise(none()).alias("categories"),
+            F.when(doubt & (s["unsure"].isNull() | ~s["real"] & F.lit(not r.placeholder)), F.lit(r.name)).otherwise(s["unsure"]).alias("unsure"),
+            (s["real"] | doubt & F.lit(not r.placeholder)).alias("real"),
+            F.when(changed, F.concat(s["rewritten_by"], F.array(F.lit(r.name)))).otherwise(s["rewritten_by"]).alias("rewritten_by"),
+            F.when(changed, F.array_union(s["changes"], v["categories"])).otherwise(s["changes"]).alias("changes"),
+        )
+        return F.when(v.isNotNull(), new).otherwise(s)
+
+    return step
+
+
 @dataclass(frozen=True)
 class Engine:
     """Rails run in order; the first block stops, rewrites thread on, uncertainty stays."""
@@ -29,26 +51,9 @@ class Engine:
         out = df.withColumn(STATE, first)
         for r in rails:
             s = F.col(STATE)
-            v = F.col("_seen")
             # a blocked row is not looked at again: CASE branches are lazy in built-in expressions
-            out = out.withColumn("_seen", F.when(s["rail"].isNull() & s["content"].isNotNull(), r.decide(s["content"], ctx)))
-            changed = (v["status"] == "modified") & (v["content"] != s["content"])
-            doubt = v.isNotNull() & ~v["certain"]
-            out = out.withColumn(
-                STATE,
-                F.when(
-                    v.isNotNull(),
-                    F.struct(
-                        v["content"].alias("content"),
-                        F.when(v["status"] == "blocked", F.lit(r.name)).alias("rail"),
-                        F.when(v["status"] == "blocked", v["categories"]).otherwise(none()).alias("categories"),
-                        F.when(doubt & (s["unsure"].isNull() | ~s["real"] & F.lit(not r.placeholder)), F.lit(r.name)).otherwise(s["unsure"]).alias("unsure"),
-                        (s["real"] | doubt & F.lit(not r.placeholder)).alias("real"),
-                        F.when(changed, F.concat(s["rewritten_by"], F.array(F.lit(r.name)))).otherwise(s["rewritten_by"]).alias("rewritten_by"),
-                        F.when(changed, F.array_union(s["changes"], v["categories"])).otherwise(s["changes"]).alias("changes"),
-                    ),
-                ).otherwise(s),
-            ).drop("_seen")
+            seen = F.when(s["rail"].isNull() & s["content"].isNotNull(), r.decide(s["content"], ctx))
+            out = out.withColumn(STATE, T.let(seen, folded(r, s)))
         s = F.col(STATE)
         modified = F.size(s["rewritten_by"]) > 0
         status = F.when(s["rail"].isNotNull(), "blocked").when(modified, "modified").otherwise("passed")
