@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import bytehash as H
 from .labelled import Adam, held_out, sample, sigmoid
+from .shared import small_batches
 
 WIDTH, STRIDE, HALF, FILTERS, HIDDEN, DIMS = 8, 4, 256, 32, 16, 10
 STEPS, EPOCHS, BATCH, MOST_HALVES = 400, 8, 32, 16
@@ -165,6 +166,7 @@ def accepted(docs: DataFrame, m: Model, threshold: float = 0.3) -> DataFrame:
                 text = pa.RecordBatch.from_arrays([b.column(place)], ["text"])
                 yield b.filter(pa.array(np.concatenate([scores(x.column(0), m) for x in H.slices(iter([text]), "text")]) >= threshold))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -80,7 +80,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows again, in slices of at most `most` bytes of text (or one row)."""
     for batch in batches:
         if not batch.num_rows:

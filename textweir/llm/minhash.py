@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bytehash as H
 from .components import components
-from .shared import dropped, partitions, written
+from .shared import partitions, small_batches, written
 
 BLOCK = 144
 MARGIN = 0.19
@@ -207,6 +207,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 6, bits: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; links need den * |A & B| >= num * |A | B|."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions(spark)
     k = bands * rows
     sig = written(signatures(docs, width, bands, rows, bits), "signatures")

@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 
 from . import bytehash as H
 from .encoder import encoder, with_end
+from .shared import small_batches
 
 TIERS = (256, 512, 1024, 2048)
-FLUSH = 4_000_000
+FLUSH = 1_500_000
 #: Pieces are (length, key, start): sorted by length, ties by arrival.
 Piece = tuple[int, int, int]
 
@@ -156,6 +157,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
                 yield flush(False)
         yield flush(True)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long, ids array<int>")
 
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-build_index() writes one row per shard (about 2 MB of texts): the shard's documents and, for every
+build_index() writes one row per shard (about 1 MB of texts): the shard's documents and, for every
 test term, its postings as ascending word positions over the shard. A search never moves texts or
 postings between executors: each shard is intersected where it lies. For a window of test words the
 posting list of its rarest term (by counts over the whole corpus) gives candidate places; the lists
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash as H
-from .shared import new_path
+from .shared import new_path, small_batches
 
 BLOCK_CHARS = 4_000_000
 CHUNK = 2_000_000
@@ -185,6 +185,7 @@ HITS = "row long, doc_id long, n_words long, n_hit long, spans array<struct<s:lo
 def exact_matches(docs: DataFrame, items: DataFrame, width: int = 10, block: int = BLOCK_CHARS) -> DataFrame:
     """search() of all blocks of items (item_id, text) over docs, with the hits of each document united."""
     spark = docs.sparkSession
+    small_batches(spark)
     found: list[DataFrame] = []
     for part in item_blocks(items, block) if docs.columns else ():
         w = Windows(part, width)

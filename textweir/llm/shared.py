@@ -49,3 +49,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batches to at most `rows` rows: texts are long, and workers hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import bytehash as H
 from .encoder import encoder, with_end
-from .shared import partitions
+from .shared import partitions, small_batches
 
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2000
 
@@ -38,6 +38,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, part, np.int32)), pa.array(start + off[:-1]), pa.array(np.diff(off)), lists], ["doc_id", "part", "local_start", "n_tokens", "ids"])
             start += int(off[-1])
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     out = rows.mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, ids array<int>").write
     for k, v in (("block.size", ROW_GROUP), ("page.size", PAGE), ("page.row.count.limit", PAGE_ROWS), ("writer.version", "v2"), ("enable.dictionary", "true"), ("enable.dictionary#doc_id", "false"), ("enable.dictionary#local_start", "false"), ("enable.dictionary#n_tokens", "false")):
