@@ -142,7 +142,7 @@ def decode_base64(c: Column) -> Column:
 def luhn(c: Column) -> Column:
     """13 to 19 digits, separators aside, with a valid check digit."""
     digits = F.regexp_replace(c, r"\D", "")
-    return F.length(digits).between(13, 19) & F.luhn_check(digits)
+    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
 def bsn(c: Column) -> Column:

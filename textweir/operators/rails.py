@@ -20,7 +20,6 @@ from ..functions import values as V
 
 SIDES = ("input", "context", "output")
 VERDICT = "struct<status:string,content:string,categories:array<string>,certain:boolean>"
-NONE = F.lit(None)
 
 
 def none() -> Column:
