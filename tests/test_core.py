@@ -166,6 +166,8 @@ def test_sources(spark, tmp_path):
 
 
 def drain(df, name):
+    # with timeouts pending, empty batches would go on for ever
+    df.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     try:
         assert q.awaitTermination(90)
