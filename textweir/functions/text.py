@@ -139,6 +139,30 @@ def decode_base64(c: Column) -> Column:
     return F.when(F.size(plain) > 0, F.array_join(plain, "\n"))
 
 
+def payloads(c: Column, runs: str, byte) -> Column:
+    """Printable ASCII of at least eight characters that runs of carrier characters spell, by line; byte maps a code point to a byte."""
+
+    def read(run: Column) -> Column:
+        codes = F.transform(F.split(run, ""), lambda x: byte(F.ascii(x)))
+        plain = F.filter(codes, lambda b: (b >= 32) & (b < 127) | b.isin(9, 10))
+        ok = ~F.exists(codes, lambda b: (b < 0) | (b > 127))
+        said = F.array_join(F.transform(plain, lambda b: F.char(b)), "")
+        return F.when(ok & (F.length(said) >= 8) & (F.trim(said) != ""), said)
+
+    found = F.filter(F.transform(F.regexp_extract_all(c, F.lit(f"({runs})"), F.lit(1)), read), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, F.array_join(found, "\n"))
+
+
+def decode_tags(c: Column) -> Column:
+    """What characters of the tag block spell."""
+    return payloads(c, V.TAG_RUN, lambda p: p - 0xE0000)
+
+
+def decode_selectors(c: Column) -> Column:
+    """What variation selectors spell: the first sixteen, then the supplement."""
+    return payloads(c, V.SELECTOR_PAYLOAD, lambda p: F.when(p < 0xE0100, p - 0xFE00).otherwise(p - 0xE0100 + 16))
+
+
 def luhn(c: Column) -> Column:
     """13 to 19 digits, separators aside, with a valid check digit."""
     digits = F.regexp_replace(c, r"\D", "")

@@ -157,6 +157,8 @@ INJECTIONS = [
 # fixed values: invisible characters, in Java and RE2 syntax
 INVISIBLE = r"[\x{08}\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FEFF}\x{FFFD}\x{E0000}-\x{E007F}]"
 SELECTOR_RUN = r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]{2,}"
+TAG_RUN = r"[\x{E0000}-\x{E007F}]{4,}"
+SELECTOR_PAYLOAD = r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]{4,}"
 BASE64_RUN = r"[A-Za-z0-9+/]{24,}={0,2}"
 
 # fixed values: evidence, counts of (rail, attacks caught, attacks, benign flagged, benign) by side

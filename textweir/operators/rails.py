@@ -300,9 +300,9 @@ def hidden(rails: list[Rail]) -> Rail:
 
 
 def encoded_views(text: Column) -> Column:
-    """Decodings of the text that differ from it: scrubbed, rot13, base64."""
+    """Decodings of the text that differ from it; tags and selectors are read from the raw text, the others from the scrubbed."""
     bare = T.scrub(text)
-    made = {"invisible": F.when(bare != text, bare), "rot13": T.rot13(bare), "base64": T.decode_base64(bare)}
+    made = {"invisible": F.when(bare != text, bare), "tags": T.decode_tags(text), "selectors": T.decode_selectors(text), "rot13": T.rot13(bare), "base64": T.decode_base64(bare)}
     every = F.array(*[F.struct(F.lit(k).alias("carrier"), v.alias("span")) for k, v in made.items()])
     return F.filter(every, lambda x: x["span"].isNotNull() & (x["span"] != text))
 
