@@ -34,7 +34,7 @@ def verdict(status: Column | str, content: Column, categories: Column | None = N
 
 def blocked_by(text: Column, categories: Column) -> Column:
     """Blocked where there are categories."""
-    return verdict(F.when(F.size(categories) > 0, "blocked").otherwise("passed"), text, categories)
+    return T.let(categories, lambda c: verdict(F.when(F.size(c) > 0, "blocked").otherwise("passed"), text, c))
 
 
 def rewritten(text: Column, new: Column, categories: Column) -> Column:
