@@ -104,6 +104,17 @@ def test_rules():
     assert all(re.compile(x["regex"].replace("(?<!licen[cs]e)", "")) for x in r)
 
 
+UNGATED = {
+    "All rights reserved.": "all-rights-reserved", "Distributed under the MIT terms": "mit", "Available under Creative Commons Attribution 4.0": "cc-by", "see mozilla.org/MPL": "mpl",
+    "Released under CC BY-SA 4.0": "cc-by-sa", "Available under the 3-clause BSD": "bsd-3-clause", "Distributed under CDDL": "cddl", "see http://wtfpl.net": "wtfpl",
+}
+
+
+def test_no_rule_is_gated_away(spark, tmp_path):
+    got = queries.op10_licenses(spark, written(spark, tmp_path, [(i, t, "en", 1) for i, t in enumerate(UNGATED)])).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == list(UNGATED.values()) and all(r.score >= 0.4 for r in got)
+
+
 @pytest.mark.parametrize("query", [queries.op5_secrets, queries.op10_licenses])
 def test_no_python_in_plan(spark, query):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

@@ -1,8 +1,8 @@
 """License statements in texts: ordered signature rules with keyword prefilter and suppression.
 
-A rule is a label, a keyword, a regex and a priority. A text without any keyword of the common gate
-is not looked at again; of the others, only rules whose keyword the text contains run. Of the
-detections, one that lies inside the interval of a detection of higher priority is suppressed (of equal
+A rule is a label, a keyword, a regex and a priority. Rules of one form stand together and run only in
+texts that hold the words every match of that form must have; of these rules, only those whose keyword
+the text contains run. Of the detections, one that lies inside the interval of a detection of higher priority is suppressed (of equal
 intervals and priorities the earlier rule stays). The rules are made from hand-written names and
 statement forms, some hundreds in all. One projection of built-in functions: no shuffle, no Python.
 
@@ -83,48 +83,59 @@ NAMES = {
     "hippocratic": ("hippocratic", r"hippocratic license", r"hippocratic-2\.1", ""),
 }
 CC_PARTS = {"by": r"by|attribution", "by-sa": r"by-sa|attribution[ -]share-?alike", "by-nc": r"by-nc|attribution[ -]non-?commercial", "by-nd": r"by-nd|attribution[ -]no-?deriv\w*", "by-nc-sa": r"by-nc-sa|attribution[ -]non-?commercial[ -]share-?alike", "by-nc-nd": r"by-nc-nd|attribution[ -]non-?commercial[ -]no-?deriv\w*"}
-#: form: (regex around the name, priority); tags and addresses say most, bare names least.
+#: form: (regex around the name, priority, words); tags and addresses say most, bare names least. A match
+#: holds one word of each of the lists.
 FORMS = {
-    "granted": (r"licen[sc]ed under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?", 90),
-    "released": (r"(?:released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?", 85),
-    "terms": (r"(?:under|subject to) the terms of (?:the )?(?:{name})(?: licen[cs]e)?", 80),
-    "field": (r"licen[cs]e ?[:=] ?[\"']?(?:{name})", 75),
-    "named": (r"(?:{name})(?<!licen[cs]e) licen[cs]e", 60),
+    "granted": (r"licen[sc]ed under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?", 90, [["licensed", "licenced"], ["under"]]),
+    "released": (r"(?:released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?", 85, [["released", "distributed", "available", "published", "provided"], ["under"]]),
+    "terms": (r"(?:under|subject to) the terms of (?:the )?(?:{name})(?: licen[cs]e)?", 80, [["under", "subject"], ["terms"]]),
+    "field": (r"licen[cs]e ?[:=] ?[\"']?(?:{name})", 75, [["license", "licence"]]),
+    "named": (r"(?:{name})(?<!licen[cs]e) licen[cs]e", 60, [["license", "licence"]]),
 }
-GATE = r"(?i)licen[sc]e|spdx|gpl|creativecommons|public domain|copyleft|unlicense|wtfpl|apache\.org"
+RULE = "struct<label:string,kw:string,regex:string,prio:int,n:int>"
 
 
 def rules() -> list[dict]:
-    """label, kw, regex, prio of every rule, in order."""
+    """label, kw, words, regex, prio of every rule, in order."""
     names = dict(NAMES)
     for part, written in CC_PARTS.items():
         names[f"cc-{part}"] = ("c", rf"(?:cc|creative commons)[ -](?:{written})(?![ -]?(?:nc|nd|sa|non|no-?d|share))(?:[ -][1234]\.[05])?", rf"cc-{part}-[1234]\.[05]", rf"creativecommons\.org/licenses/{part}/")
     out = []
     for label, (kw, name, tag, address) in names.items():
-        out.append({"label": label, "kw": "spdx", "regex": rf"spdx-licen[cs]e-identifier: ?(?:{tag})", "prio": 100})
+        out.append({"label": label, "kw": "spdx", "words": [["spdx"]], "regex": rf"spdx-licen[cs]e-identifier: ?(?:{tag})", "prio": 100})
         if address:
-            out.append({"label": label, "kw": "/", "regex": address, "prio": 95})
-        out += [{"label": label, "kw": kw, "regex": form.replace("{name}", name), "prio": prio} for form, prio in FORMS.values()]
-    out.append({"label": "public-domain", "kw": "public domain", "regex": r"(?:in|into|to) the public domain", "prio": 70})
-    out.append({"label": "all-rights-reserved", "kw": "all rights reserved", "regex": r"all rights reserved", "prio": 40})
+            out.append({"label": label, "kw": "/" if "/" in address else ".", "words": [[".org", ".net"]], "regex": address, "prio": 95})
+        out += [{"label": label, "kw": kw, "words": words, "regex": form.replace("{name}", name), "prio": prio} for form, prio, words in FORMS.values()]
+    out.append({"label": "public-domain", "kw": "public domain", "words": [["public"], ["domain"]], "regex": r"(?:in|into|to) the public domain", "prio": 70})
+    out.append({"label": "all-rights-reserved", "kw": "all rights reserved", "words": [["rights"], ["reserved"]], "regex": r"all rights reserved", "prio": 40})
     edge = "(?i)(?<![0-9a-z])(?:{})(?![0-9a-z])"
     return [r | {"regex": edge.format(r["regex"].replace(" ?", "\\s*").replace(" ", "\\s+")), "n": i} for i, r in enumerate(out)]
 
 
+def groups() -> list[dict]:
+    """words and rules of every form: the rules by the words that their texts must hold."""
+    out: dict[str, dict] = {}
+    for r in rules():
+        out.setdefault(json.dumps(r["words"]), {"words": r["words"], "rules": []})["rules"].append({k: v for k, v in r.items() if k != "words"})
+    return list(out.values())
+
+
 def base_regex(phrase: str) -> str:
     return f"(?i)(?<!{WORD})" + GAP.join(phrase.split()) + f"(?!{WORD})"
 
 
 def detections(text: Column) -> Column:
     """array<struct<label, prio, n, s, e>> of the rules' detections that no other suppresses."""
-    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<label:string,kw:string,regex:string,prio:int,n:int>>")
-    low = F.lower(text)
-    run = F.filter(table, lambda r: F.contains(low, r["kw"]) & F.rlike(text, r["regex"]))
-    found = F.flatten(
+    table = F.from_json(F.lit(json.dumps(groups())), f"array<struct<words:array<array<string>>,rules:array<{RULE}>>>")
+
+    def running(low: Column) -> Column:
+        forms = F.filter(table, lambda g: F.forall(g["words"], lambda some: F.exists(some, lambda w: F.contains(low, w))))
+        return F.flatten(F.transform(forms, lambda g: F.filter(g["rules"], lambda r: F.contains(low, r["kw"]) & F.rlike(text, r["regex"]))))
+
+    run = F.element_at(F.transform(F.array(F.lower(text)), running), 1)  # so that the text is lowered once
+    return F.flatten(
         F.transform(run, lambda r: F.transform(F.filter(matches(text, r["regex"]), lambda x: x.isNotNull()), lambda x: F.struct(r["label"].alias("label"), r["prio"].alias("prio"), r["n"].alias("n"), x["s"].alias("s"), x["e"].alias("e"))))
     )
-    found = F.when(text.rlike(GATE), found).otherwise(F.array().cast("array<struct<label:string,prio:int,n:int,s:int,e:int>>"))
-    return found
 
 
 def kept(found: Column) -> Column:
