@@ -1,7 +1,9 @@
 import hashlib
 import re
+from re import _parser
 
 import pytest
+from pyspark.sql import functions as F
 from textweir.llm import licenses, queries, secrets
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -115,6 +117,54 @@ def test_no_rule_is_gated_away(spark, tmp_path):
     assert [r.labels for r in got] == list(UNGATED.values()) and all(r.score >= 0.4 for r in got)
 
 
+def samples(tree):
+    """Strings that show every alternative of a parsed regex, and every optional part in and out."""
+    parts = []
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            parts.append([chr(arg)])
+        elif op == "IN":
+            (kind, first), *_ = arg
+            parts.append([chr(c) for _, c in arg] if str(kind) == "LITERAL" else [" "] if str(first) == "CATEGORY_SPACE" else ["x"])
+        elif op == "BRANCH":
+            parts.append([v for b in arg[1] for v in samples(b)])
+        elif op == "SUBPATTERN":
+            parts.append(samples(arg[3]))
+        elif op == "MAX_REPEAT":
+            parts.append(samples(arg[2]) + ([""] if arg[0] == 0 else []))
+    out = ["".join(p[0] for p in parts)]
+    return out + ["".join(q if j == i else p[0] for j, p in enumerate(parts)) for i, ps in enumerate(parts) for q in ps[1:]]
+
+
+def test_every_alternative_passes_its_keywords(spark):
+    rows, texts = [], {}
+    for r in licenses.rules():
+        whole = re.compile(r["regex"])
+        mine = {t.strip() for t in samples(_parser.parse(r["regex"]))}
+        mine = {w for t in mine for w in (t, t.upper(), t.replace(" ", "\n"), t.replace(" ", "\r\n   ")) if whole.search(w)}
+        assert mine or "license)(?<!licen[cs]e)" in r["regex"], r  # a name that ends in "license" has no form with another one
+        texts[r["n"]] = mine
+        rows += [(r["n"], t) for t in sorted(mine)]
+    assert len(rows) > 5000
+    for n, part in ((54, "psf license"), (55, "open font"), (56, "european"), (73, "odbl"), (74, "pddl"), (79, "sspl")):
+        assert any(part in t for ts in texts.values() for t in ts), (n, part)
+    got = spark.createDataFrame(rows, "n int, text string").repartition(8).withColumn("found", licenses.detections(F.col("text")))
+    assert got.where(~F.exists("found", lambda x: x["n"] == F.col("n"))).select("n", "text").collect() == []
+
+
+SPELLED = {
+    "licensed under the SIL Open Font License": "ofl", "under the terms of the European Union Public Licence": "eupl", "released under ODbL": "odbl", "licensed under the Open Data Commons Database License": "odbl",
+    "licensed under PDDL": "pddl", "licensed under the SSPL": "sspl", "licensed under the PSF License": "python", "License: Do What The F*ck You Want To Public License": "wtfpl",
+    "under the terms of the GNU Free\nDocumentation License": "gfdl", "all rights\nreserved": "all-rights-reserved", "dedicated to the public\n  domain": "public-domain", "licensed under Creative\n Commons Attribution\n ShareAlike 4.0": "cc-by-sa",
+}
+
+
+def test_spelled_out_and_wrapped_names(spark, tmp_path):
+    got = queries.op10_licenses(spark, written(spark, tmp_path, [(i, t, "en", 1) for i, t in enumerate(SPELLED)])).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == list(SPELLED.values())
+
+
 @pytest.mark.parametrize("query", [queries.op5_secrets, queries.op10_licenses])
 def test_no_python_in_plan(spark, query):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
