@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 from re import _parser
 
 import pytest
@@ -67,6 +69,36 @@ def test_redaction(spark):
     assert [r.t for r in got] == ["x [secret] y [secret]", "none", "[secret]"]
 
 
+KEY, OTHER, HEX = "q8Zt0vK3mP1xR7wB5nY2dL6h", "Xk29fQz7Lw4VbT8sJm3RcN6yHd5GpA1e", "0a1b" * 6
+PATHS = ["/storage/objects/", "/api/download/resource/collection/", "/api/download/resource/collection/version/standard/private/"]
+
+
+def test_keys_inside_long_paths(spark):
+    ordinary = "/configuration/management/repository-transaction_identifier/container/download"
+    texts = [p + KEY for p in PATHS] + [p + OTHER + "/content/document" for p in PATHS] + [f"{PATHS[1]}{KEY}{ordinary}/{OTHER}/content", f"{PATHS[1]}{HEX}/{KEY}", ordinary]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = secrets.redact(df, secrets.train(secrets.labelled_samples(spark))).orderBy("doc_id").collect()
+    assert not any(k in r.text for k in (KEY, OTHER, HEX) for r in got) and got[8].text == ordinary
+    assert all(r.text.startswith(("/storage/", "/api/download/resource/")) for r in got[:8])  # a key may take the word next to it along
+    assert all(r.text.endswith("content/document") for r in got[3:6])
+    assert [r.text.count("[secret]") for r in got] == [1] * 6 + [2, 2, 0]
+
+
+def test_random_keys_inside_paths(spark):
+    rng = random.Random(5)
+    signs = string.ascii_letters + string.digits
+    rows = [(n, p, "".join(rng.choices(signs + more, k=n))) for n in (20, 24, 32, 40) for p in PATHS for more in ("", "+/", "-_") for _ in range(40)]
+    df = spark.createDataFrame(rows, "n int, path string, key string").select(F.struct("n", "path", "key").alias("doc_id"), F.concat("path", "key", F.lit("/content/document")).alias("text"))
+    got = secrets.scan(df, secrets.train(secrets.labelled_samples(spark))).collect()
+    hit = {}
+    for r in got:
+        a = len(r.doc_id.path)
+        inside = sum(max(0, min(x.e, a + r.doc_id.n) - max(x.s, a)) for x in r.spans)
+        hit.setdefault((r.doc_id.n, r.doc_id.path), []).append(inside >= 0.9 * r.doc_id.n)
+    share = {k: sum(v) / len(v) for k, v in hit.items()}
+    assert min(share.values()) > 0.85 and min(v for (n, _), v in share.items() if n >= 32) > 0.95, share
+
+
 def test_secrets_of_nothing(spark, tmp_path):
     assert queries.op5_secrets(spark, written(spark, tmp_path, [])).count() == 0
 

@@ -3,7 +3,8 @@
 Two first-order models over single characters, one of random strings and one of ordinary identifiers,
 are counted from labelled samples with DataFrame aggregations. A run of identifier characters is a
 span of kind markov when its mean log-likelihood ratio per transition reaches the threshold and it
-overlaps no span of a fixed shape. The main path is one projection of built-in functions: no shuffle,
+overlaps no span of a fixed shape. In any other run, what lies outside those spans is searched for parts
+that reach the threshold by themselves, as keys in paths do; no span is shorter than a run. The main path is one projection of built-in functions: no shuffle,
 no Python. The model is a bounded table of 67 * 67 ratios, put into the plan as a constant.
 
 Null text is empty text; it has no spans. Repeated rows and null ids pass through. Extra columns of
@@ -28,6 +29,10 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]{20,}"
 THRESHOLD = 0.35
+SHORTEST = 20
+#: Parts of a run: segments between "/" and "=", and stretches of at least LEAST characters, which end where the sum falls by DROP.
+SEGMENT = "[A-Za-z0-9+_-]{20,}"
+LEAST, DROP, AROUND = 10, 10.0, 64
 STEPS = len(ALPHABET)
 
 #: Ordinary words from which sample identifiers are made.
@@ -103,6 +108,79 @@ def ratio(run: Column, model: Column) -> Column:
     return total["t"] / F.greatest(F.length(run) - 1, F.lit(1))
 
 
+def stretches(run: Column, model: Column, threshold: float) -> Column:
+    """array<struct<s, e>>: stretches of a run where ratio minus threshold adds up to most, in order.
+
+    A sum starts anew where it is not above 0 or DROP below its maximum; its stretch ends at the maximum.
+    """
+    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+    def steps(c: Column) -> Column:
+        n = F.size(c) - 1
+        return F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), lambda a, b: F.when((a > 0) & (b > 0), F.element_at(model, (a - 1) * STEPS + b) - threshold).otherwise(-1e9))
+
+    def ended(acc: Column) -> Column:
+        return F.when(acc["e"] - acc["s"] >= LEAST, F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        i, t = acc["i"] + 1, acc["t"] + x
+        over = (t <= 0) | (t <= acc["top"] - DROP)
+        return F.struct(
+            i.alias("i"),
+            F.when(over, i).otherwise(acc["s"]).alias("s"),
+            F.when(over, i).when(t > acc["top"], i + 1).otherwise(acc["e"]).alias("e"),
+            F.when(over, 0.0).otherwise(t).alias("t"),
+            F.when(over, 0.0).otherwise(F.greatest(t, acc["top"])).alias("top"),
+            F.when(over, ended(acc)).otherwise(acc["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0.0).alias("t"), F.lit(0.0).alias("top"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    return F.aggregate(F.element_at(F.transform(F.array(codes), steps), 1), start, step, ended)
+
+
+def merged(spans: Column) -> Column:
+    """Spans by s, overlapping ones as one."""
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
+    return F.aggregate(
+        F.array_sort(spans),
+        F.array().cast("array<struct<s:int,e:int>>"),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (last(acc)["e"] > x["s"]),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], x["e"]).alias("e")))),
+        ).otherwise(F.concat(acc, F.array(x))),
+    )
+
+
+def parts(run: Column, model: Column, threshold: float) -> Column:
+    """array<struct<s, e>> of the parts of a run, SHORTEST or longer, whose mean ratio reaches the threshold.
+
+    A stretch is taken with the rest of the segments it begins and ends in if that reaches the threshold too.
+    """
+
+    def reaches(s: Column, e: Column) -> Column:
+        return (e - s >= SHORTEST) & (ratio(F.substring(run, s + 1, e - s), model) >= threshold)
+
+    def length(text: Column, regex: str) -> Column:
+        return F.length(F.regexp_extract(text, regex, 0))
+
+    segments = F.filter(matches(run, F.lit(SEGMENT)), lambda x: x.isNotNull() & reaches(x["s"], x["e"]))
+    wide = F.transform(
+        stretches(run, model, threshold),
+        lambda x: F.struct(
+            x["s"].alias("s"),
+            x["e"].alias("e"),
+            (x["s"] - length(F.substring(run, F.greatest(x["s"] - AROUND, F.lit(0)) + 1, F.least(x["s"], F.lit(AROUND))), "[A-Za-z0-9+]*$")).alias("a"),
+            (x["e"] + length(F.substring(run, x["e"] + 1, F.lit(AROUND)), "^[A-Za-z0-9+]*")).alias("b"),
+        ),
+    )
+    wide = F.transform(wide, lambda x: x.withField("a", x["a"] + length(F.substring(run, x["a"] + 1, x["b"] - x["a"]), "^[/=]*")).withField("b", x["b"] - length(F.substring(run, x["a"] + 1, x["b"] - x["a"]), "/*$")))
+    taken = F.transform(
+        wide,
+        lambda x: F.when(reaches(x["a"], x["b"]), F.struct(x["a"].alias("s"), x["b"].alias("e"))).when(x["e"] - x["s"] >= SHORTEST, F.struct(x["s"].alias("s"), x["e"].alias("e"))),
+    )
+    return merged(F.concat(segments, F.filter(taken, lambda x: x.isNotNull())))
+
+
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text, spans array<struct<s, k, e>>) of all rows, by s, then kind as in KINDS, then e.
 
@@ -124,9 +202,25 @@ def found(t: DataFrame, model: list[float], threshold: float) -> DataFrame:
         matches_of(F.col("text"), HEX, F.col("text").rlike(HEX)).alias("hex"),
         matches_of(F.col("text"), RUN, F.col("text").rlike(RUN)).alias("run"),
     )
-    likely = F.filter("run", lambda r: ratio(F.substring("text", r["s"] + 1, r["e"] - r["s"]), table) >= threshold)
     base = F.concat("assign", "access", "hex")
-    markov = F.filter(likely, lambda r: ~F.exists(base, lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
+
+    def inside(r: Column) -> Column:
+        return F.filter(base, lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"]))
+
+    def outside(r: Column) -> Column:
+        """The run, with dots in place of spans of fixed shapes."""
+        return F.aggregate(
+            F.transform(inside(r), lambda b: F.struct(F.greatest(b["s"], r["s"]).alias("s"), F.least(b["e"], r["e"]).alias("e"))),
+            F.substring("text", r["s"] + 1, r["e"] - r["s"]),
+            lambda acc, b: F.overlay(acc, F.repeat(F.lit("."), b["e"] - b["s"]), b["s"] - r["s"] + 1, b["e"] - b["s"]),
+        )
+
+    def likely(r: Column) -> Column:
+        whole = (F.size(inside(r)) == 0) & (ratio(F.substring("text", r["s"] + 1, r["e"] - r["s"]), table) >= threshold)
+        of = F.flatten(F.transform(F.array(outside(r)), lambda run: parts(run, table, threshold)))
+        return F.when(whole, F.array(r)).otherwise(F.transform(of, lambda x: F.struct((r["s"] + x["s"]).alias("s"), (r["s"] + x["e"]).alias("e"))))
+
+    markov = F.flatten(F.transform("run", likely))
 
     def kind(spans: Column, k: int) -> Column:
         return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
