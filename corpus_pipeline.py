@@ -12,6 +12,7 @@ are replaced by a mark. pack: texts become token windows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from textweir.llm import bytecnn, labelled, minhash, packing, posindex, secrets, shared
 
 
@@ -26,8 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = posindex.exact_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")  # what a text holds does not depend on its doc_id, which may be null or repeated
+    hit = posindex.exact_matches(by_text, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select("doc_id")
+    return docs.join(hit, F.xxhash64(docs["text"]) == hit["doc_id"], "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

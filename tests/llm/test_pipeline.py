@@ -79,3 +79,11 @@ def test_stages_on_odd_tables(spark, rows):
         if name == "secrets" and rows:
             by = {r.doc_id: r for r in got}
             assert by[3].text.endswith("word [secret]") and by[3].n_chars == len(by[3].text) and by[4].n_chars == 5 and by[1].text is None
+
+
+def test_decontaminate_decides_by_row(spark):
+    item = next(r.text for r in read(spark, "benchmark").orderBy("item_id").collect() if len(r.text.split()) >= 10)
+    rows = [(None, f"so {item} it is"), (1, f"thus {item}"), (1, "a clean text"), (None, "another clean text"), (2, None), (3, f"thus {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "k") for i, t in rows], SCHEMA)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()]
+    assert sorted(left, key=str) == sorted([(1, "a clean text"), (None, "another clean text"), (2, None)], key=str)
