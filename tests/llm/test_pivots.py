@@ -48,11 +48,34 @@ def test_matches_brute_force(spark, monkeypatch, block):
     assert got(pivots.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == want(rows)
 
 
-def test_recall_on_table(spark):
+def test_table_has_no_links_of_its_own(spark):
+    """The small tables hold no pair at the threshold; a lower one has links to find."""
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
-    found, true = got(queries.op4_pivots(spark, "/root/testdata/sf0.01")), want(rows)
-    assert all(found[i][0] <= true[i][0] for i in true)
-    assert sum(n for n, _ in found.values()) >= 0.99 * sum(n for n, _ in true.values())
+    assert got(queries.op4_pivots(spark, "/root/testdata/sf0.01")) == want(rows)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9])
+def test_recall_with_a_tight_cluster(spark, share):
+    """1,500 vectors of 64 dimensions, of which a share lies in one cluster whose pairs are around the threshold."""
+    r = np.random.default_rng(8)
+    n, tight = 1500, int(1500 * share)
+    v = r.normal(size=(n, 64))
+    v[:tight] = r.normal(size=64) + r.normal(size=(tight, 64)) * 0.14
+    v[-60:-30] = v[-30:] + r.normal(size=(30, 64)) * 0.16 * np.linalg.norm(v[-30:], axis=1, keepdims=True) / 8
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    m = pivots.unit(v.astype(np.float32))
+    true = (m @ m.T >= 0.98).sum(1) - 1
+    found = got(pivots.near_duplicates(spark.createDataFrame(rows, SCHEMA)))
+    assert true.sum() > 2000 and all(found[i][0] <= true[i] for i in range(n))
+    assert sum(n for n, _ in found.values()) >= 0.99 * true.sum()
+
+
+def test_labels_and_components_of_any_type(spark):
+    rows = [(1, [1.0, 1e-9], "a"), (2, [1.0, 2e-9], "a"), (3, [1.0, 1e-9], "b")]
+    out = got(pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")))
+    assert out == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+    big = [(1, [1.0, 0.0], 1 << 40), (2, [1.0, 0.0], 1 << 40), (3, [1.0, 0.0], 0)]
+    assert got(pivots.near_duplicates(spark.createDataFrame(big, "vec_id long, embedding array<float>, label long"))) == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
 
 
 def test_repeated_rows_and_nothing(spark):

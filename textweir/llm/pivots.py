@@ -1,18 +1,21 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A bounded sample of vectors are pivots. Each vector is described by its NEAREST nearest pivots in
-order, and posted to their inverted lists. Two vectors of a label are a candidate pair when their
-lists share at least SHARED pivots; the pair is looked at once, in the list of its smallest shared
-pivot, and confirmed by cosine in double precision. Equal vectors of a label are one class with a
-count. Lists are cut into blocks of about BLOCK vectors, and each pair of blocks is one task's work;
-what leaves it are counts and a spanning forest of links, linear in the vectors. No list is capped.
-
-Only the choice of pivots is a sample (PIVOTS vectors with the smallest hashes); every vector is
-indexed. Vectors without pivots of their dimension share one list, so none are lost.
+Vectors of a bounded sample that lie apart from each other are the pivots; their number grows with the
+root of the number of vectors. Each vector is described by its NEAREST nearest pivots in order, and posted
+to the inverted list of every two of them. Two vectors of a label that share at least two pivots so meet
+in a list; the pair is looked at once, in the list of its two smallest shared pivots, and confirmed by
+cosine in double precision. Equal vectors of a label are one class with a count. Lists of one vector go
+no further; longer ones are cut into blocks of about BLOCK vectors, and each pair of blocks is one task's
+work; what leaves it are counts and a spanning forest of links, linear in the vectors. No list is capped.
+
+Pivots stand apart (cosine below APART), so a tight cluster has one pivot near it and one order of the
+others, however many of its vectors the sample holds. Vectors without two pivots of their dimension share
+one list, so none are lost. Work inside a cluster of near (not equal) vectors is quadratic, as its links are.
 
 A vector that is null, zero or holds null or non-finite components, one without label, and one with a
 null vec_id link with nothing. Rows that repeat a vec_id are vectors of their own. The component of a
-null vec_id is null, and it is kept. Extra columns are ignored.
+null vec_id is null, and it is kept. Labels may be of any atomic type, components float or double.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .minhash import forest_edges, grouped
-from .shared import partitions, written
+from .shared import by_class, dropped, partitions, written
 
-PIVOTS, NEAREST, SHARED, BLOCK = 256, 8, 2, 512
+NEAREST, BLOCK, APART = 5, 2048, 0.8
+#: Pivots number about PER_ROOT times the root of the vectors, within these bounds; the sample is SAMPLE times as large.
+PER_ROOT, FEWEST, MOST, SAMPLE = 4, 64, 4096, 4
 
 
 def usable(v: str = "embedding") -> F.Column:
@@ -46,113 +50,202 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 
 def nearest(v: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
-    """(rows, k) nearest pivots of each vector, nearest first; ties by pivot number."""
-    return np.argsort(-(unit(v) @ pivots.T), axis=1, kind="stable")[:, :k]
+    """(rows, k) nearest pivots of each vector, nearest first."""
+    s = unit(v) @ pivots.T
+    k = min(k, s.shape[1])
+    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+
+
+def apart(v: np.ndarray, n: int, most: float) -> np.ndarray:
+    """The first n rows of which each has a cosine below `most` to those before it."""
+    out = np.zeros((min(n, len(v)), v.shape[1]))
+    k = 0
+    for x in v:
+        if k < n and (not k or (out[:k] @ x).max() < most):
+            out[k] = x
+            k += 1
+    return out[:k]
 
 
 def choose(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Pivots by dimension: the n vectors with the smallest hashes (a bounded sample)."""
-    rows = classes.orderBy(F.xxhash64("node"), "node").limit(n).select("embedding").collect()
+    """At most n pivots by dimension, from the SAMPLE * n vectors with the smallest hashes (a bounded sample)."""
+    rows = classes.orderBy(F.xxhash64("embedding"), "node").limit(SAMPLE * n).select("embedding").collect()
     by: dict[int, list] = {}
     for r in rows:
         by.setdefault(len(r.embedding), []).append(r.embedding)
-    return {d: unit(np.array(v)) for d, v in by.items()}
+    return {d: apart(unit(np.array(v)), n, APART) for d, v in by.items()}
+
+
+def vectors_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(components one after another, first component of each vector and the total)."""
+    size = col.value_lengths().to_numpy(zero_copy_only=False)
+    return col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
 def postings(classes: DataFrame, pivots: dict[int, np.ndarray], k: int) -> DataFrame:
-    """(label, dim, node, n, embedding, near array<int>): each class's nearest pivots in order."""
+    """(label, dim, node, near array<int>): each class's nearest pivots in order; empty where there are not two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            v = b.column(3)
-            size = v.value_lengths().to_numpy(zero_copy_only=False)
-            flat, off = v.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-            near: list = [[0]] * b.num_rows
+            flat, off = vectors_of(b.column(2))
+            size = np.diff(off)
+            near: list = [[]] * b.num_rows
             for d in np.unique(size).tolist():
-                if d in pivots:
+                if len(pivots.get(d, ())) > 1:
                     rows = np.flatnonzero(size == d)
                     own = nearest(flat[off[rows][:, None] + np.arange(d)], pivots[d], k)
                     for i, x in zip(rows.tolist(), own.tolist(), strict=True):
                         near[i] = x
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), b.column(1), b.column(2), v, pa.array(near, pa.list_(pa.int32()))], ["label", "dim", "node", "n", "embedding", "near"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), b.column(1), pa.array(near, pa.list_(pa.int32()))], ["label", "dim", "node", "near"])
 
-    return classes.select("label", "node", "n", "embedding").mapInArrow(run, "label int, dim int, node long, n long, embedding array<float>, near array<int>")
+    return classes.select("label", "node", "embedding").mapInArrow(run, "label string, dim int, node long, near array<int>")
 
 
-def masks(near: list[list[int]]) -> np.ndarray:
-    """Pivot sets as rows of 64-bit words."""
-    out = np.zeros((len(near), -(-PIVOTS // 64)), np.uint64)
-    own = np.repeat(np.arange(len(near)), [len(x) for x in near])
-    p = np.fromiter((k for x in near for k in x), np.int64)
-    np.bitwise_or.at(out, (own, p // 64), np.uint64(1) << (p % 64).astype(np.uint64))
-    return out
+def listed(posted: DataFrame, block: int) -> DataFrame:
+    """(label, dim, p, q, b1, b2, blk, node, near): postings to the lists of two pivots, dealt to pairs of blocks."""
+    ordered = F.col("near")
+    pairs = F.flatten(F.transform(ordered, lambda p: F.transform(F.filter(ordered, lambda q: q > p), lambda q: F.struct(p.alias("p"), q.alias("q")))))
+    none = F.array(F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("q")))
+    lists = posted.withColumn("near", F.array_sort("near")).select("label", "dim", "node", "near", F.explode(F.when(F.size("near") > 1, pairs).otherwise(none)).alias("x")).select("label", "dim", "x.p", "x.q", "node", "near")
+    sizes = lists.groupBy("label", "dim", "p", "q").agg(F.count(F.lit(1)).alias("n"))
+    blocks = sizes.where("n > 1").withColumn("nb", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    lists = lists.join(blocks, ["label", "dim", "p", "q"]).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return lists.select("label", "dim", "p", "q", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk", "node", "near")
 
 
-def candidates(x: np.ndarray, y: np.ndarray, pivot: int, shared: int) -> np.ndarray:
-    """Pairs with at least `shared` pivots in common (or all of a shorter list), of which `pivot` is the smallest."""
-    count, below = np.zeros((len(x), len(y)), np.uint8), np.zeros((len(x), len(y)), dtype=bool)
-    for w in range(x.shape[1]):
-        both = x[:, w, None] & y[None, :, w]
-        count += np.bitwise_count(both)
-        low = 64 if w < pivot // 64 else pivot % 64 if w == pivot // 64 else 0
-        if low:
-            below |= (both & np.uint64((1 << low) - 1)) != 0
-    size = np.minimum(np.bitwise_count(x).sum(1)[:, None], np.bitwise_count(y).sum(1)[None, :])
-    return (count >= np.minimum(shared, size)) & ~below
+def owned(x: np.ndarray, y: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Pairs of pivot sets (ascending rows) whose two smallest shared pivots are p and q, both in all of them."""
+    out = np.ones((len(x), len(y)), dtype=bool)
+    for i in range(x.shape[1]):
+        for j in range(y.shape[1]):
+            smaller = (x[:, i] < q) & (x[:, i] != p)
+            out &= ~(smaller[:, None] & (x[:, i, None] == y[None, :, j]))
+    return out
 
 
-def linked(lists: DataFrame, least: float, shared: int, n: int) -> DataFrame:
-    """Rows (a, b, c): a links c vectors of other classes (b null), or a forest edge a-b (c null)."""
+def stars(ok: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(first, other) places that span what ok links: rows are places 0.., columns those rows (same) or places after them."""
+    n = len(ok)
+    adjacent = ok if same else np.block([[np.zeros((n, n), dtype=bool), ok], [ok.T, np.zeros((ok.shape[1],) * 2, dtype=bool)]])
+    open_ = adjacent.any(axis=1)
+    first, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for root in np.flatnonzero(open_).tolist():
+        if not open_[root]:
+            continue
+        open_[root] = False
+        front, found = np.array([root]), []
+        while len(front):
+            front = np.flatnonzero(adjacent[front].any(axis=0) & open_)
+            open_[front] = False
+            found.append(front)
+        found = np.concatenate(found)
+        first.append(np.full(len(found), root))
+        other.append(found)
+    return np.concatenate(first), np.concatenate(other)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of equal leading columns of sorted batches, as (key, the other columns)."""
+    now, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = list(zip(*(b.column(i).to_pylist() for i in range(keys)), strict=True))
+        rest = b.select(list(range(keys, b.num_columns)))
+        at = 0
+        for i in range(1, len(k) + 1):
+            if i == len(k) or k[i] != k[at]:
+                if k[at] != now:
+                    if held:
+                        yield now, pa.Table.from_batches(held).combine_chunks()
+                    now, held = k[at], []
+                held.append(rest.slice(at, i - at))
+                at = i
+    if held:
+        yield now, pa.Table.from_batches(held).combine_chunks()
+
+
+def linked(lists: DataFrame, least: float, n: int) -> DataFrame:
+    """Rows (a, b, c): a links c vectors of other classes (b null), or the links connect a and b (c null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_label, _dim, pivot, b1, b2), (blk, node, many, vec, near) in grouped(batches, 5):
-            m, sets, node_n = unit(np.array(vec)), masks(near), np.array(many, np.int64)
-            x = np.flatnonzero(np.array(blk) == b1)
-            y = x if b1 == b2 else np.flatnonzero(np.array(blk) == b2)
+        for (_label, dim, p, q, b1, b2), t in runs(batches, 6):
+            blk, node, many = (t.column(k).to_numpy() for k in range(3))
+            near = t.column(3).chunk(0)
+            near = near.flatten().to_numpy().reshape(len(blk), -1)
+            flat, _ = vectors_of(t.column(4).chunk(0))
+            x = np.flatnonzero(blk == b1)
+            y = x if b1 == b2 else np.flatnonzero(blk == b2)
             if not len(x) or not len(y):
                 continue
-            ok = candidates(sets[x], sets[y], pivot, shared) & (m[x] @ m[y].T >= least)
+            if p < 0:
+                ok = np.ones((len(x), len(y)), dtype=bool)
+            else:  # equal pivot sets are looked at once
+                sx, ix = np.unique(near[x], axis=0, return_inverse=True)
+                sy, iy = np.unique(near[y], axis=0, return_inverse=True)
+                mine = owned(sx, sy, p, q)
+                x, ix, y, iy = x[r := mine.any(1)[ix]], ix[r], y[c := mine.any(0)[iy]], iy[c]
+                if not len(x) or not len(y):
+                    continue
+                ok = mine[ix[:, None], iy[None, :]]
+            m = flat.reshape(len(blk), dim)
+            ok &= unit(m[x]) @ unit(m[y]).T >= least
             if b1 == b2:
-                np.fill_diagonal(ok, False)
-            counts = np.zeros(len(node), np.int64)
-            np.add.at(counts, x, ok @ node_n[y])
+                ok &= node[x][:, None] != node[y][None, :]
+                ok = square(ok, x, y, len(blk))
+                x = y = np.arange(len(blk))
+            count = [ok @ many[y]]
             if b1 != b2:
-                np.add.at(counts, y, ok.T @ node_n[x])
-            i, j = np.nonzero(np.triu(ok) if b1 == b2 else ok)
-            edges = forest_edges(np.stack([x[i], y[j]], axis=1), node, len(node))
-            some = np.flatnonzero(counts)
-            a = [node[k] for k in some.tolist()] + [e[0] for e in edges]
-            b = [None] * len(some) + [e[1] for e in edges]
-            c = counts[some].tolist() + [None] * len(edges)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, c)], ["a", "b", "c"])
-
-    return lists.repartition(n, "label", "dim", "pivot", "b1", "b2").sortWithinPartitions("label", "dim", "pivot", "b1", "b2").mapInArrow(run, "a long, b long, c long")
+                count.append(many[x] @ ok)
+            place = np.concatenate([x, y]) if b1 != b2 else x
+            count = np.concatenate(count)
+            first, other = stars(ok, b1 == b2)
+            some = np.flatnonzero(count)
+            a = np.concatenate([node[place[some]], node[place[first]]])
+            b = np.concatenate([np.zeros(len(some), np.int64), node[place[other]]])
+            c = np.concatenate([count[some], np.zeros(len(first), np.int64)])
+            edge = np.arange(len(a)) >= len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=~edge), pa.array(c, pa.int64(), mask=edge)], ["a", "b", "c"])
+
+    keys = ["label", "dim", "p", "q", "b1", "b2"]
+    return lists.select(*keys, "blk", "node", "n", "near", "embedding").repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, c long")
+
+
+def square(ok: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """ok between rows x and y of one block, as a symmetric matrix over all n rows."""
+    if len(x) == len(y) == n:
+        return ok
+    out = np.zeros((n, n), dtype=bool)
+    out[x[:, None], y[None, :]] = ok
+    return out
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, pivots: int = PIVOTS, near: int = NEAREST, shared: int = SHARED) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
+def near_duplicates(vectors: DataFrame, least: float = 0.98, pivots: int | None = None, near: int = NEAREST) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row; pivots: how many at most, else by the number of vectors."""
     n = partitions(vectors.sparkSession)
-    v = vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = "array<double>" if "double" in vectors.schema["embedding"].dataType.simpleString() else "array<float>"
+    v = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
     v = v.withColumn("ok", usable())
     key = [F.xxhash64(F.lit(1), "label", "embedding").alias("ka"), F.xxhash64(F.lit(2), "embedding", "label").alias("kb")]
     good = v.where("ok").select("vec_id", "label", "embedding", *key)
-    classes = written(good.groupBy("ka", "kb").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding")), "vectors")
-    # nodes may share a vec_id where rows repeat it with other vectors, so links use a number of their own
-    posted = postings(classes.select("label", F.col("ka").alias("node"), "n", "embedding"), choose(classes.select(F.col("ka").alias("node"), "embedding"), pivots), near)
-    lists = written(posted.withColumn("pivot", F.explode("near")), "postings")
-    blocks = lists.groupBy("label", "dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    lists = lists.join(blocks, ["label", "dim", "pivot"]).withColumn("blk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("nb")).cast("int"))
-    lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    lists = lists.select("label", "dim", "pivot", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk", "node", "n", "embedding", "near")
-    found = written(linked(lists, least, shared, n), "links")
-    links = found.where("b is null").groupBy(F.col("a").alias("ka")).agg(F.sum("c").alias("c"))
+    classes = good.groupBy("ka", "kb").agg(F.min("vec_id").alias("smallest"), F.count(F.lit(1)).alias("n"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    if pivots is None:
+        pivots = min(MOST, max(FEWEST, int(PER_ROOT * classes.count() ** 0.5)))
+    posted = written(postings(classes, choose(classes, pivots), near), "postings")
+    lists = listed(posted, BLOCK).join(classes.select("node", "n", "embedding"), "node")
+    found = written(linked(lists, least, n), "links")
+    dropped(posted)
+    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("c").alias("c"))
     comp = components(found.where("b is not null").select("a", "b"))
-    of = classes.select("ka", "kb", "node", "n").join(links, "ka", "left").join(comp.select(F.col("node").alias("ka"), "component"), "ka", "left")
-    of = of.withColumn("component", F.coalesce("component", "ka"))
-    smallest = of.groupBy("component").agg(F.min("node").alias("component_id"))
-    of = of.join(smallest, "component").select("ka", "kb", (F.col("n") - 1 + F.coalesce("c", F.lit(0))).alias("n_links"), "component_id")
-    out = good.select("vec_id", "ka", "kb").join(of, ["ka", "kb"]).select("vec_id", "n_links", "component_id")
+    of = classes.select("ka", "kb", "node", "smallest", "n").join(links, "node", "left").join(comp, "node", "left")
+    of = of.withColumn("component", F.coalesce("component", "node"))
+    smallest = of.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    of = written(of.join(smallest, "component").select("ka", "kb", (F.col("n") - 1 + F.coalesce("c", F.lit(0))).alias("n_links"), "component_id", "n"), "linked")
+    out = by_class(good.select("vec_id", "ka", "kb"), of, ["ka", "kb"]).select("vec_id", "n_links", "component_id")
     out = out.unionByName(v.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -56,3 +57,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+#: A class with more than this share of all rows is joined by broadcast; there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
+
+
+def by_class(rows: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with their class; classes are distinct by keys, never null, and hold the number n of their rows.
+
+    No task gets the rows of a large class: those classes, at most 1 / HOT_SHARE, are broadcast.
+    """
+    total = classes.agg(F.sum("n")).head()[0] or 0
+    hot = F.col("n") > max(1, int(total * HOT_SHARE))
+    if classes.where(hot).isEmpty():
+        return rows.join(classes, keys)
+    large = classes.where(hot).withColumn("hot", F.lit(True))
+    mark = rows.join(F.broadcast(large.select(*keys, "hot")), keys, "left")
+    return mark.where("hot").drop("hot").join(F.broadcast(large.drop("hot")), keys).unionByName(mark.where("hot is null").drop("hot").join(classes.where(~hot), keys))
