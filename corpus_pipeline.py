@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parqu
 and read again as the next stage's docs. All but the last return the columns of documents.
 
 quality: documents that the byte network rejects go. near_duplicates: of each group of documents that
-links of Jaccard 0.8 on five-word shingles connect, the smallest doc_id stays; rows without doc_id
-stay. decontaminate: documents with a passage of the benchmark go. secrets: spans of secrets in texts
+links of Jaccard 0.8 on five-word shingles connect, the row of the smallest doc_id stays; decisions are by
+row, so doc_ids may be null or repeated. decontaminate: documents with a passage of the benchmark go. secrets: spans of secrets in texts
 are replaced by a mark. pack: texts become token windows.
 """
 
@@ -22,8 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    extra = minhash.near_duplicates(docs, width=5, num=80).where("not kept").select("doc_id")
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.distinct_rows(docs, width=5, num=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

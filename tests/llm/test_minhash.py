@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from textweir.llm import minhash
+from textweir.llm import minhash, shared
 
 from . import brute
 
@@ -45,6 +45,38 @@ def test_many_copies_span_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute.near_duplicates(rows, 3, 70, 100).items()}
 
 
+def test_parts_that_leaders_do_not_join(spark, monkeypatch):
+    """Families whose members drift word by word: most links are not to the first row of a bucket."""
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "LEADERS", 1)
+    rows, w = [], [f"w{k}" for k in range(60)]
+    for i in range(50):
+        w[(i * 7) % 60] = f"x{i}"
+        rows.append((100 - i, " ".join(w)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 70).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute.near_duplicates(rows, 3, 70, 100).items()}
+
+
+def test_texts_under_one_doc_id_are_one_document(spark):
+    a, b = ([f"{x}{k}" for k in range(40)] for x in "ab")
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (9, " ".join([*a, "x"])), (11, " ".join([*b, "x"])), (12, "alone")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(7, 7, True), (7, 7, True), (9, 7, False), (11, 7, False), (12, 12, True)]
+
+
+def test_large_classes_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_SHARE", 1e-9)
+    monkeypatch.setattr(shared, "FEW", 3)
+    r = random.Random(9)
+    rows = [(i, "the same words again " * 9) for i in range(40)]
+    rows += [(100 + i, " ".join(f"w{k}" if k != r.randrange(40) else "x" for k in range(40))) for i in range(60)]
+    rows += [(i, t + " y" * (i > 5) + " " + "long " * 20000) for i, t in corpus()[:9] if t]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 70).collect()
+    want = brute.near_duplicates([(k, t) for k, (_, t) in enumerate(rows)], 3, 70, 100)
+    by = {i: rows[c][0] for i, c in zip([i for i, _ in rows], [c for _, c in want.values()], strict=True)}
+    assert {x.doc_id: x.component_id for x in got if x.doc_id >= 100} == {i: c for i, c in by.items() if i >= 100}
+
+
 def test_edges_of_input(spark):
     schema = "doc_id long, text string, component_id string, keys int"
     rows = [(None, "a b c d", "x", 1), (3, "a b c d", "y", 2), (3, "a b c d", "y", 2), (2, "A b C d", None, None)]

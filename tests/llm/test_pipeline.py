@@ -75,12 +75,20 @@ def test_stages_on_odd_tables(spark, rows):
         got = out.collect()
         assert out.columns == docs.columns or name == "pack"
         if name == "near_duplicates":
-            assert sorted(r.doc_id or 0 for r in got) == ([0, 0, 1, 2, 3, 4] if rows else [])
+            assert sorted(r.doc_id or 0 for r in got) == ([0, 1, 2, 3, 4] if rows else [])  # of two equal rows without doc_id one stays
         if name == "secrets" and rows:
             by = {r.doc_id: r for r in got}
             assert by[3].text.endswith("word [secret]") and by[3].n_chars == len(by[3].text) and by[4].n_chars == 5 and by[1].text is None
 
 
+def test_near_duplicates_decide_by_row(spark):
+    a, b = "one two three four five six seven", "a text of its own that no other row repeats"
+    rows = [(7, a), (7, a), (7, b), (None, a), (None, "yet another text that stands here alone"), (3, a), (3, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "k") for i, t in rows], SCHEMA).repartition(3)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(left, key=str) == sorted([(3, a), (7, b), (None, rows[4][1]), (3, None), (None, None)], key=str)
+
+
 def test_decontaminate_decides_by_row(spark):
     item = next(r.text for r in read(spark, "benchmark").orderBy("item_id").collect() if len(r.text.split()) >= 10)
     rows = [(None, f"so {item} it is"), (1, f"thus {item}"), (1, "a clean text"), (None, "another clean text"), (2, None), (3, f"thus {item}")]

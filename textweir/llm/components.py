@@ -5,35 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import by_class, dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (a, b); component is the smallest node that is reachable.
 
     Each round points every node at its smallest neighbour, jumps pointers once more and contracts.
-    The graph at least halves, so rounds are logarithmic in its size. Null ends are ignored.
+    The graph at least halves, so rounds are logarithmic in its size. Null ends are ignored. Nodes with
+    very many neighbours are joined by broadcast (see by_class), so no task gets all edges of one.
     """
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     e = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     found: DataFrame | None = None
     while not e.isEmpty():
-        p = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p"))
-        q = p.select(F.col("a").alias("p"), F.col("p").alias("p2"))
-        p = written(p.join(q, "p").select("a", F.col("p2").alias("p")), "parents")
-        b = p.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        nxt = e.join(p, "a").join(b, "b").where("p <> pb").select(F.col("p").alias("a"), F.col("pb").alias("b"))
+        p = written(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p"), F.count(F.lit(1)).alias("n")), "parents")
+        pointed = written(p.groupBy("p").agg(F.count(F.lit(1)).alias("n")).join(p.select(F.col("a").alias("p"), F.col("p").alias("p2")), "p"), "pointed")
+        once = p
+        p = written(by_class(p.select("a", "p", F.col("n").alias("edges")), pointed, ["p"]).select("a", F.col("p2").alias("p"), F.col("edges").alias("n")), "parents")
+        dropped(once)
+        dropped(pointed)
+        b = p.select(F.col("a").alias("b"), F.col("p").alias("pb"), "n")
+        nxt = by_class(by_class(e, p, ["a"]).select("b", "p"), b, ["b"]).where("p <> pb").select(F.col("p").alias("a"), F.col("pb").alias("b"))
         nxt = written(nxt.distinct(), "edges")
         dropped(e)
         e = nxt
         if found is None:
             found = p
         else:
-            step = p.select(F.col("a").alias("p"), F.col("p").alias("p2"))
-            old = found
-            found = written(old.join(step, "p", "left").select("a", F.coalesce("p2", "p").alias("p")), "found")
-            dropped(old)
-            dropped(p)
+            old, many = found, found.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+            step = written(p.select(F.col("a").alias("p"), F.col("p").alias("p2")).join(many, "p"), "step")
+            found = written(by_class(old.select("a", "p"), step, ["p"], "left").select("a", F.coalesce("p2", "p").alias("p")), "found")
+            for done in (old, step, p):
+                dropped(done)
     dropped(e)
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)

@@ -1,24 +1,27 @@
 """b-bit MinHash near-duplicate detection.
 
 1. One pass over the texts: shingle hashes, `bands * rows` minima, band keys, and a packed
-   signature that keeps only the low `bits` bits of each minimum.
-2. Documents with equal shingle sets form one class; only its smallest doc_id goes on.
-3. Documents that share a band key meet: each is linked to the smallest of its bucket, and the
-   components of these links are the candidate groups.
-4. Inside a group, blocks of at most BLOCK documents are compared pair of blocks by pair of blocks:
-   differing signature bits are counted and corrected for chance collisions (two different minima
-   agree in their low bits with probability 2**-bits). Pairs whose estimate is near the threshold
-   tighten the groups.
-5. Pairs of the tightened groups are confirmed on full shingle sets, again by pairs of blocks. Only a
-   spanning forest of the confirmed links leaves a task, so output is linear in the documents.
-
-No pair that shares a band is skipped: there are no caps on buckets or candidates. With 32 bands of
+   signature that keeps only the low `bits` bits of each minimum. Rows get a number, and are written.
+2. Rows with equal shingle sets form one class; only its first row goes on.
+3. Rows that share a band key meet in a bucket. Each is paired with the bucket's leader (the first row in
+   even bands, the one with the smallest hash in odd ones): differing signature bits are counted and
+   corrected for chance collisions (two different minima agree in their low bits with probability
+   2**-bits). The LEADERS most similar pairs of a row are confirmed on full shingle sets. This is linear,
+   and joins what is alike throughout.
+4. What shares a bucket directly or over others is a group. Where a group holds several of the parts found
+   so, pairs of rows of different parts are compared, block by block: by signature bits, and those near the
+   threshold on full sets. Rows of the largest part meet those of the others only. A spanning forest of
+   the confirmed links leaves a task, so output is linear in the documents.
+
+No pair that shares a band is skipped: LEADERS only chooses which pairs come first. With 32 bands of
 6 rows a pair at Jaccard 0.85 is missed with probability 3e-7, at 0.8 with 6e-5. The estimate's
-standard error is under 0.04, and MARGIN is five of these.
+standard error is under 0.04, and MARGIN is five of these. In a group of many parts, such as a large family
+whose members are near the threshold to each other, step 4 is quadratic in the rows outside its largest part.
 
 Nulls and ties: a null or wordless text has an empty set and links with nothing. Rows that repeat
-a doc_id are one document each row for output, with the same component. A row with a null doc_id
-links with nothing, has a null component and is kept. Extra columns are ignored.
+a doc_id are documents of their own; near_duplicates() names components by the smallest doc_id, and where
+one doc_id stands on different texts, these are one. There a row with a null doc_id links with nothing, has a null
+component and is kept; distinct_rows() goes by rows alone. Extra columns are ignored, or carried along.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytehash as H
 from .components import components
-from .shared import partitions, small_batches, written
+from .shared import by_class, dropped, partitions, small_batches, written
 
-BLOCK = 144
+BLOCK, LEADERS = 144, 2
 MARGIN = 0.19
 
 
@@ -118,17 +123,13 @@ def forest_edges(pairs: np.ndarray, ids: list, n: int) -> list[tuple]:
     return [(ids[a], ids[b]) for a, b in pairs.tolist() if f.join(a, b)]
 
 
-def group_pairs(left: np.ndarray, right: np.ndarray, same: bool, ok: np.ndarray) -> np.ndarray:
-    a, b = np.nonzero(np.triu(ok, 1) if same else ok)
-    return np.stack([left[a], right[b]], axis=1)
-
-
 def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, keys, sig) of every row."""
+    """(row, doc, text, n_shingles, set_a, set_b, keys, sig) of every row; doc holds its other columns."""
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = H.stream(23, bands)
+        at = TaskContext.get().partitionId() << 36
         for b in H.slices(batches, "text"):
             out: list[tuple] = []
             for s in shingle_sets(b.column(1), width):
@@ -139,39 +140,102 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int) ->
                 keys = np.zeros(bands, dtype=H.U)
                 for r in m.reshape(bands, rows).T.astype(H.U):
                     keys = H.mix(keys * H.U(0x9FB21C651E98DF25) + r + salt)
-                out.append((len(s), int(np.add.reduce(s).view(np.int64)), int(np.bitwise_xor.reduce(H.mix(s + H.U(77))).view(np.int64)), keys.view(np.int64), packed(m, bits)))
+                sig = np.frombuffer(packed(m, bits).ljust(-(-k * bits // 64) * 8, b"\0"), np.int64)
+                out.append((len(s), int(np.add.reduce(s).view(np.int64)), int(np.bitwise_xor.reduce(H.mix(s + H.U(77))).view(np.int64)), keys.view(np.int64), sig))
             n, x, y, kk, sig = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(kk, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "keys", "sig"])
+            row = np.arange(at, at + b.num_rows)
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(row), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(kk, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))], ["row", "doc", "text", *SIGNED])
+
+    doc = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("doc"), "text")
+    kind = T.StructType([T.StructField("row", T.LongType()), *doc.schema.fields]).add("n_shingles", "long").add("set_a", "long").add("set_b", "long").add("keys", T.ArrayType(T.LongType())).add("sig", T.ArrayType(T.LongType()))
+    return doc.mapInArrow(run, kind)
+
+
+SIGNED = ["n_shingles", "set_a", "set_b", "keys", "sig"]
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sig binary")
+def similarity(x: Column, y: Column, k: int, bits: int) -> Column:
+    """estimate() of two packed signatures, as a column."""
+    low = sum(1 << i for i in range(0, 64, bits))
+    differ = F.lit(0)
+    for w in range(-(-k * bits // 64)):
+        z = x[w].bitwiseXOR(y[w])
+        some = z
+        for i in range(1, bits):
+            some = some.bitwiseOR(F.shiftrightunsigned(z, i))
+        differ = differ + F.bit_count(some.bitwiseAND(F.lit(low if low < 1 << 63 else low - (1 << 64))))
+    chance = 2.0**-bits
+    return (1 - differ / k - chance) / (1 - chance)
 
 
-def blocked(members: DataFrame, payload: list[str]) -> DataFrame:
-    """(component, node, payload) dealt to pairs of blocks: one row for each pair a node's block takes part in."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    m = members.join(sizes, "component").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return m.select("component", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk", "node", *payload)
+def with_leaders(reps: DataFrame, k: int, bits: int, floor: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, node) to confirm first, links (a, b) of all that share a bucket)."""
+    keyed = reps.select(F.posexplode("keys").alias("band", "key"), "node")
+    leader = F.when(F.col("band") % 2 == 0, F.min("node")).otherwise(F.min_by("node", F.xxhash64("node")))
+    buckets = written(keyed.groupBy("band", "key").agg(leader.alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    pairs = written(by_class(keyed, buckets, ["band", "key"]).where("node <> a").select("a", "node").distinct(), "pairs")
+    sigs = reps.select("node", "sig")
+    leaders = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("lead")), "a"), "leaders")
+    near = by_class(pairs.join(sigs, "node"), leaders, ["a"]).select("a", "node", similarity(F.col("sig"), F.col("lead"), k, bits).alias("est")).where(F.col("est") >= floor)
+    # at most one leader a band, so the list of a node is short
+    best = near.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("est")).alias("e"), "a"))), 1, LEADERS).alias("best"))
+    first = written(best.select("node", F.explode("best.a").alias("a")), "first")
+    dropped(buckets)
+    dropped(leaders)
+    return first, pairs.select("a", F.col("node").alias("b"))
+
+
+def starred(first: DataFrame, rows: DataFrame) -> DataFrame:
+    """Blocks of rows with their leader, for paired(): the leader is block 0."""
+    sizes = written(first.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "sizes").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
+    lead = sizes.join(rows, F.col("a") == F.col("node")).withColumn("b2", F.explode(F.sequence(F.lit(1), F.col("nb")))).select("a", "b2", F.lit(0).alias("blk"), "node", "text")
+    most = by_class(first, sizes, ["a"]).withColumn("b2", (F.pmod(F.xxhash64("node"), F.col("nb")) + 1).cast("int")).join(rows, "node").select("a", "b2", F.col("b2").alias("blk"), "node", "text")
+    return lead.unionByName(most).select(F.col("a").alias("component"), F.lit(0).alias("b1"), "b2", "blk", "node", F.col("node").alias("part"), "text")
+
+
+def unresolved(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """(component, b1, b2, blk, node, part): the groups (component, node) of several parts (node, component), dealt to pairs of blocks.
+
+    One row for each pair a node's block takes part in; blocks of a group's largest part do not meet each other.
+    """
+    g = written(groups.join(parts.select("node", F.col("component").alias("part")), "node", "left").select("component", "node", F.coalesce("part", "node").alias("part")), "parts")
+    sizes = g.groupBy("component", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("component").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("n"))
+    sizes = written(sizes.where("m < n"), "unresolved")
+    g = by_class(g, sizes, ["component"])
+    n_main, n_rest = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int")
+    main, place = F.col("part") == F.col("main"), F.xxhash64("node")
+    g = g.withColumn("blk", F.when(main, F.pmod(place, n_main)).otherwise(n_main + F.pmod(place, n_rest)).cast("int"))
+    g = g.withColumn("other", F.explode(F.sequence(F.when(main, n_main).otherwise(0), n_main + n_rest - 1)))
+    return g.select("component", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk", "node", "part")
 
 
 def paired(df: DataFrame, payload: str, compare, n: int) -> DataFrame:
-    """Runs compare(lists of payload left, right, same) on every pair of blocks; returns forest edges (a, b)."""
+    """Runs compare(lists of payload left, right, ok) on every pair of blocks; returns forest edges (a, b).
+
+    ok says which pairs are in question: those of different parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple] = []
         for (_c, b1, b2), rows in grouped(batches, 3):
-            blk, node, load = rows
-            x = [i for i, v in enumerate(blk) if v == b1]
-            y = x if b1 == b2 else [i for i, v in enumerate(blk) if v == b2]
-            pairs = compare(load, np.array(x, dtype=np.int64), np.array(y, dtype=np.int64), b1 == b2)
-            edges += forest_edges(pairs, node, len(node))
+            blk, node, part, load = rows
+            blk, part = np.array(blk), np.array(part)
+            x = np.flatnonzero(blk == b1)
+            y = x if b1 == b2 else np.flatnonzero(blk == b2)
+            ok = part[x][:, None] != part[y][None, :]
+            if b1 == b2:
+                ok = np.triu(ok, 1)
+            if ok.any():
+                i, j = np.nonzero(compare([load[k] for k in x], [load[k] for k in y], ok))
+                edges += forest_edges(np.stack([x[i], y[j]], axis=1), node, len(node))
             if len(edges) > 20000:
                 yield edge_batch(edges)
                 edges = []
         yield edge_batch(edges)
 
     return (
-        df.select("component", "b1", "b2", "blk", "node", payload)
+        df.select("component", "b1", "b2", "blk", "node", "part", payload)
         .repartition(n, "component", "b1", "b2")
         .sortWithinPartitions("component", "b1", "b2")
         .mapInArrow(run, "a long, b long")
@@ -204,46 +268,77 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield now, rows
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 6, bits: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; links need den * |A & B| >= num * |A | B|."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    n = partitions(spark)
-    k = bands * rows
-    sig = written(signatures(docs, width, bands, rows, bits), "signatures")
-    full = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = written(
-        full.join(classes, ["set_a", "set_b", "n_shingles"]).where("doc_id = rep").select(F.col("doc_id").alias("node"), "keys", "sig").dropDuplicates(["node"]),
-        "classes",
-    )
-    keyed = reps.select(F.posexplode("keys").alias("band", "key"), "node")
-    first = keyed.groupBy("band", "key").agg(F.min("node").alias("a"))
-    stars = keyed.join(first, ["band", "key"]).where("node <> a").select("a", F.col("node").alias("b"))
-    loose = components(stars)
+def classes_of(full: DataFrame) -> DataFrame:
+    """Rows of equal shingle sets: set_a, set_b, n_shingles, node (first row), n, and the smallest id of each."""
+    return full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
 
-    floor = num / den - MARGIN
 
-    def by_bits(load: list[bytes], x: np.ndarray, y: np.ndarray, same: bool) -> np.ndarray:
-        s = np.frombuffer(b"".join(load), np.uint8).reshape(len(load), -1)
-        return group_pairs(x, y, same, estimate(s[x], s[y], k, bits) >= floor)
+def resolved(docs: DataFrame, by_id: bool, width: int, num: int, den: int, bands: int, rows: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all rows, those that can link with their id, their classes with component and the least id of it).
 
-    near = paired(blocked(loose.join(reps.select("node", "sig"), "node"), ["sig"]), "sig", by_bits, n)
-    tight = components(near)
+    The id is the doc_id if by_id, else doc_id and row number, so that ties are told apart.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    n, k = partitions(spark), bands * rows
+    every = written(signatures(docs, width, bands, rows, bits), "signatures")
+    ident = F.col("doc.doc_id") if by_id else F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), F.col("row"))
+    full = every.withColumn("id", ident).where("n_shingles > 0 and id is not null")
+    classes = written(classes_of(full), "classes")
+    reps = written(every.join(classes.select("node"), F.col("row") == F.col("node")).select("node", "keys", "sig"), "representatives")
+    texts = every.select(F.col("row").alias("node"), "text")
+    floor = num / den - MARGIN
 
-    def by_sets(load: list[str], x: np.ndarray, y: np.ndarray, same: bool) -> np.ndarray:
-        sets = shingle_sets(pa.array(load, pa.string()), width)
-        return group_pairs(x, y, same, confirmed([sets[i] for i in x], [sets[i] for i in y], num, den))
+    def by_sets(x: list[str], y: list[str], ok: np.ndarray) -> np.ndarray:
+        i, j = ok.any(1), ok.any(0)
+        left, right = (shingle_sets(pa.array([t for t, m in zip(z, k.tolist(), strict=True) if m], pa.string()), width) for z, k in ((x, i), (y, j)))
+        ok[np.ix_(i, j)] &= confirmed(left, right, num, den)
+        return ok
+
+    def by_bits(x: list, y: list, ok: np.ndarray) -> np.ndarray:
+        left, right = (np.array(z, np.int64).view(np.uint8).reshape(len(z), -1)[:, : -(-k * bits // 8)] for z in (x, y))
+        return ok & (estimate(left, right, k, bits) >= floor)
+
+    first, shared = with_leaders(reps, k, bits, floor)
+    sure = written(paired(starred(first, texts), "text", by_sets, n), "sure")
+    parts = components(sure)
+    near = written(paired(unresolved(components(shared), parts).join(reps.select("node", "sig"), "node"), "sig", by_bits, n), "near")
+    if not near.isEmpty():
+        spanned = near.unionByName(parts.select(F.col("component").alias("a"), F.col("node").alias("b")))
+        more = paired(unresolved(components(spanned), parts).join(texts, "node"), "text", by_sets, n)
+        parts = components(sure.unionByName(more))
+    if by_id:  # texts that share an id are one document's, so their classes are one component
+        several = full.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("set_a", "set_b")])
+        several = written(several.where("min_set_a <> max_set_a or min_set_b <> max_set_b").select("id"), "several")
+        if not several.isEmpty():
+            key = ["set_a", "set_b", "n_shingles"]
+            ids = full.join(several, "id", "left_semi").select("id", *key).join(classes.select(*key, "node"), key)
+            same = ids.join(ids.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b"))
+            parts = components(same.unionByName(parts.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+    of = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of.groupBy("component").agg(F.min("id").alias("least"))
+    of = written(of.join(least, "component"), "classes")
+    return every, full, of
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where("doc_id is not null")
-    members = tight.join(texts, "node").dropDuplicates(["component", "node"])
-    sure = components(paired(blocked(members, ["text"]), "text", by_sets, n))
 
-    ids = classes.withColumnRenamed("rep", "node").join(sure, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("c"))
-    small = full.select("doc_id", "set_a", "set_b", "n_shingles").join(ids, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "c")
-    rest = sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("c"))
-    out = small.unionByName(rest)
-    return out.select("doc_id", "n_shingles", F.col("c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept"))
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 6, bits: int = 2) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; links need den * |A & B| >= num * |A | B|."""
+    every, full, of = resolved(docs, True, width, num, den, bands, rows, bits)
+    key = ["set_a", "set_b", "n_shingles"]
+    linked = by_class(full.select("id", *key), of.select(*key, "least", "n"), key).select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+    rest = every.where("n_shingles = 0 or doc.doc_id is null").select("doc.doc_id", "n_shingles", F.col("doc.doc_id").alias("component_id"))
+    return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def distinct_rows(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 6, bits: int = 2) -> DataFrame:
+    """The rows, with all their columns, less near duplicates: of each component one row stays, that of the smallest doc_id.
+
+    Null doc_ids come last and ties go by row, so one row stays where doc_ids are null or repeated too.
+    """
+    every, _, of = resolved(docs, False, width, num, den, bands, rows, bits)
+    stay = of.select(F.col("least.row").alias("row")).distinct()
+    kept = every.join(stay, "row", "left_semi").unionByName(every.where("n_shingles = 0"))
+    return kept.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def confirmed(x: list[np.ndarray], y: list[np.ndarray], num: int, den: int) -> np.ndarray:

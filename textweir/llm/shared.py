@@ -60,18 +60,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 #: A class with more than this share of all rows is joined by broadcast; there are fewer than 1 / HOT_SHARE of them.
-HOT_SHARE = 0.001
+HOT_SHARE, FEW = 0.001, 100
 
 
-def by_class(rows: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
-    """rows joined with their class; classes are distinct by keys, never null, and hold the number n of their rows.
+def by_class(rows: DataFrame, classes: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with their class; classes are a written table, distinct by keys, and hold the number n of their rows.
 
-    No task gets the rows of a large class: those classes, at most 1 / HOT_SHARE, are broadcast.
+    No task gets the rows of a large class: those classes, fewer than 1 / HOT_SHARE, are broadcast.
     """
-    total = classes.agg(F.sum("n")).head()[0] or 0
-    hot = F.col("n") > max(1, int(total * HOT_SHARE))
-    if classes.where(hot).isEmpty():
-        return rows.join(classes, keys)
-    large = classes.where(hot).withColumn("hot", F.lit(True))
-    mark = rows.join(F.broadcast(large.select(*keys, "hot")), keys, "left")
-    return mark.where("hot").drop("hot").join(F.broadcast(large.drop("hot")), keys).unionByName(mark.where("hot is null").drop("hot").join(classes.where(~hot), keys))
+    total, most = classes.agg(F.sum("n"), F.max("n")).head()
+    limit = max(FEW, int((total or 0) * HOT_SHARE))
+    if (most or 0) <= limit:
+        return rows.join(classes, keys, how)
+    large = classes.where(F.col("n") > limit)
+    mark = rows.join(F.broadcast(large.select(*keys, F.lit(True).alias("hot"))), keys, "left")
+    return mark.where("hot").drop("hot").join(F.broadcast(large), keys).unionByName(mark.where("hot is null").drop("hot").join(classes.where(F.col("n") <= limit), keys, how))
