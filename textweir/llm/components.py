@@ -9,27 +9,30 @@ from .shared import by_class, dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for all nodes of edges (a, b); component is the smallest node that is reachable.
+    """(node, component) for all nodes of edges (a, b); component is one node of those that are reachable.
 
-    Each round points every node at its smallest neighbour, jumps pointers once more and contracts.
-    The graph at least halves, so rounds are logarithmic in its size. Null ends are ignored. Nodes with
-    very many neighbours are joined by broadcast (see by_class), so no task gets all edges of one.
+    Each round points every node at one of its neighbours or itself, that with the smallest hash (another
+    hash each round, so chains in order of their numbers shrink like others), and contracts. Rounds are
+    logarithmic in the graph's size. Null ends are ignored. Nodes with very many neighbours are joined by
+    broadcast (see by_class), so no task gets all edges of one.
     """
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     e = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     found: DataFrame | None = None
-    while not e.isEmpty():
-        p = written(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p"), F.count(F.lit(1)).alias("n")), "parents")
-        pointed = written(p.groupBy("p").agg(F.count(F.lit(1)).alias("n")).join(p.select(F.col("a").alias("p"), F.col("p").alias("p2")), "p"), "pointed")
-        once = p
-        p = written(by_class(p.select("a", "p", F.col("n").alias("edges")), pointed, ["p"]).select("a", F.col("p2").alias("p"), F.col("edges").alias("n")), "parents")
-        dropped(once)
-        dropped(pointed)
+    turn = 0
+    while True:
+        best = F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("p")))
+        own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("p"))
+        p = e.groupBy("a").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).select("a", F.least("best", own)["p"].alias("p"), "n")
+        p = written(p, "parents")
+        total, most = p.agg(F.sum("n"), F.max("n")).head()
+        if not total:
+            break
         b = p.select(F.col("a").alias("b"), F.col("p").alias("pb"), "n")
-        nxt = by_class(by_class(e, p, ["a"]).select("b", "p"), b, ["b"]).where("p <> pb").select(F.col("p").alias("a"), F.col("pb").alias("b"))
-        nxt = written(nxt.distinct(), "edges")
+        nxt = by_class(by_class(e, p, ["a"], sizes=(total, most)).select("b", "p"), b, ["b"], sizes=(total, most))
+        nxt = written(nxt.where("p <> pb").select(F.col("p").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
         dropped(e)
-        e = nxt
+        e, turn = nxt, turn + 1
         if found is None:
             found = p
         else:

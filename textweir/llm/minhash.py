@@ -194,15 +194,18 @@ def starred(first: DataFrame, rows: DataFrame) -> DataFrame:
     return lead.unionByName(most).select(F.col("a").alias("component"), F.lit(0).alias("b1"), "b2", "blk", "node", F.col("node").alias("part"), "text")
 
 
-def unresolved(groups: DataFrame, parts: DataFrame) -> DataFrame:
+def unresolved(groups: DataFrame, parts: DataFrame) -> DataFrame | None:
     """(component, b1, b2, blk, node, part): the groups (component, node) of several parts (node, component), dealt to pairs of blocks.
 
-    One row for each pair a node's block takes part in; blocks of a group's largest part do not meet each other.
+    None if there are none. One row for each pair a node's block takes part in; blocks of a group's largest part do not meet each other.
     """
     g = written(groups.join(parts.select("node", F.col("component").alias("part")), "node", "left").select("component", "node", F.coalesce("part", "node").alias("part")), "parts")
     sizes = g.groupBy("component", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("component").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("n"))
     sizes = written(sizes.where("m < n"), "unresolved")
-    g = by_class(g, sizes, ["component"])
+    total, most = sizes.agg(F.sum("n"), F.max("n")).head()
+    if not total:
+        return None
+    g = by_class(g, sizes, ["component"], sizes=(total, most))
     n_main, n_rest = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int")
     main, place = F.col("part") == F.col("main"), F.xxhash64("node")
     g = g.withColumn("blk", F.when(main, F.pmod(place, n_main)).otherwise(n_main + F.pmod(place, n_rest)).cast("int"))
@@ -302,8 +305,9 @@ def resolved(docs: DataFrame, by_id: bool, width: int, num: int, den: int, bands
     first, shared = with_leaders(reps, k, bits, floor)
     sure = written(paired(starred(first, texts), "text", by_sets, n), "sure")
     parts = components(sure)
-    near = written(paired(unresolved(components(shared), parts).join(reps.select("node", "sig"), "node"), "sig", by_bits, n), "near")
-    if not near.isEmpty():
+    open_ = unresolved(components(shared), parts)
+    near = open_ and written(paired(open_.join(reps.select("node", "sig"), "node"), "sig", by_bits, n), "near")
+    if near and not near.isEmpty():
         spanned = near.unionByName(parts.select(F.col("component").alias("a"), F.col("node").alias("b")))
         more = paired(unresolved(components(spanned), parts).join(texts, "node"), "text", by_sets, n)
         parts = components(sure.unionByName(more))

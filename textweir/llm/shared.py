@@ -63,12 +63,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 HOT_SHARE, FEW = 0.001, 100
 
 
-def by_class(rows: DataFrame, classes: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def by_class(rows: DataFrame, classes: DataFrame, keys: list[str], how: str = "inner", sizes: tuple | None = None) -> DataFrame:
     """rows joined with their class; classes are a written table, distinct by keys, and hold the number n of their rows.
 
-    No task gets the rows of a large class: those classes, fewer than 1 / HOT_SHARE, are broadcast.
+    sizes, if known: sum and maximum of n. No task gets the rows of a large class: those classes, fewer than 1 / HOT_SHARE, are broadcast.
     """
-    total, most = classes.agg(F.sum("n"), F.max("n")).head()
+    total, most = sizes or classes.agg(F.sum("n"), F.max("n")).head()
     limit = max(FEW, int((total or 0) * HOT_SHARE))
     if (most or 0) <= limit:
         return rows.join(classes, keys, how)
