@@ -5,41 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_class, dropped, written
+from .shared import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (a, b); component is one node of those that are reachable.
 
-    Each round points every node at one of its neighbours or itself, that with the smallest hash (another
-    hash each round, so chains in order of their numbers shrink like others), and contracts. Rounds are
-    logarithmic in the graph's size. Null ends are ignored. Nodes with very many neighbours are joined by
-    broadcast (see by_class), so no task gets all edges of one.
+    Each round points every node at one of its neighbours or itself, and contracts: at the smallest in one
+    round (stars around it end at once), at that with the smallest hash in the next (chains in order of their
+    numbers shrink like others). Rounds are logarithmic in the graph's size. Null ends are ignored. Joins on a node
+    with very many neighbours are left to the engine's skew handling, which splits such partitions.
     """
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     e = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     found: DataFrame | None = None
     turn = 0
     while True:
-        best = F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("p")))
-        own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("p"))
-        p = e.groupBy("a").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).select("a", F.least("best", own)["p"].alias("p"), "n")
+        rank = (lambda c: F.xxhash64(c, F.lit(turn))) if turn % 2 else F.col
+        best = F.min(F.struct(rank("b").alias("h"), F.col("b").alias("p")))
+        own = F.struct(rank("a").alias("h"), F.col("a").alias("p"))
+        p = e.groupBy("a").agg(best.alias("best")).select("a", F.least("best", own)["p"].alias("p"))
         p = written(p, "parents")
-        total, most = p.agg(F.sum("n"), F.max("n")).head()
-        if not total:
+        if p.isEmpty():
             break
-        b = p.select(F.col("a").alias("b"), F.col("p").alias("pb"), "n")
-        nxt = by_class(by_class(e, p, ["a"], sizes=(total, most)).select("b", "p"), b, ["b"], sizes=(total, most))
+        b = p.select(F.col("a").alias("b"), F.col("p").alias("pb"))
+        nxt = e.join(p, "a").select("b", "p").join(b, "b")
         nxt = written(nxt.where("p <> pb").select(F.col("p").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
         dropped(e)
         e, turn = nxt, turn + 1
         if found is None:
             found = p
         else:
-            old, many = found, found.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-            step = written(p.select(F.col("a").alias("p"), F.col("p").alias("p2")).join(many, "p"), "step")
-            found = written(by_class(old.select("a", "p"), step, ["p"], "left").select("a", F.coalesce("p2", "p").alias("p")), "found")
-            for done in (old, step, p):
+            old, step = found, p.select(F.col("a").alias("p"), F.col("p").alias("p2"))
+            found = written(old.join(step, "p", "left").select("a", F.coalesce("p2", "p").alias("p")), "found")
+            for done in (old, p):
                 dropped(done)
     dropped(e)
     if found is None:

@@ -3,11 +3,11 @@
 1. One pass over the texts: shingle hashes, `bands * rows` minima, band keys, and a packed
    signature that keeps only the low `bits` bits of each minimum. Rows get a number, and are written.
 2. Rows with equal shingle sets form one class; only its first row goes on.
-3. Rows that share a band key meet in a bucket. Each is paired with the bucket's leader (the first row in
-   even bands, the one with the smallest hash in odd ones): differing signature bits are counted and
-   corrected for chance collisions (two different minima agree in their low bits with probability
-   2**-bits). The LEADERS most similar pairs of a row are confirmed on full shingle sets. This is linear,
-   and joins what is alike throughout.
+3. Rows that share a band key meet in a bucket. Each is paired with the bucket's leader (its first row, in
+   one band of HASHED that with the smallest hash). Of the LEADERS that a row has in most bands, differing
+   signature bits are counted and corrected for chance collisions (two different minima agree in their low
+   bits with probability 2**-bits), and what is near the threshold is confirmed on full shingle sets. This
+   is linear, and joins what is alike throughout.
 4. What shares a bucket directly or over others is a group. Where a group holds several of the parts found
    so, pairs of rows of different parts are compared, block by block: by signature bits, and those near the
    threshold on full sets. Rows of the largest part meet those of the others only. A spanning forest of
@@ -37,9 +37,9 @@ from pyspark.sql import types as T
 
 from . import bytehash as H
 from .components import components
-from .shared import by_class, dropped, partitions, small_batches, written
+from .shared import by_class, partitions, small_batches, written
 
-BLOCK, LEADERS = 144, 2
+BLOCK, LEADERS, HASHED = 144, 2, 8
 MARGIN = 0.19
 
 
@@ -172,25 +172,22 @@ def similarity(x: Column, y: Column, k: int, bits: int) -> Column:
 def with_leaders(reps: DataFrame, k: int, bits: int, floor: float) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, node) to confirm first, links (a, b) of all that share a bucket)."""
     keyed = reps.select(F.posexplode("keys").alias("band", "key"), "node")
-    leader = F.when(F.col("band") % 2 == 0, F.min("node")).otherwise(F.min_by("node", F.xxhash64("node")))
-    buckets = written(keyed.groupBy("band", "key").agg(leader.alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    pairs = written(by_class(keyed, buckets, ["band", "key"]).where("node <> a").select("a", "node").distinct(), "pairs")
+    leader = F.when(F.col("band") % HASHED == HASHED - 1, F.min_by("node", F.xxhash64("node"))).otherwise(F.min("node"))
+    buckets = keyed.groupBy("band", "key").agg(leader.alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = keyed.join(buckets, ["band", "key"]).where("node <> a").groupBy("node", "a").agg(F.count(F.lit(1)).alias("n"))
+    # at most one leader a band, so the list of a node is short; leaders of most bands first
+    met = written(met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "a"))).alias("met")), "met")
     sigs = reps.select("node", "sig")
-    leaders = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("lead")), "a"), "leaders")
-    near = by_class(pairs.join(sigs, "node"), leaders, ["a"]).select("a", "node", similarity(F.col("sig"), F.col("lead"), k, bits).alias("est")).where(F.col("est") >= floor)
-    # at most one leader a band, so the list of a node is short
-    best = near.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("est")).alias("e"), "a"))), 1, LEADERS).alias("best"))
-    first = written(best.select("node", F.explode("best.a").alias("a")), "first")
-    dropped(buckets)
-    dropped(leaders)
-    return first, pairs.select("a", F.col("node").alias("b"))
+    first = met.select("node", F.explode(F.slice("met.a", 1, LEADERS)).alias("a")).join(sigs, "node")
+    first = first.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("lead")), "a").where(similarity(F.col("sig"), F.col("lead"), k, bits) >= floor)
+    return written(first.select("a", "node"), "first"), met.select(F.col("node").alias("b"), F.explode("met.a").alias("a")).select("a", "b")
 
 
 def starred(first: DataFrame, rows: DataFrame) -> DataFrame:
     """Blocks of rows with their leader, for paired(): the leader is block 0."""
-    sizes = written(first.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "sizes").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sizes = first.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
     lead = sizes.join(rows, F.col("a") == F.col("node")).withColumn("b2", F.explode(F.sequence(F.lit(1), F.col("nb")))).select("a", "b2", F.lit(0).alias("blk"), "node", "text")
-    most = by_class(first, sizes, ["a"]).withColumn("b2", (F.pmod(F.xxhash64("node"), F.col("nb")) + 1).cast("int")).join(rows, "node").select("a", "b2", F.col("b2").alias("blk"), "node", "text")
+    most = first.join(sizes, "a").withColumn("b2", (F.pmod(F.xxhash64("node"), F.col("nb")) + 1).cast("int")).join(rows, "node").select("a", "b2", F.col("b2").alias("blk"), "node", "text")
     return lead.unionByName(most).select(F.col("a").alias("component"), F.lit(0).alias("b1"), "b2", "blk", "node", F.col("node").alias("part"), "text")
 
 
@@ -202,10 +199,9 @@ def unresolved(groups: DataFrame, parts: DataFrame) -> DataFrame | None:
     g = written(groups.join(parts.select("node", F.col("component").alias("part")), "node", "left").select("component", "node", F.coalesce("part", "node").alias("part")), "parts")
     sizes = g.groupBy("component", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("component").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("n"))
     sizes = written(sizes.where("m < n"), "unresolved")
-    total, most = sizes.agg(F.sum("n"), F.max("n")).head()
-    if not total:
+    if sizes.isEmpty():
         return None
-    g = by_class(g, sizes, ["component"], sizes=(total, most))
+    g = g.join(sizes, "component")
     n_main, n_rest = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int")
     main, place = F.col("part") == F.col("main"), F.xxhash64("node")
     g = g.withColumn("blk", F.when(main, F.pmod(place, n_main)).otherwise(n_main + F.pmod(place, n_rest)).cast("int"))
@@ -313,7 +309,7 @@ def resolved(docs: DataFrame, by_id: bool, width: int, num: int, den: int, bands
         parts = components(sure.unionByName(more))
     if by_id:  # texts that share an id are one document's, so their classes are one component
         several = full.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("set_a", "set_b")])
-        several = written(several.where("min_set_a <> max_set_a or min_set_b <> max_set_b").select("id"), "several")
+        several = several.where("min_set_a <> max_set_a or min_set_b <> max_set_b").select("id")
         if not several.isEmpty():
             key = ["set_a", "set_b", "n_shingles"]
             ids = full.join(several, "id", "left_semi").select("id", *key).join(classes.select(*key, "node"), key)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import by_class, dropped, partitions, written
 
-NEAREST, BLOCK, APART = 5, 2048, 0.8
+NEAREST, BLOCK, APART, SMALL = 5, 1024, 0.8, 128
 #: Pivots number about PER_ROOT times the root of the vectors, within these bounds; the sample is SAMPLE times as large.
 PER_ROOT, FEWEST, MOST, SAMPLE = 4, 64, 4096, 4
 
@@ -148,9 +148,13 @@ def stars(ok: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(first), np.concatenate(other)
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Runs of equal leading columns of sorted batches, as (key, the other columns)."""
     now, held = None, []
+
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for b in batches:
         if not b.num_rows:
             continue
@@ -161,12 +165,12 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
             if i == len(k) or k[i] != k[at]:
                 if k[at] != now:
                     if held:
-                        yield now, pa.Table.from_batches(held).combine_chunks()
+                        yield now, whole()
                     now, held = k[at], []
                 held.append(rest.slice(at, i - at))
                 at = i
     if held:
-        yield now, pa.Table.from_batches(held).combine_chunks()
+        yield now, whole()
 
 
 def linked(lists: DataFrame, least: float, n: int) -> DataFrame:
@@ -175,9 +179,10 @@ def linked(lists: DataFrame, least: float, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_label, dim, p, q, b1, b2), t in runs(batches, 6):
             blk, node, many = (t.column(k).to_numpy() for k in range(3))
-            near = t.column(3).chunk(0)
-            near = near.flatten().to_numpy().reshape(len(blk), -1)
-            flat, _ = vectors_of(t.column(4).chunk(0))
+            m = t.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(blk), dim)
+            if len(blk) <= SMALL and b1 == b2 and not alike(m, least):
+                continue
+            near = t.column(3).flatten().to_numpy().reshape(len(blk), -1)
             x = np.flatnonzero(blk == b1)
             y = x if b1 == b2 else np.flatnonzero(blk == b2)
             if not len(x) or not len(y):
@@ -192,7 +197,6 @@ def linked(lists: DataFrame, least: float, n: int) -> DataFrame:
                 if not len(x) or not len(y):
                     continue
                 ok = mine[ix[:, None], iy[None, :]]
-            m = flat.reshape(len(blk), dim)
             ok &= unit(m[x]) @ unit(m[y]).T >= least
             if b1 == b2:
                 ok &= node[x][:, None] != node[y][None, :]
@@ -215,6 +219,12 @@ def linked(lists: DataFrame, least: float, n: int) -> DataFrame:
     return lists.select(*keys, "blk", "node", "n", "near", "embedding").repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, c long")
 
 
+def alike(m: np.ndarray, least: float) -> bool:
+    """Whether any two of a few vectors may have a cosine of at least `least` (most short lists hold none)."""
+    u = unit(m)
+    return bool((np.tril(u @ u.T, -1) >= least).any())
+
+
 def square(ok: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     """ok between rows x and y of one block, as a symmetric matrix over all n rows."""
     if len(x) == len(y) == n:

@@ -63,15 +63,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 HOT_SHARE, FEW = 0.001, 100
 
 
-def by_class(rows: DataFrame, classes: DataFrame, keys: list[str], how: str = "inner", sizes: tuple | None = None) -> DataFrame:
+def by_class(rows: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
     """rows joined with their class; classes are a written table, distinct by keys, and hold the number n of their rows.
 
-    sizes, if known: sum and maximum of n. No task gets the rows of a large class: those classes, fewer than 1 / HOT_SHARE, are broadcast.
+    No task gets the rows of a large class: those classes, fewer than 1 / HOT_SHARE, are broadcast.
     """
-    total, most = sizes or classes.agg(F.sum("n"), F.max("n")).head()
+    total, most = classes.agg(F.sum("n"), F.max("n")).head()
     limit = max(FEW, int((total or 0) * HOT_SHARE))
     if (most or 0) <= limit:
-        return rows.join(classes, keys, how)
+        return rows.join(classes, keys)
     large = classes.where(F.col("n") > limit)
     mark = rows.join(F.broadcast(large.select(*keys, F.lit(True).alias("hot"))), keys, "left")
-    return mark.where("hot").drop("hot").join(F.broadcast(large), keys).unionByName(mark.where("hot is null").drop("hot").join(classes.where(F.col("n") <= limit), keys, how))
+    return mark.where("hot").drop("hot").join(F.broadcast(large), keys).unionByName(mark.where("hot is null").drop("hot").join(classes.where(F.col("n") <= limit), keys))
