@@ -106,3 +106,35 @@ def test_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert bytecnn.classify(docs, labels).count() == bigru.classify(docs, labels).count() == 1
     assert bytecnn.classify(docs.limit(0), labels).count() == bigru.classify(docs.limit(0), labels).count() == 0
+
+
+def test_scores_equal_a_plain_forward_pass():
+    """bytecnn over a whole text, chunk by chunk and patch by patch."""
+    r = np.random.default_rng(1)
+    m = bytecnn.train(pa.array([], pa.string()), np.zeros(0, np.float32), np.zeros(0, np.float32)) | {"o": r.normal(0, 0.3, bytecnn.HIDDEN).astype(np.float32)}
+    for text in ("", "short", "The Quick brown fox! " * 90, "ä1b2 " * 400):
+        data = text.encode()
+        half = bytecnn.HALF
+        data = data.ljust(max(2, -(-len(data) // half)) * half, b"\0")
+        chunks = []
+        for a in range(0, len(data) - half, half):
+            best = np.full(bytecnn.FILTERS, -np.inf)
+            for lo in (a, a + half):
+                for k in range(0, half - bytecnn.WIDTH + 1, bytecnn.STRIDE):
+                    best = np.maximum(best, np.concatenate([bytecnn.CODES[b] for b in data[lo + k : lo + k + bytecnn.WIDTH]]) @ m["w"] + m["b"])
+            chunks.append(np.maximum(best, 0))
+        c = np.array(chunks)
+        f = np.concatenate([c.mean(0), c.max(0), c.min(0)])
+        want = 1 / (1 + np.exp(-(np.tanh(f @ m["h"] + m["hb"]) @ m["o"] + m["ob"][0])))
+        assert abs(bytecnn.scores(pa.array([text]), m)[0] - want) < 1e-4
+
+
+def test_training_uses_whole_texts(monkeypatch):
+    """The sign of a class stands at the end of long texts only, in any of their pieces."""
+    monkeypatch.setattr(bytecnn, "STEPS", 120)
+    monkeypatch.setattr(bytecnn, "PIECE", 7)
+    rows = [(prose(300) + (" " + junk(60) if k % 2 else ""), k % 2) for k in range(80)]
+    y = np.array([k for _, k in rows], np.float32)
+    m = bytecnn.train(pa.array([t for t, _ in rows]), y, np.ones(len(y), np.float32))
+    test = [(prose(900) + (" " + junk(60) if k % 2 else ""), k % 2) for k in range(40)]
+    assert ((bytecnn.scores(pa.array([t for t, _ in test]), m) > 0.5) == np.array([k for _, k in test])).mean() > 0.9

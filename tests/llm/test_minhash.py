@@ -23,7 +23,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("width", "num"), [(3, 85), (5, 80)])
+@pytest.mark.parametrize(("width", "num"), [(5, 80)])  # (3, 85) below, on a table
 def test_matches_brute_force(spark, width, num):
     rows = corpus()
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, num).collect()

@@ -201,3 +201,18 @@ def test_spelled_out_and_wrapped_names(spark, tmp_path):
 def test_no_python_in_plan(spark, query):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.split("Physical Plan")[-1]
+
+
+def test_short_keys_by_length(spark):
+    """Random keys under 20 characters are found where they hold a digit; ordinary identifiers, dates and words are not."""
+    r = random.Random(3)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = [(n, "".join(r.choice(signs) for _ in range(n))) for n in range(12, 20) for _ in range(100)]
+    plain = ["2024-01-15T10:20", "version2update", "page_12_of_30ab", "configuration", "get-value-2021-now", "understanding2x", "tel 0123456789012"]
+    model = secrets.train(secrets.labelled_samples(spark))
+    rows = [(n, f"see {k}, please") for n, k in keys] + [(0, t) for t in plain]
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert all(not r.spans for r in out if r.doc_id == 0)
+    for n in range(12, 20):
+        found = [any(x.k == 3 and (x.s, x.e) == (4, 4 + n) for x in r.spans) or any(x.k < 3 for x in r.spans) for r in out if r.doc_id == n]
+        assert sum(found) >= 78, (n, sum(found))

@@ -54,20 +54,24 @@ def test_table_has_no_links_of_its_own(spark):
     assert got(queries.op4_pivots(spark, "/root/testdata/sf0.01")) == want(rows)
 
 
-@pytest.mark.parametrize("share", [0.1, 0.5, 0.9])
-def test_recall_with_a_tight_cluster(spark, share):
-    """1,500 vectors of 64 dimensions, of which a share lies in one cluster whose pairs are around the threshold."""
+def test_recall_with_tight_clusters(spark):
+    """Three labels of 800 vectors of 64 dimensions, of which a share lies in one cluster whose pairs are around the threshold."""
     r = np.random.default_rng(8)
-    n, tight = 1500, int(1500 * share)
-    v = r.normal(size=(n, 64))
-    v[:tight] = r.normal(size=64) + r.normal(size=(tight, 64)) * 0.14
-    v[-60:-30] = v[-30:] + r.normal(size=(30, 64)) * 0.16 * np.linalg.norm(v[-30:], axis=1, keepdims=True) / 8
-    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
-    m = pivots.unit(v.astype(np.float32))
-    true = (m @ m.T >= 0.98).sum(1) - 1
+    rows, true = [], {}
+    for label, share in enumerate((0.1, 0.5, 0.9)):
+        tight = int(800 * share)
+        v = r.normal(size=(800, 64))
+        v[:tight] = r.normal(size=64) + r.normal(size=(tight, 64)) * 0.14
+        v[-60:-30] = v[-30:] + r.normal(size=(30, 64)) * 0.16 * np.linalg.norm(v[-30:], axis=1, keepdims=True) / 8
+        m = pivots.unit(v.astype(np.float32))
+        links = (m @ m.T >= 0.98).sum(1) - 1
+        assert links.sum() > 1000
+        true |= {len(rows) + i: (label, n) for i, n in enumerate(links.tolist())}
+        rows += [(len(rows) + i, x.tolist(), label) for i, x in enumerate(v)]
     found = got(pivots.near_duplicates(spark.createDataFrame(rows, SCHEMA)))
-    assert true.sum() > 2000 and all(found[i][0] <= true[i] for i in range(n))
-    assert sum(n for n, _ in found.values()) >= 0.99 * true.sum()
+    assert all(found[i][0] <= n for i, (_, n) in true.items())
+    for k in range(3):
+        assert sum(found[i][0] for i, (label, _) in true.items() if label == k) >= 0.99 * sum(n for label, n in true.values() if label == k)
 
 
 def test_labels_and_components_of_any_type(spark):

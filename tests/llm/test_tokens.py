@@ -73,10 +73,13 @@ def test_packing(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("start", F.lit("clash")).repartition(3)
     rows = packing.pack(df).collect()
     check_packing(docs, rows)
-    sizes = {}
-    for s in {(r.step_group, r.sequence_id, r.window) for r in rows if r.window in packing.TIERS}:
-        sizes.setdefault((s[0], s[2]), []).append(s[2])
-    assert all(sum(v) <= 16384 for v in sizes.values())
+    tokens = {}
+    for group, _, window in {(r.step_group, r.sequence_id, r.window) for r in rows}:
+        tokens.setdefault(group >> 36, {}).setdefault(group, []).append(window)
+    for groups in tokens.values():  # of each partition, all groups but the last are full
+        sums = [sum(groups[g]) for g in sorted(groups)]
+        assert sorted(groups) == list(range(min(groups), min(groups) + len(groups)))
+        assert all(x == 16384 for x in sums[:-1]) and 0 < sums[-1] <= 16384
 
 
 def test_packing_of_nothing_and_of_repeated_rows(spark):

@@ -3,7 +3,8 @@
 Bytes are described by character class and a fixed random code. Learned filters of WIDTH bytes run at
 every STRIDE bytes over the whole text; activations are max-pooled over chunks of 2 * HALF bytes
 that overlap by half. The mean, largest and smallest of each filter over a text's chunks go through
-one hidden layer to one probability. Filters and layers are trained together by back-propagation.
+one hidden layer to one probability. Filters and layers are trained together by back-propagation over
+whole texts, PIECE halves at a time, so that memory stays small.
 
 A null or empty text is one chunk of padding and gets a probability like any other. Repeated rows
 get equal scores; a null doc_id stays null and is not held out. Extra columns are ignored. Without
@@ -24,7 +25,7 @@ from .labelled import Adam, held_out, sample, sigmoid
 from .shared import small_batches
 
 WIDTH, STRIDE, HALF, FILTERS, HIDDEN, DIMS = 8, 4, 256, 32, 16, 10
-STEPS, EPOCHS, BATCH, MOST_HALVES = 400, 8, 32, 16
+STEPS, EPOCHS, BATCH, PIECE = 400, 8, 32, 1024
 Model = dict[str, np.ndarray]
 
 
@@ -83,13 +84,13 @@ def logits(f: np.ndarray, m: Model) -> np.ndarray:
 def scores(col: pa.Array, m: Model) -> np.ndarray:
     """Probabilities of a column of whole texts; very long texts are pooled piece by piece."""
     x, first = padded(*H.text_bytes(col))
-    step = 1024 * HALF
+    step = PIECE * HALF
     half = np.concatenate([pooled(x[i : i + step], m) for i in range(0, len(x), step)])
     return sigmoid(logits(features(half, first), m).astype(np.float64))
 
 
 def train(texts: pa.Array, y: np.ndarray, w: np.ndarray, seed: int = 7) -> Model:
-    """A model from texts, labels 0/1 and weights; of a long text an epoch uses one run of at most MOST_HALVES halves."""
+    """A model from whole texts, labels 0/1 and weights."""
     r = np.random.default_rng(seed)
     m: Model = {
         "w": r.normal(0, 0.25, (WIDTH * DIMS, FILTERS)).astype(np.float32),
@@ -109,18 +110,20 @@ def train(texts: pa.Array, y: np.ndarray, w: np.ndarray, seed: int = 7) -> Model
         order = r.permutation(len(y))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            size = np.minimum(off[rows + 1] - off[rows], MOST_HALVES * HALF)
-            start = off[rows] + (r.random(len(rows)) * (off[rows + 1] - off[rows] - size + 1)).astype(np.int64)
+            size = off[rows + 1] - off[rows]
             own = np.concatenate([[0], np.cumsum(size)])
-            part = data[np.repeat(start - own[:-1], size) + np.arange(own[-1])]
+            part = data[np.repeat(off[rows] - own[:-1], size) + np.arange(own[-1])]
             adam.step(gradients(*padded(part, own), y[rows], w[rows], m))
     return m
 
 
 def gradients(x: np.ndarray, first: np.ndarray, y: np.ndarray, w: np.ndarray, m: Model) -> Model:
-    act = activations(x, m)
-    best = act.argmax(axis=1)  # (halves, filters)
-    top = np.take_along_axis(act, best[:, None], 1)[:, 0] + m["b"]
+    best, top = [], []
+    for i in range(0, len(x), PIECE * HALF):
+        act = activations(x[i : i + PIECE * HALF], m)
+        best.append(act.argmax(axis=1))  # (halves, filters)
+        top.append(np.take_along_axis(act, best[-1][:, None], 1)[:, 0] + m["b"])
+    best, top = np.concatenate(best), np.concatenate(top)
     half = np.maximum(top, 0)
     f = features(half, first)
     t = np.tanh(f @ m["h"] + m["hb"])
@@ -142,8 +145,11 @@ def gradients(x: np.ndarray, first: np.ndarray, y: np.ndarray, w: np.ndarray, m:
     dh *= top > 0
     n = HALF // WIDTH
     place = np.where(best < n, best * WIDTH, (best - n) * WIDTH + STRIDE) + np.arange(len(half))[:, None] * HALF
-    patch = CODES[x[place[..., None] + np.arange(WIDTH)]].reshape(len(half), FILTERS, -1)
-    return g | {"w": np.einsum("hf,hfp->pf", dh, patch, optimize=True), "b": dh.sum(0)}
+    dw = np.zeros_like(m["w"])
+    for i in range(0, len(half), PIECE):
+        patch = CODES[x[place[i : i + PIECE, :, None] + np.arange(WIDTH)]].reshape(-1, FILTERS, WIDTH * DIMS)
+        dw += np.einsum("hf,hfp->pf", dh[i : i + PIECE], patch, optimize=True)
+    return g | {"w": dw, "b": dh.sum(0)}
 
 
 def score(docs: DataFrame, m: Model) -> DataFrame:

@@ -7,7 +7,9 @@ same and shorter tiers that fit, and the rest of the gap with a cut head of a sh
 tail goes back to the tier of its length. What a partition has left at its end is cut into windows
 of powers of two. So no window is padded, and each id lies in exactly one piece.
 
-Windows of a tier are dealt to step groups of equal token counts, serpentine by number of pieces.
+Windows of a size are dealt to step groups of exactly step_tokens tokens, serpentine by number of pieces;
+those short of a group wait for the next flush, and at a partition's end windows of all sizes fill groups
+together, so that only the last group of a partition may hold fewer.
 Packing is local to a partition and streams: it keeps at most FLUSH tokens and needs no shuffle.
 
 A null or empty text is its end id alone. Rows that repeat are packed again. A null doc_id stays
@@ -99,17 +101,28 @@ def windows(pieces: list[Piece], tiers: tuple[int, ...], last: bool) -> tuple[li
     return out, left
 
 
-def step_groups(made: list[tuple[int, list[Piece]]], tokens: int) -> list[int]:
-    """A step group for each window: groups of a size hold the same number of windows, of mixed piece counts."""
-    group, base = [0] * len(made), 0
-    for size in sorted({w[0] for w in made}):
+def step_groups(made: list[tuple[int, list[Piece]]], tokens: int, last: bool) -> tuple[list[int], int]:
+    """(a step group for each window, -1 where it waits; number of groups): groups of exactly `tokens` tokens, of mixed piece counts.
+
+    With last, no window waits and the last group may hold fewer tokens. Sizes are powers of two that divide `tokens`.
+    """
+    group, base, left = [-1] * len(made), 0, []
+    for size in sorted({w[0] for w in made}, reverse=True):
         order = sorted((i for i, w in enumerate(made) if w[0] == size), key=lambda i: -len(made[i][1]))
-        n = max(1, -(-len(order) * size // tokens))
-        for k, i in enumerate(order):
+        each = tokens // size
+        n = len(order) // each
+        for k, i in enumerate(order[len(order) - n * each :]):
             lap, at = divmod(k, n)
             group[i] = base + (at if lap % 2 == 0 else n - 1 - at)
         base += n
-    return group
+        left += order[: len(order) - n * each]
+    if last:
+        held = 0
+        for i in left:  # largest first, so groups fill exactly
+            group[i] = base + held // tokens
+            held += made[i][0]
+        base += -(-held // tokens)
+    return group, base
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, spaced: bool = False, tiers: tuple[int, ...] = TIERS, step_tokens: int = 16384, with_ids: bool = True) -> DataFrame:
@@ -123,14 +136,19 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
         enc, base = encoder(tokenizer, spaced), TaskContext.get().partitionId() << 36
         held: dict[int, tuple] = {}  # key: (doc_id, ids)
         waiting: list[Piece] = []
+        waits: list[tuple[int, list[Piece]]] = []  # windows without a step group
         sequence = groups = tokens = key = 0
 
         def flush(last: bool) -> pa.RecordBatch:
-            nonlocal waiting, sequence, groups, tokens
+            nonlocal waiting, waits, sequence, groups, tokens
             made, waiting = windows(waiting, tiers, last)
+            made = waits + made
             rows: list[tuple] = []
-            steps = step_groups(made, step_tokens)
+            steps, n_groups = step_groups(made, step_tokens, last)
+            waits = [w for w, g in zip(made, steps, strict=True) if g < 0]
             for (size, window), g in zip(made, steps, strict=True):
+                if g < 0:
+                    continue
                 at = 0
                 for n, k, start in window:
                     doc, ids = held[k]
@@ -138,8 +156,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
                     rows.append((doc, start, n, zlib.crc32(part.tobytes()), len(ids), base + sequence, at, size, base + groups + g, part.view(np.int32) if with_ids else None))
                     at += n
                 sequence += 1
-            groups += max(steps, default=-1) + 1
-            keep = {k for _, k, _ in waiting}
+            groups += n_groups
+            keep = {k for _, k, _ in waiting} | {k for _, w in waits for _, k, _ in w}
             for k in [k for k in held if k not in keep]:
                 del held[k]
             tokens = sum(n for n, _, _ in waiting)

@@ -4,7 +4,9 @@ Two first-order models over single characters, one of random strings and one of
 are counted from labelled samples with DataFrame aggregations. A run of identifier characters is a
 span of kind markov when its mean log-likelihood ratio per transition reaches the threshold and it
 overlaps no span of a fixed shape. In any other run, what lies outside those spans is searched for parts
-that reach the threshold by themselves, as keys in paths do; no span is shorter than a run. The main path is one projection of built-in functions: no shuffle,
+that reach the threshold by themselves, as keys in paths do; no such part is shorter than SHORTEST. Shorter runs
+are scored as a whole, from LEAST_RUN characters on and where they hold a digit and two letters: of random
+keys of 12 letters and digits 88 % are found, of 16 characters 94 %, of 19 96 % (the others lack a digit). The main path is one projection of built-in functions: no shuffle,
 no Python. The model is a bounded table of 67 * 67 ratios, put into the plan as a constant.
 
 Null text is empty text; it has no spans. Repeated rows and null ids pass through. Extra columns of
@@ -27,9 +29,13 @@ HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-RUN = "[A-Za-z0-9+/_=-]{20,}"
+#: A run has SHORTEST characters; one of LEAST_RUN to SHORTEST - 1 is scored too if it stands alone and holds a digit and two letters.
+SHORTEST, LEAST_RUN = 20, 12
+RUN = (
+    f"[A-Za-z0-9+/_=-]{{{SHORTEST},}}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z][0-9+/_=-]*[A-Za-z])"
+    f"[A-Za-z0-9+/_=-]{{{LEAST_RUN},{SHORTEST - 1}}}(?![A-Za-z0-9+/_=-])"
+)
 THRESHOLD = 0.35
-SHORTEST = 20
 #: Parts of a run: segments between "/" and "=", and stretches of at least LEAST characters, which end where the sum falls by DROP.
 SEGMENT = "[A-Za-z0-9+_-]{20,}"
 LEAST, DROP, AROUND = 10, 10.0, 64
