@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,11 +110,29 @@ def found(stems: Column) -> Column:
     return F.when((n > 0) & likely, F.array_sort(every)).otherwise(F.array().cast(FOUND))
 
 
+def gate() -> str:
+    """A regex that every clause with a concept matches: a word begins with the root of a stem of the lexicon.
+
+    stem() only cuts suffixes, and restores at most one final e or y, so a word begins with its stem less these.
+    """
+    stems = {*lexicon(), *stems_of(V.PRONOUNS), *[p.split()[0] for p in phrase_table()]}
+    roots: dict[str, set] = {}
+    for s in stems:
+        root = s[:-1] if len(s) > 1 and s[-1] in "ey" else s
+        roots.setdefault(root[0], set()).add(root[1:])
+    # by first letter, so that most words fail at once
+    return "(?iu)(?<![0-9A-Za-z])(?:" + "|".join(f"{a}(?:{'|'.join(re.escape(x) for x in sorted(rest))})" for a, rest in sorted(roots.items())) + ")"
+
+
 def annotated(text: Column) -> Column:
-    """array<struct<stems, found, bound, extra>> by clause; bound: a trailing pronoun may stand for an instruction."""
+    """array<struct<stems, found, bound, extra>> by clause; bound: a trailing pronoun may stand for an instruction.
+
+    Stems are empty where no word of the clause begins as one of the lexicon does.
+    """
+    any_concept = gate()
 
     def one(clause: Column) -> Column:
-        return F.struct(F.transform(T.words(clause), T.stem).alias("stems"))
+        return F.struct(F.when(clause.rlike(any_concept), F.transform(T.words(clause), T.stem)).otherwise(F.array().cast("array<string>")).alias("stems"))
 
     def with_found(c: Column) -> Column:
         stems = c["stems"]

@@ -84,15 +84,20 @@ def clauses(c: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def shingles(c: Column, size: int = 4) -> Column:
-    """Distinct character n-grams of the normalised text; a shorter text is its own."""
+def grams(c: Column, size: int = 4) -> Column:
+    """Character n-grams of the normalised text, in order and with repeats; a shorter text is its own."""
 
-    def grams(body: Column) -> Column:
+    def of(body: Column) -> Column:
         n = F.length(body)
         every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), lambda i: F.substring(body, i, F.lit(size)))
-        return F.when(n <= size, F.array(body)).otherwise(F.array_distinct(every))
+        return F.when(n <= size, F.array(body)).otherwise(every)
+
+    return let(normalize(c), of)
 
-    return let(normalize(c), grams)
+
+def shingles(c: Column, size: int = 4) -> Column:
+    """Distinct character n-grams of the normalised text; a shorter text is its own."""
+    return F.array_distinct(grams(c, size))
 
 
 def containment(needle: Column, hay: Column) -> Column:

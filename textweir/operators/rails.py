@@ -6,6 +6,7 @@ the text to go on with. certain is false where a rail could not look; that is ne
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -96,24 +97,30 @@ def alignment() -> Rail:
     return Rail("alignment", lambda text, _: blocked_by(text, C.labels(text, C.chain_labels)), ("input", "context"))
 
 
-def similarity(seeds: list[str] = V.SEEDS, least: float = 0.75) -> Rail:
-    """Blocks when a clause contains at least that share of a seed's shingles; seeds are constants of the plan."""
+def seed_containment(text: Column, seeds: list[str], least: float) -> Column:
+    """The largest share of a seed's shingles that one clause contains; null where no clause can reach `least`.
 
-    def decide(text: Column, _: dict) -> Column:
-        known = [driver_shingles(s) for s in seeds]
-        every = T.strings(sorted({x for s in known for x in s}))
-        floor = min(-(-len(s) * 3 // 4) for s in known) if least == 0.75 else 1
+    One pass in place: the seeds' shingles are constants, and only clauses that hold enough of them are looked at closer.
+    """
+    known = [driver_shingles(s) for s in seeds]
+    every = T.strings(sorted({x for s in known for x in s}))
+    floor = max(1, min(math.ceil(len(s) * least) for s in known))
+
+    def near(common: Column) -> Column:
+        return F.when(F.size(common) >= floor, F.greatest(*[T.containment(T.strings(s), common) for s in known], F.lit(0.0)))
+
+    def close(clause: Column) -> Column:
+        return F.when(F.length(clause) >= floor, T.let(F.array_intersect(T.grams(clause), every), near))
 
-        def near(common: Column) -> Column:
-            hit = F.lit(False)
-            for s in known:
-                hit = hit | (T.containment(T.strings(s), common) >= least)
-            return F.when(F.size(common) >= floor, hit).otherwise(False)
+    return F.array_max(F.transform(T.clauses(text), close))
 
-        def close(clause: Column) -> Column:
-            return T.let(F.array_intersect(T.shingles(clause), every), near)
 
-        return blocked_by(text, F.when(F.exists(T.clauses(text), close), F.array(F.lit("known_attack"))).otherwise(none()))
+def similarity(seeds: list[str] = V.SEEDS, least: float = 0.75) -> Rail:
+    """Blocks when a clause contains at least that share of a seed's shingles; seeds are constants of the plan."""
+
+    def decide(text: Column, _: dict) -> Column:
+        hit = F.coalesce(seed_containment(text, seeds, least) >= least, F.lit(False))
+        return blocked_by(text, F.when(hit, F.array(F.lit("known_attack"))).otherwise(none()))
 
     return Rail("similarity", decide, ("input", "context"))
 

@@ -32,12 +32,13 @@ def sprt(score: Column, alpha: float = 0.01, beta: float = 0.05) -> Column:
 
 
 def content_words(text: Column) -> Column:
-    return F.array_distinct(F.filter(T.words(text), lambda w: ~w.isin(*V.STOP_WORDS)))
+    return F.filter(T.words(text), lambda w: ~w.isin(*V.STOP_WORDS))
 
 
 def escalation(turns: DataFrame, window: int = 6, tolerance: int = 2, overlap: float = 0.6) -> DataFrame:
     """turns (conv_id, turn, role, text, blocked) with a shape: repeated_refusals, paraphrase, reframed, reference_back or null.
 
+    categories holds the shape, after retry_after_refusal where it is a retry.
     The history of a turn is what stands before it in its conversation; refused are blocked user turns.
     """
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -45,12 +46,15 @@ def escalation(turns: DataFrame, window: int = 6, tolerance: int = 2, overlap: f
     t = turns.withColumn("_recent", F.sum(F.when(refused, 1).otherwise(0)).over(w.rowsBetween(-window, -1)))
     t = t.withColumn("_last", F.last(F.when(refused, F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     t = t.withColumn("_now", F.when(F.col("_last").isNotNull(), content_words(F.col("text")))).withColumn("_then", content_words(F.col("_last")))
-    # shares are of the words as they stand, so repeats count in the denominator's list, not here
+    # the share is of the words as they stand, repeats and all; what is common counts once
     common = F.size(F.array_intersect("_now", "_then"))
     same = (F.size("_now") >= 3) & (F.size("_then") > 0) & (common / F.size("_now") >= overlap)
     shape = F.when(F.col("_recent") > tolerance, "repeated_refusals").when(F.col("_last").isNull(), None).when(same, "paraphrase")
     shape = shape.when(F.col("text").rlike(V.REFRAMING) & (common > 0), "reframed").when(F.col("text").rlike(V.REFERENCE_BACK), "reference_back")
-    return t.withColumn("shape", shape).drop("_recent", "_last", "_now", "_then")
+    t = t.withColumn("shape", shape)
+    none = F.array().cast("array<string>")
+    retry = F.when(F.col("shape") == "repeated_refusals", none).otherwise(F.array(F.lit("retry_after_refusal")))
+    return t.withColumn("categories", F.when(F.col("shape").isNull(), none).otherwise(F.concat(retry, F.array("shape")))).drop("_recent", "_last", "_now", "_then")
 
 
 def history(turns: DataFrame, n: int = 12) -> DataFrame:

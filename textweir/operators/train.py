@@ -52,12 +52,22 @@ def bayes_score(texts: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     return c.join(weights, "feature").groupBy(key, "k").agg(F.sum("weight").alias("s")).groupBy(key).agg(F.max("s").alias("score"))
 
 
-def grouped_split(cases: DataFrame, group: str, stratum: str, seed: str) -> DataFrame:
-    """(group, stratum, role): groups in hash order within their stratum, dealt 5:1:1:1."""
-    g = cases.select(group, stratum).distinct()
-    order = F.sha2(F.concat(F.lit(seed), F.lit("\0"), F.col(group).cast("string")).cast("binary"), 256)
-    w = Window.partitionBy(stratum).orderBy(order, group)
-    return g.select(group, stratum, F.get(T.strings(ROLES), F.pmod(F.row_number().over(w) - 1, F.lit(len(ROLES)))).alias("role"))
+def grouped_split(cases: DataFrame, group: str, label: str, seed: str) -> DataFrame:
+    """(group, labels, role): groups in hash order within their set of labels, dealt 5:1:1:1; a group has one role.
+
+    Places come from counts by the hash's first byte and a window within each byte, so no task orders a whole stratum.
+    Raises ValueError where a set of labels has fewer groups than a cycle of roles.
+    """
+    g = cases.where(F.col(group).isNotNull()).groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(F.col(label).cast("string"))), "/").alias("labels"))
+    g = g.withColumn("h", F.sha2(F.concat(F.lit(seed), F.lit("\0"), F.col(group).cast("string")).cast("binary"), 256)).withColumn("byte", F.substring("h", 1, 2))
+    sizes = g.groupBy("labels", "byte").agg(F.count(F.lit(1)).alias("n"))  # at most 256 rows a set of labels
+    few = [r.labels for r in sizes.groupBy("labels").agg(F.sum("n").alias("n")).where(F.col("n") < len(ROLES)).collect()]
+    if few:
+        raise ValueError(f"{few[0]} needs at least {len(ROLES)} groups to fill the roles")
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("labels").orderBy("byte")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy("labels", "byte").orderBy("h", group)) - 1
+    d = g.join(before, ["labels", "byte"]).withColumn("place", place + F.col("before"))
+    return d.select(group, "labels", F.get(T.strings(ROLES), F.pmod("place", F.lit(len(ROLES))).cast("int")).alias("role"))
 
 
 def linear_features(text: Column, buckets: int, stride: int = 2, limit: int = 4000, most: int = 3) -> Column:

@@ -32,10 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+#: Only tables of at most so many input splits are ever dealt out anew; they are small, whatever the cluster.
+FEW_SPLITS = 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer input splits than half the cores is dealt out anew; larger ones are not moved."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
+    """A table of very few input splits, and fewer than half the cores, is dealt out anew; larger ones are never moved."""
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits <= FEW_SPLITS and splits < cores / 2 else df
 
 
 def q(s: str) -> str:

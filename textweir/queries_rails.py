@@ -259,17 +259,9 @@ hit AS (SELECT key, k, seed_id, COUNT(*) / any_value(size) AS c FROM sh JOIN see
 
 @query(f"WITH src AS (SELECT doc_id AS key, text FROM {SPLICED}), seeds AS (SELECT seed_id, body AS b FROM {sql_values(SEED_ROWS, 'seed_id, body')}), {SEEDS_SQL} SELECT key AS doc_id, round(max(c), 6) AS similarity FROM hit GROUP BY 1 HAVING max(c) >= 0.75")
 def seed_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Highest containment of a known attack in a clause: an inverted join on shingles, never clause by seed."""
-    seeds = spark.createDataFrame(SEED_ROWS, "seed_id int, text string")
-    return best_containment(spliced(spark, sf_dir).select(F.col("doc_id").alias("key"), "text"), seeds, 0.75).withColumnRenamed("key", "doc_id")
-
-
-def best_containment(texts: DataFrame, seeds: DataFrame, least: float) -> DataFrame:
-    """(key, similarity) of texts with a clause that contains a seed's shingles to at least that share; seeds are few and fixed."""
-    seed = seeds.select("seed_id", T.shingles(F.col("text")).alias("g")).select("seed_id", F.size("g").alias("size"), F.explode("g").alias("g"))
-    clause = texts.select("key", F.posexplode(T.clauses(F.col("text"))).alias("k", "c")).select("key", "k", F.explode(T.shingles(F.col("c"))).alias("g"))
-    hit = clause.join(seed, "g").groupBy("key", "k", "seed_id").agg((F.count(F.lit(1)) / F.any_value("size")).alias("c"))
-    return hit.groupBy("key").agg(F.round(F.max("c"), 6).alias("similarity")).where(F.col("similarity") >= least)
+    """Highest containment of a known attack in a clause, in one pass over the texts."""
+    d = spliced(spark, sf_dir).select("doc_id", F.round(R.seed_containment(F.col("text"), [t for _, t in SEED_ROWS], 0.75), 6).alias("similarity"))
+    return d.where("similarity >= 0.75")
 
 
 @query(f"WITH src AS (SELECT conv_id * 1000 + turn AS key, text FROM conversations), seeds AS (SELECT item_id * 1000 + z[1] AS seed_id, {sql_normalized('z[2]')} AS b FROM (SELECT item_id, UNNEST(list_zip(range(len(c)), c)) AS z FROM (SELECT item_id, {sql_clauses('text')} AS c FROM benchmark)) WHERE len(z[2]) >= 40), {SEEDS_SQL} SELECT key // 1000 AS conv_id, key % 1000 AS turn, round(max(c), 6) AS leak FROM hit GROUP BY key HAVING max(c) >= 0.4")

@@ -13,14 +13,17 @@ from .queries_base import SPLICED, q, query, spliced, sql_list, sql_matching, sq
 
 
 @query(
-    "WITH s AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id < 10), p AS (SELECT e.vec_id, s.vec_id AS seed, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) AS c FROM embeddings e, s WHERE e.vec_id >= 10) SELECT vec_id, round(max(c), 5) AS best FROM p GROUP BY 1"
+    "WITH s AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) SELECT s.vec_id, round(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[]))), 5) AS best FROM s JOIN embeddings e ON e.vec_id <> s.vec_id GROUP BY 1"
 )
 def embedding_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Highest cosine of each vector with ten fixed seeds, which become constants of the plan."""
-    e = table(spark, sf_dir, "embeddings")
-    seeds = [r.embedding for r in e.where("vec_id < 10").select("embedding").collect()]  # ten rows
-    c = F.greatest(*[T.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in s])) for s in seeds])
-    return e.where("vec_id >= 10").select("vec_id", F.round(c, 5).alias("best"))
+    """Highest cosine of each query vector (ids divisible by 100) with any other vector, block of queries by block."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = e.where("vec_id % 100 = 0")
+    blocks = asked.groupBy(F.floor(F.col("vec_id") / 6400).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))  # at most 64 queries a block
+    parts = e.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    dealt = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    near = parts.join(dealt, "part").select("vec_id", F.explode(F.transform("asked", lambda a: F.struct(a["vec_id"].alias("q"), F.when(a["vec_id"] != F.col("vec_id"), T.cosine(F.col("v"), a["v"])).alias("c")))).alias("x"))
+    return near.groupBy(F.col("x.q").alias("vec_id")).agg(F.round(F.max("x.c"), 5).alias("best"))
 
 
 @query("SELECT user_id, round(max(m), 6) AS worst FROM (SELECT user_id, avg(value) OVER w AS m, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) WHERE n = 16 GROUP BY 1")
@@ -35,7 +38,7 @@ BLOCKED = "(role = 'user' AND (length(text) % 3) = 0)"
 
 
 def sql_content(c: str) -> str:
-    return f"list_distinct(list_filter({sql_words(c)}, lambda x: NOT list_contains({sql_list(V.STOP_WORDS)}, x)))"
+    return f"list_filter({sql_words(c)}, lambda x: NOT list_contains({sql_list(V.STOP_WORDS)}, x))"
 
 
 
@@ -43,7 +46,7 @@ def sql_content(c: str) -> str:
 @query(
     f"WITH t AS (SELECT *, {BLOCKED} AS blocked FROM conversations), h AS (SELECT conv_id, turn, text, sum(CASE WHEN blocked THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS recent, last_value(CASE WHEN blocked THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM t), "
     f"c AS (SELECT *, {sql_content('text')} AS a, {sql_content('prev')} AS b FROM h) "
-    f"SELECT conv_id, turn, CASE WHEN recent > 2 THEN 'repeated_refusals' WHEN prev IS NULL THEN NULL WHEN len(a) >= 3 AND len(b) > 0 AND len(list_intersect(a, b)) / len(a) >= 0.6 THEN 'paraphrase' WHEN regexp_matches(text, {q(V.REFRAMING)}) AND len(list_intersect(a, b)) > 0 THEN 'reframed' WHEN regexp_matches(text, {q(V.REFERENCE_BACK)}) THEN 'reference_back' END AS shape FROM c"
+    f"SELECT conv_id, turn, CASE WHEN recent > 2 THEN 'repeated_refusals' WHEN prev IS NULL THEN NULL WHEN len(a) >= 3 AND len(b) > 0 AND len(list_distinct(list_intersect(a, b))) / len(a) >= 0.6 THEN 'paraphrase' WHEN regexp_matches(text, {q(V.REFRAMING)}) AND len(list_intersect(a, b)) > 0 THEN 'reframed' WHEN regexp_matches(text, {q(V.REFERENCE_BACK)}) THEN 'reference_back' END AS shape FROM c"
 )
 def escalation_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").withColumn("blocked", F.expr(BLOCKED))
@@ -155,18 +158,24 @@ def bayes_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.bayes_weights(labelled(spark, sf_dir))
 
 
-@query(f"WITH g AS (SELECT DISTINCT doc_id, toxic FROM labels) SELECT doc_id, toxic, ({sql_list(train.ROLES)})[(row_number() OVER (PARTITION BY toxic ORDER BY sha256('seed' || chr(0) || CAST(doc_id AS VARCHAR)), doc_id) - 1) % 8 + 1] AS role FROM g")
+#: Documents by source and language as groups of cases, with the labels of all their documents.
+CASES = "(SELECT source || ':' || CAST(doc_id % 40 AS VARCHAR) AS grp, toxic FROM documents JOIN labels USING (doc_id))"
+
+
+@query(f"WITH g AS (SELECT grp, string_agg(DISTINCT CAST(toxic AS VARCHAR), '/' ORDER BY CAST(toxic AS VARCHAR)) AS labels FROM {CASES} GROUP BY 1) SELECT grp, labels, ({sql_list(train.ROLES)})[(row_number() OVER (PARTITION BY labels ORDER BY sha256('seed' || chr(0) || grp), grp) - 1) % 8 + 1] AS role FROM g")
 def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train.grouped_split(table(spark, sf_dir, "labels"), "doc_id", "toxic", "seed")
+    """Roles of groups that hold documents of one label or of both."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return train.grouped_split(d.select(F.concat("source", F.lit(":"), (F.col("doc_id") % 40).cast("string")).alias("grp"), "toxic"), "grp", "toxic", "seed")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, attack, score): a fixed score of the text's length, for curves."""
-    s = (F.length("text") % 97) / 96.0
-    return labelled(spark, sf_dir).select("doc_id", "attack", "lang", "source", "quality", s.alias("score"))
+    """(doc_id, attack, lang, source, quality, score): spliced documents with the posterior of the rails that fired on them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.col("doc_id") % 5 == 0).alias("attack"), (F.length("text") % 3).alias("quality"))
+    return d.join(judged(spark, sf_dir).select("doc_id", F.round("posterior", 9).alias("score")), "doc_id")
 
 
-SQL_SCORED = "(SELECT d.doc_id, toxic = 1 AS attack, lang, source, quality, (length(text) % 97) / 96.0::DOUBLE AS score FROM documents d JOIN labels USING (doc_id))"
+SQL_SCORED = f"(SELECT doc_id, doc_id % 5 = 0 AS attack, lang, source, length(text) % 3 AS quality, round(p, 9) AS score FROM documents JOIN ({SQL_POSTERIOR}) USING (doc_id))"
 SQL_CURVE = f"SELECT threshold, tp, fp, (SELECT COUNT(*) FILTER (attack) FROM {SQL_SCORED}) AS p, (SELECT COUNT(*) FILTER (NOT attack) FROM {SQL_SCORED}) AS n FROM (SELECT s AS threshold, SUM(a) OVER (ORDER BY s DESC) AS tp, SUM(b) OVER (ORDER BY s DESC) AS fp FROM (SELECT score AS s, COUNT(*) FILTER (attack) AS a, COUNT(*) FILTER (NOT attack) AS b FROM {SQL_SCORED} GROUP BY 1 UNION ALL SELECT 1 + 1e-15, 0, 0 UNION ALL SELECT -1e-15, 0, 0))"
 
 
@@ -265,12 +274,11 @@ def encoded(c: Column) -> Column:
 
 @query("SELECT source, sha256(string_agg('[' || CAST(r AS VARCHAR) || '] ' || text, chr(10) || '---' || chr(10) ORDER BY r)) AS prompt FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 3 GROUP BY 1")
 def spotlight_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered passages joined into a prompt: three by source, a top-k that keeps small states."""
-    top = table(spark, sf_dir, "documents").groupBy("source").agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("ids"))
-    ids = top.select("source", F.posexplode("ids").alias("r", "doc_id"))
-    d = ids.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    g = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("p"))
-    return g.select("source", F.sha2(F.array_join(F.transform("p", lambda x: F.concat(F.lit("["), (x["r"] + 1).cast("string"), F.lit("] "), x["text"])), "\n---\n"), 256).alias("prompt"))
+    """Numbered passages joined into a prompt: the first three of a source, kept by a ranked window that drops the rest early."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    top = table(spark, sf_dir, "documents").select("source", "doc_id", "text").withColumn("r", F.row_number().over(w)).where("r <= 3")
+    g = top.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("p"))  # three rows a source
+    return g.select("source", F.sha2(F.array_join(F.transform("p", lambda x: F.concat(F.lit("["), x["r"].cast("string"), F.lit("] "), x["text"])), "\n---\n"), 256).alias("prompt"))
 
 
 LABELS = [(1, "system", ["a", "b"], None), (2, "user,data", [], ["x"]), (3, "user", None, ["x", "y"]), (4, "system,user", ["b", "c"], [])]
