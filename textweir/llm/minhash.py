@@ -183,12 +183,18 @@ def with_leaders(reps: DataFrame, k: int, bits: int, floor: float) -> tuple[Data
     return written(first.select("a", "node"), "first"), met.select(F.col("node").alias("b"), F.explode("met.a").alias("a")).select("a", "b")
 
 
-def starred(first: DataFrame, rows: DataFrame) -> DataFrame:
-    """Blocks of rows with their leader, for paired(): the leader is block 0."""
+def starred(first: DataFrame, texts: DataFrame) -> DataFrame:
+    """Blocks of rows with their leader, for paired(): the leader is block 0. Texts join once, for leaders and rows alike."""
     sizes = first.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    lead = sizes.join(rows, F.col("a") == F.col("node")).withColumn("b2", F.explode(F.sequence(F.lit(1), F.col("nb")))).select("a", "b2", F.lit(0).alias("blk"), "node", "text")
-    most = first.join(sizes, "a").withColumn("b2", (F.pmod(F.xxhash64("node"), F.col("nb")) + 1).cast("int")).join(rows, "node").select("a", "b2", F.col("b2").alias("blk"), "node", "text")
-    return lead.unionByName(most).select(F.col("a").alias("component"), F.lit(0).alias("b1"), "b2", "blk", "node", F.col("node").alias("part"), "text")
+    lead = sizes.select("a", F.explode(F.sequence(F.lit(1), F.col("nb"))).alias("b2"), F.lit(0).alias("blk"), F.col("a").alias("node"))
+    most = first.join(sizes, "a").withColumn("b2", (F.pmod(F.xxhash64("node"), F.col("nb")) + 1).cast("int")).select("a", "b2", F.col("b2").alias("blk"), "node")
+    dealt = lead.unionByName(most).select(F.col("a").alias("component"), F.lit(0).alias("b1"), "b2", "blk", "node", F.col("node").alias("part"))
+    return with_texts(dealt, texts)
+
+
+def with_texts(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """dealt with the text of its nodes; merged by sorted node, since either side grows with the corpus."""
+    return dealt.join(texts.hint("merge"), "node")
 
 
 def unresolved(groups: DataFrame, parts: DataFrame) -> DataFrame | None:
@@ -305,7 +311,7 @@ def resolved(docs: DataFrame, by_id: bool, width: int, num: int, den: int, bands
     near = open_ and written(paired(open_.join(reps.select("node", "sig"), "node"), "sig", by_bits, n), "near")
     if near and not near.isEmpty():
         spanned = near.unionByName(parts.select(F.col("component").alias("a"), F.col("node").alias("b")))
-        more = paired(unresolved(components(spanned), parts).join(texts, "node"), "text", by_sets, n)
+        more = paired(with_texts(unresolved(components(spanned), parts), texts), "text", by_sets, n)
         parts = components(sure.unionByName(more))
     if by_id:  # texts that share an id are one document's, so their classes are one component
         several = full.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("set_a", "set_b")])
