@@ -4,7 +4,7 @@
    signature that keeps only the low `bits` bits of each minimum. Rows get a number, and are written.
 2. Rows with equal shingle sets form one class; only its first row goes on.
 3. Rows that share a band key meet in a bucket. Each is paired with the bucket's leader (its first row, in
-   one band of HASHED that with the smallest hash). Of the LEADERS that a row has in most bands, differing
+   one bucket of HASHED that of another order). Of the LEADERS that a row has in most bands, differing
    signature bits are counted and corrected for chance collisions (two different minima agree in their low
    bits with probability 2**-bits), and what is near the threshold is confirmed on full shingle sets. This
    is linear, and joins what is alike throughout.
@@ -40,6 +40,7 @@ from .components import components
 from .shared import by_class, partitions, small_batches, written
 
 BLOCK, LEADERS, HASHED = 144, 2, 8
+TURN = 0x25A5_A5A5_A5A5_A5A5  # turns the order of row numbers, so that some buckets choose other leaders
 MARGIN = 0.19
 
 
@@ -171,10 +172,10 @@ def similarity(x: Column, y: Column, k: int, bits: int) -> Column:
 
 def with_leaders(reps: DataFrame, k: int, bits: int, floor: float) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, node) to confirm first, links (a, b) of all that share a bucket)."""
-    keyed = reps.select(F.posexplode("keys").alias("band", "key"), "node")
-    leader = F.when(F.col("band") % HASHED == HASHED - 1, F.min_by("node", F.xxhash64("node"))).otherwise(F.min("node"))
-    buckets = keyed.groupBy("band", "key").agg(leader.alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = keyed.join(buckets, ["band", "key"]).where("node <> a").groupBy("node", "a").agg(F.count(F.lit(1)).alias("n"))
+    keyed = reps.select(F.explode("keys").alias("key"), "node")  # the band is mixed into its key
+    turn = F.when(F.pmod("key", F.lit(HASHED)) == 0, F.lit(TURN)).otherwise(0)
+    buckets = keyed.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = keyed.join(buckets, "key").where("node <> a").groupBy("node", "a").agg(F.count(F.lit(1)).alias("n"))
     # at most one leader a band, so the list of a node is short; leaders of most bands first
     met = written(met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "a"))).alias("met")), "met")
     sigs = reps.select("node", "sig")
@@ -291,7 +292,6 @@ def resolved(docs: DataFrame, by_id: bool, width: int, num: int, den: int, bands
     full = every.withColumn("id", ident).where("n_shingles > 0 and id is not null")
     classes = written(classes_of(full), "classes")
     reps = written(every.join(classes.select("node"), F.col("row") == F.col("node")).select("node", "keys", "sig"), "representatives")
-    texts = every.select(F.col("row").alias("node"), "text")
     floor = num / den - MARGIN
 
     def by_sets(x: list[str], y: list[str], ok: np.ndarray) -> np.ndarray:
@@ -305,9 +305,12 @@ def resolved(docs: DataFrame, by_id: bool, width: int, num: int, den: int, bands
         return ok & (estimate(left, right, k, bits) >= floor)
 
     first, shared = with_leaders(reps, k, bits, floor)
+    groups = components(shared)
+    # only texts that share a bucket are compared; all texts are shuffled once for this, and none of the others again
+    texts = written(every.select(F.col("row").alias("node"), "text").hint("merge").join(groups.select("node"), "node", "left_semi"), "texts")
     sure = written(paired(starred(first, texts), "text", by_sets, n), "sure")
     parts = components(sure)
-    open_ = unresolved(components(shared), parts)
+    open_ = unresolved(groups, parts)
     near = open_ and written(paired(open_.join(reps.select("node", "sig"), "node"), "sig", by_bits, n), "near")
     if near and not near.isEmpty():
         spanned = near.unionByName(parts.select(F.col("component").alias("a"), F.col("node").alias("b")))
