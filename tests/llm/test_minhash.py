@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from textweir.llm import minhash, shared
+from textweir.llm.components import components
 
 from . import brute
 
@@ -92,3 +93,20 @@ def test_estimate_is_collision_corrected():
     k = 1024
     x, y = (np.frombuffer(minhash.packed(minhash.minima(s, k), 2), np.uint8)[None] for s in (a, b))
     assert abs(minhash.estimate(x, y, k, 2)[0, 0] - 1 / 3) < 0.08
+
+
+def test_components_by_rounds_and_by_one_task(spark):
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 130)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(7, 7)]
+    nodes = sorted({x for a, b in links if a != b for x in (a, b)})
+    want = brute.components(nodes, links)
+    for per_task in (0, 20, 1000):
+        for name in (int, "n{:05}".format):
+            df = spark.createDataFrame([(name(a), name(b)) for a, b in links] * 2 + [(None, name(1))], f"a {'long' if name is int else 'string'}, b {'long' if name is int else 'string'}")
+            got = {r.node: r.component for r in components(df, per_task).collect()}
+            assert sorted(got) == [name(x) for x in nodes]
+            same = {}
+            for x in nodes:
+                assert same.setdefault(got[name(x)], want[x]) == want[x]
+            assert len(same) == len(set(want.values()))
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
