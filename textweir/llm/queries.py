@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bigru, bytecnn, licenses, minhash, packing, pivots, posindex, prefixfree, secrets, shared, tokenfile
+from . import bigru, bytecnn, licenses, minhash, packing, pivots, posindex, prefixfree, queries_corpus, secrets, shared, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,3 +79,7 @@ def op4_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_pivots": op4_pivots}
+
+
+QUERIES |= queries_corpus.QUERIES
+ORACLE_SQL |= queries_corpus.ORACLE_SQL
