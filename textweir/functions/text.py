@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import lookalikes
 from . import values as V
 
 SEPARATOR = "\x1f"
@@ -30,8 +31,8 @@ def usable(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """Lower case, runs of other than letters and digits as one space. The text must be NFKC-stable (see nfkc)."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{IsAlphabetic}\p{Nd}]+", " "))
+    """Compatibility forms, then lower case, runs of other than letters and digits as one space."""
+    return F.trim(F.regexp_replace(F.lower(lookalikes.compatibility(c)), r"[^\p{IsAlphabetic}\p{Nd}]+", " "))
 
 
 def nfkc(c: Column) -> Column:

@@ -119,6 +119,8 @@ JAVA_CARRIERS = {
     "hidden_attribute": (r"(?is)<(\w+)\b[^>]*\bhidden\b[^>]*>(.*?)</\1>", 2),
     "hidden_input": (r"""(?i)<input\b(?=[^>]*\btype\s*=\s*["']?hidden["']?)[^>]*\bvalue\s*=\s*["']([^"']{12,})["'][^>]*>""", 1),
 }
+# fixed values: the order in which carriers are read and reported
+CARRIER_ORDER = "comment meta alt_text title_attribute aria_label data_attribute script template invisible_style hidden_attribute hidden_input link_title image_alt".split()
 PERSONAL_PATTERNS = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
     "phone": r"(?:\+|\b00)[1-9]\d{0,2}[\s.-]?(?:\(?\d{1,4}\)?[\s.-]?){2,5}\d{2,4}\b|\b0\d{1,3}[\s.-]\d{3}[\s.-]?\d{3,4}\b",

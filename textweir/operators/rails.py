@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import concepts as C
+from ..functions import lookalikes as L
+from ..functions import splice
 from ..functions import text as T
 from ..functions import values as V
 
@@ -279,49 +281,199 @@ def missing(name: str = "missing") -> Rail:
 def hidden_spans(text: Column) -> Column:
     """array<struct<carrier, span>> of texts that a page hides from its readers."""
 
-    def spans(carrier: str, p: str, group: int) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(group)), lambda s: F.struct(F.lit(carrier).alias("carrier"), F.regexp_replace(s, T.BLANK, "").alias("span")))
+    def spans(k: str, p: str, groups: tuple[int, int]) -> Column:
+        found = F.transform(captured(text, F.lit(p), *map(F.lit, groups)), lambda x: F.struct(F.lit(k).alias("carrier"), x["span"].alias("span")))
+        return F.filter(found, lambda x: x["span"] != "")
 
-    out = [spans(k, p, 1) for k, p in V.CARRIERS.items()] + [spans(k, p, g) for k, (p, g) in V.JAVA_CARRIERS.items()]
-    return F.filter(F.flatten(F.array(*out)), lambda x: x["span"] != "")
+    return F.flatten(F.array(*[spans(k, p, g) for k, p, g in carriers()]))
 
 
-def over_views(views: Callable[[Column], Column], rails: list[Rail], prefix: str, name: str, sides: tuple[str, ...]) -> Rail:
-    """Child rails over several views of a text; the first objection in order blocks."""
+def carriers() -> list[tuple[str, str, tuple[int, int]]]:
+    """(name, pattern, groups of which the longer is the span), in the order of V.CARRIER_ORDER."""
+    every = {k: (p, (1, 1)) for k, p in V.CARRIERS.items()} | {k: (p, (1, g)) for k, (p, g) in V.JAVA_CARRIERS.items()}
+    return [(k, *every[k]) for k in V.CARRIER_ORDER]
 
-    def decide(text: Column, ctx: dict[str, Column]) -> Column:
-        def look(v: Column) -> Column:
-            own = [r.decide(v["span"], ctx) for r in rails]
-            cats = F.flatten(F.array(*[F.when(o["status"] == "blocked", o["categories"]).otherwise(none()) for o in own]))
-            return F.struct(v["carrier"].alias("carrier"), F.array_distinct(cats).alias("cats"))
 
-        hit = F.get(F.filter(F.transform(views(text), look), lambda x: F.size(x["cats"]) > 0), F.lit(0))
-        cats = F.when(hit.isNotNull(), F.concat(hit["cats"], F.array(F.concat(F.lit(prefix + ":"), hit["carrier"])))).otherwise(none())
-        return blocked_by(text, cats)
+def captured(text: Column, p: Column, a: Column, b: Column) -> Column:
+    """array<struct<full, span>> of a carrier's matches; span is the longer of two groups, the first of equal ones, without blanks around it."""
+    bare = F.transform(F.regexp_extract_all(text, p, a), lambda x: F.regexp_replace(x, T.BLANK, ""))
+    other = F.transform(F.regexp_extract_all(text, p, b), lambda x: F.regexp_replace(x, T.BLANK, ""))
+    span = F.zip_with(bare, other, lambda x, y: F.when(F.length(y) > F.length(x), y).otherwise(x))
+    return F.zip_with(F.regexp_extract_all(text, p, F.lit(0)), span, lambda x, y: F.struct(x.alias("full"), y.alias("span")))
 
-    return Rail(name, decide, sides)
+
+def looked(text: Column, rails: list[Rail], ctx: dict[str, Column]) -> Column:
+    """What rails in order make of a text: struct<blocked, content, changed, certain>.
+
+    blocked: categories of the rail that blocked, else null; changed: those of the last rail that rewrote, else null.
+    """
+    now = F.struct(F.lit(None).cast("array<string>").alias("blocked"), text.alias("content"), F.lit(None).cast("array<string>").alias("changed"), F.lit(True).alias("certain"))
+
+    def by(r: Rail) -> Callable[[Column], Column]:
+        def step(s: Column) -> Column:
+            def seen(v: Column) -> Column:
+                return F.struct(
+                    F.when(v["status"] == "blocked", v["categories"]).alias("blocked"),
+                    F.when(v["status"] == "modified", v["content"]).otherwise(s["content"]).alias("content"),
+                    F.when(v["status"] == "modified", v["categories"]).otherwise(s["changed"]).alias("changed"),
+                    (s["certain"] & ((v["status"] == "blocked") | v["certain"])).alias("certain"),
+                )
+
+            return F.when(s["blocked"].isNotNull(), s).otherwise(T.let(r.decide(s["content"], ctx), seen))
+
+        return step
+
+    for r in rails:
+        now = T.let(now, by(r))
+    return now
+
+
+def settled(text: Column, s: Column) -> Column:
+    """The verdict of a fold over views: s has blocked, content, changed, certain, as of looked()."""
+    status = F.when(s["blocked"].isNotNull(), "blocked").when(s["changed"].isNotNull(), "modified").otherwise("passed")
+    content = F.when(s["blocked"].isNull() & s["changed"].isNotNull(), s["content"]).otherwise(text)
+    return verdict(status, content, F.coalesce(s["blocked"], s["changed"], none()), s["blocked"].isNotNull() | s["certain"])
 
 
 def hidden(rails: list[Rail]) -> Rail:
-    return over_views(hidden_spans, rails, "hidden", "hidden", ("context",))
+    """Child rails over what a page hides from its readers, carrier after carrier; what they rewrite is put back into the page.
+
+    A blocked span blocks the page. A rewritten one is replaced within its carrier, and the next carrier is looked for
+    in the page as it then stands.
+    """
+    def decide(text: Column, ctx: dict[str, Column]) -> Column:
+        every = F.array(*[F.struct(F.lit(k).alias("carrier"), F.lit(p).alias("regex"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, p, (a, b) in carriers()])
+
+        def look(x: Column) -> Column:
+            return T.let(looked(x["span"], rails, ctx), lambda v: F.struct(x["full"].alias("full"), x["span"].alias("span"), *[v[k].alias(k) for k in ("blocked", "content", "changed", "certain")]))
+
+        def carrier(s: Column, c: Column) -> Column:
+            tag = F.array(F.concat(F.lit("hidden:"), c["carrier"]))
+
+            def folded(seen: Column) -> Column:
+                block = F.get(F.filter(seen, lambda x: x["blocked"].isNotNull()), F.lit(0))
+                some = F.filter(seen, lambda x: x["changed"].isNotNull())
+                moved = F.filter(some, lambda x: x["content"] != x["span"])
+                new = F.when(F.size(moved) > 0, splice.rebuilt(s["content"], moved, lambda x: x["full"], lambda x: splice.replace_first(x["full"], x["span"], x["content"]))).otherwise(s["content"])
+                return F.struct(
+                    F.concat(block["blocked"], tag).alias("blocked"),
+                    new.alias("content"),
+                    F.when(F.size(some) > 0, F.concat(F.element_at(some, -1)["changed"], tag)).otherwise(s["changed"]).alias("changed"),
+                    (s["certain"] & ~F.exists(seen, lambda x: ~x["certain"])).alias("certain"),
+                )
+
+            spans = F.filter(captured(s["content"], c["regex"], c["a"], c["b"]), lambda x: x["span"] != "")
+            return F.when(s["blocked"].isNotNull(), s).otherwise(T.let(F.transform(spans, look), folded))
+
+        start = F.struct(F.lit(None).cast("array<string>").alias("blocked"), text.alias("content"), F.lit(None).cast("array<string>").alias("changed"), F.lit(True).alias("certain"))
+        found = F.aggregate(every, start, carrier)
+        return F.when(text.rlike(r"[<\[]"), T.let(found, lambda s: settled(text, s))).otherwise(verdict("passed", text))
+
+    return Rail("hidden", decide, ("context",))
+
+
+#: Views that read the text as it came, for in them the invisible characters are the message.
+CARRIED = ("tags", "selectors")
+
+
+def view(name: str, bare: Column, raw: Column) -> Column:
+    """One decoding of a text: bare is without invisible characters, raw with them; null where there is none."""
+    made: dict[str, Callable[[], Column]] = {
+        "invisible": lambda: bare,
+        "tags": lambda: T.decode_tags(raw),
+        "selectors": lambda: T.decode_selectors(raw),
+        "confusables": lambda: L.fold(bare),
+        "confusables_all": lambda: L.fold_all(bare),
+        "rot13": lambda: T.rot13(bare),
+        "base64": lambda: T.decode_base64(bare),
+        "nfkc": lambda: L.compatibility(bare),
+    }
+    return made[name]()
+
+
+VIEWS = ("invisible", "tags", "selectors", "confusables", "confusables_all", "rot13", "base64", "nfkc")
 
 
 def encoded_views(text: Column) -> Column:
-    """Decodings of the text that differ from it; tags and selectors are read from the raw text, the others from the scrubbed."""
-    bare = T.scrub(text)
-    made = {"invisible": F.when(bare != text, bare), "tags": T.decode_tags(text), "selectors": T.decode_selectors(text), "rot13": T.rot13(bare), "base64": T.decode_base64(bare)}
-    every = F.array(*[F.struct(F.lit(k).alias("carrier"), v.alias("span")) for k, v in made.items()])
-    return F.filter(every, lambda x: x["span"].isNotNull() & (x["span"] != text))
+    """array<struct<carrier, span>> of decodings that differ from the text they are made of, in order; blank ones are left out."""
+
+    def made(bare: Column) -> Column:
+        every = F.array(*[F.struct(F.lit(k).alias("carrier"), view(k, bare, text).alias("span"), (text if k in ("invisible", *CARRIED) else bare).alias("base")) for k in VIEWS])
+        other = F.filter(every, lambda x: (x["span"] != x["base"]) & x["span"].rlike(r"[^\x00\s]"))
+        return F.transform(other, lambda x: F.struct(x["carrier"], x["span"]))
+
+    return T.let(T.scrub(text), made)
+
+
+def put_back(bare: Column, name: Column, decoded: Column, new: Column) -> Column:
+    """bare, the text without invisible characters, with the rewrite `new` of its view `decoded`; unchanged where there is no place for it."""
+    run = F.lit(rf"(?<![A-Za-z0-9+/=])({V.BASE64_RUN})(?![A-Za-z0-9+/=])")
+
+    def blobs(runs: Column) -> Column:
+        pieces = F.split(F.regexp_replace(new, r"\n+\z", ""), "\n")
+        pairs = F.arrays_zip(runs.alias("run"), pieces.alias("piece"))
+        each = F.aggregate(pairs, bare, lambda t, x: splice.replace_first(t, x["run"], x["piece"]))
+        return F.when(F.size(runs) == 0, bare).when((F.size(runs) > 1) & (F.size(pieces) == F.size(runs)), each).otherwise(splice.replace_first(bare, F.get(runs, F.lit(0)), new))
+
+    return (
+        F.when(name.isin(*CARRIED), bare)
+        .when(name == "base64", T.let(F.regexp_extract_all(bare, run, F.lit(1)), blobs))
+        .when(decoded == bare, new)
+        .when(F.contains(bare, decoded), splice.replace_first(bare, decoded, new))
+        .when(F.length(decoded) == F.length(bare), splice.aligned(bare, decoded, new))
+        .otherwise(bare)
+    )
 
 
 def obfuscation(rails: list[Rail]) -> Rail:
-    """Child rails over decodings; where none objects, invisible characters are taken out."""
-    inner = over_views(encoded_views, rails, "encoded", "obfuscation", ("input", "context"))
+    """Child rails over decodings of a text. A block blocks; a rewrite goes back into the text as it is written.
+
+    A rewrite that has no place there, or after which the same view still draws an objection, blocks as
+    unrewritable. Only the first rewritten view is put back, and the views after it are still looked at. Where nothing objects, invisible characters
+    are taken out.
+    """
 
     def decide(text: Column, ctx: dict[str, Column]) -> Column:
-        v, bare = inner.decide(text, ctx), T.scrub(text)
-        changed = (v["status"] == "passed") & (bare != text)
-        return F.when(changed, verdict("modified", bare, F.array(F.lit("invisible_characters")))).otherwise(v)
+        def look(x: Column) -> Column:
+            return T.let(looked(x["span"], rails, ctx), lambda v: F.struct(x["carrier"].alias("name"), x["span"].alias("decoded"), *[v[k].alias(k) for k in ("blocked", "content", "changed", "certain")]))
+
+        def tagged(x: Column, which: str) -> Column:
+            return F.concat(x[which], F.array(F.concat(F.lit("encoded:"), x["name"])))
+
+        def decided(bare: Column, seen: Column) -> Column:
+            def index(p: Callable[[Column], Column]) -> Column:
+                return F.array_position(F.transform(seen, p), True)
+
+            block_at, change_at = index(lambda x: x["blocked"].isNotNull()), index(lambda x: x["blocked"].isNull() & x["changed"].isNotNull())
+            block = F.get(seen, (block_at - 1).cast("int"))
+
+            def applied(m: Column) -> Column:
+                def checked(new: Column) -> Column:
+                    again = F.coalesce(*[F.when(m["name"] == k, view(k, new, new)) for k in VIEWS if k not in CARRIED], new)
+                    calm = T.let(looked(again, rails, ctx), lambda v: v["blocked"].isNull() & v["changed"].isNull())
+                    ok = m["name"].isin(*CARRIED) | ~((new == bare) & (m["content"] != m["decoded"])) & calm
+                    return F.when(ok, new)
+
+                return T.let(put_back(bare, m["name"], m["decoded"], m["content"]), checked)
+
+            sure = ~F.exists(seen, lambda x: ~x["certain"])
+            blocked = F.when(block_at > 0, tagged(block, "blocked"))
+
+            def with_change(m: Column) -> Column:
+                lost = F.concat(tagged(m, "changed"), F.array(F.lit("unrewritable")))
+
+                def done(new: Column) -> Column:
+                    first = F.when(new.isNull(), lost).otherwise(blocked)
+                    return verdict(F.when(first.isNotNull(), "blocked").otherwise("modified"), F.when(first.isNotNull(), text).otherwise(new), F.coalesce(first, tagged(m, "changed")), first.isNotNull() | sure)
+
+                return T.let(applied(m), done)
+
+            plain = F.when(bare != text, verdict("modified", bare, F.array(F.lit("invisible_characters")), True)).otherwise(verdict("passed", text))
+            rest = F.when(blocked.isNotNull(), verdict("blocked", text, blocked)).when(~sure, verdict("passed", text, none(), False)).otherwise(plain)
+            changes = (change_at > 0) & ((block_at == 0) | (change_at < block_at))
+            return F.when(changes, T.let(F.get(seen, (change_at - 1).cast("int")), with_change)).otherwise(rest)
+
+        return T.let(T.scrub(text), lambda bare: T.let(F.transform(encoded_views(text), look), lambda seen: decided(bare, seen)))
 
     return Rail("obfuscation", decide, ("input", "context"))
 

@@ -242,33 +242,6 @@ def named_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(t, "doc_id").select("doc_id", F.when(named, F.col("lang")).otherwise("unknown").alias("language"), (named & ~F.col("lang").isin("en", "nl")).alias("foreign_named"))
 
 
-POSITIONS = ["start", "middle", "end"]
-ENCODINGS = ["plain", "rot13", "base64"]
-_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_FROM, _TO = _UP + _LOW, _UP[13:] + _UP[:13] + _LOW[13:] + _LOW[:13]
-
-
-@query(
-    f"WITH a AS (SELECT UNNEST({sql_list(V.INJECTIONS)}) AS s, UNNEST(range({N})) AS i), p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, text AS page FROM documents ORDER BY doc_id LIMIT {N}), x AS (SELECT i, position, encoding, page, CASE encoding WHEN 'rot13' THEN translate(s, '{_FROM}', '{_TO}') WHEN 'base64' THEN to_base64(encode(s)) ELSE s END AS s FROM a JOIN p USING (i), (SELECT UNNEST({sql_list(POSITIONS)}) AS position), (SELECT UNNEST({sql_list(ENCODINGS)}) AS encoding)), "
-    f"t AS (SELECT *, CASE position WHEN 'start' THEN s || chr(10) || page WHEN 'end' THEN page || chr(10) || s ELSE left(page, len(page) // 2) || chr(10) || s || chr(10) || substr(page, len(page) // 2 + 1) END AS text FROM x), h AS (SELECT *, len({sql_matching(V.INJECTED_PATTERNS)}) + len({sql_matching(V.JAILBREAK_PATTERNS)}) > 0 AS hit FROM t) "
-    "SELECT position, encoding, COUNT(*) AS n, COUNT(*) FILTER (hit) AS caught, coalesce(array_to_string(list_sort(list(i) FILTER (NOT hit)), ','), '') AS escaped FROM h GROUP BY 1, 2"
-)
-def spliced_catches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Injections at three places of a page, in three encodings: how many the pattern rails catch, and which escape."""
-    pages = table(spark, sf_dir, "documents").orderBy("doc_id").limit(N).select("doc_id", "text")  # as many pages as injections
-    first = pages.withColumn("i", F.row_number().over(Window.orderBy("doc_id")) - 1).withColumnRenamed("text", "page")
-    a = spark.createDataFrame(list(enumerate(V.INJECTIONS)), "i int, s string")
-    x = a.join(first, "i").select("i", "page", "s", F.explode(T.strings(POSITIONS)).alias("position")).select("*", F.explode(T.strings(ENCODINGS)).alias("encoding"))
-    s = F.when(F.col("encoding") == "rot13", F.translate("s", _FROM, _TO)).when(F.col("encoding") == "base64", F.base64(F.encode("s", "UTF-8"))).otherwise(F.col("s"))
-    x = x.withColumn("s", s)
-    half, nl = F.floor(F.length("page") / 2).cast("int"), F.lit("\n")
-    text = F.when(F.col("position") == "start", F.concat("s", nl, "page")).when(F.col("position") == "end", F.concat("page", nl, "s")).otherwise(F.concat(F.substring("page", F.lit(1), half), nl, "s", nl, F.substring("page", half + 1, F.length("page"))))
-    x = x.withColumn("text", text)
-    hit = F.size(rails.matching(F.col("text"), V.INJECTED_PATTERNS)) + F.size(rails.matching(F.col("text"), V.JAILBREAK_PATTERNS)) > 0
-    g = x.withColumn("hit", hit).groupBy("position", "encoding").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("caught"), F.array_sort(F.collect_list(F.when(~F.col("hit"), F.col("i")))).alias("e"))
-    return g.select("position", "encoding", "n", "caught", F.array_join(F.transform("e", lambda v: v.cast("string")), ",").alias("escaped"))
-
-
 @query(
     f"WITH c AS (SELECT doc_id, {sql_clauses('text')} AS c FROM (SELECT * FROM {SQL_FIRED}) f JOIN (SELECT doc_id, text FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || chr(10) || ({sql_list(V.INJECTIONS)})[(doc_id % {N}) + 1] ELSE text END AS text FROM documents)) d USING (doc_id) WHERE injected_instructions), f AS (SELECT doc_id, list_filter(c, lambda x: {' OR '.join(f'regexp_matches(x, {q(p)})' for p in V.INJECTED_PATTERNS.values())}) AS hits FROM c) SELECT doc_id, CASE WHEN len(hits) > 0 THEN hits[1] ELSE '(whole document)' END AS clause FROM f"
 )

@@ -110,18 +110,6 @@ def markup_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("page_id", F.sha2("verdict.content", 256).alias("stripped"))
 
 
-@query(
-    " UNION ALL ".join(
-        rf"SELECT page_id, {q(k)} AS carrier, CAST(len(s) AS BIGINT) AS spans, coalesce(array_to_string(s, chr(10)), '') AS texts FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, {q(p)}, 1), lambda x: regexp_replace(x, '^[\x00\s]+|[\x00\s]+$', '', 'g')), lambda x: x <> '') AS s FROM pages) WHERE len(s) > 0"
-        for k, p in V.CARRIERS.items()
-    )
-)
-def hidden_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "pages").select("page_id", F.posexplode(R.hidden_spans(F.col("html"))).alias("i", "x")).where(F.col("x.carrier").isin(*V.CARRIERS))
-    g = s.groupBy("page_id", F.col("x.carrier").alias("carrier")).agg(F.count(F.lit(1)).alias("spans"), F.array_sort(F.collect_list(F.struct("i", "x.span"))).alias("l"))
-    return g.select("page_id", "carrier", "spans", F.array_join(F.transform("l", lambda x: x["span"]), "\n").alias("texts"))
-
-
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'>\s]+)[^>]*>.*?</a>"""
 
 

@@ -93,3 +93,14 @@ def write_audit(events: DataFrame, path: str) -> None:
 def without_secrets(c: str) -> F.Column:
     """A map column without entries whose names speak of secrets."""
     return F.map_filter(c, lambda k, v: ~k.rlike("(?i)token|secret|passw|api_?key|credential|auth"))
+
+
+def confusables(spark: SparkSession, path: str) -> dict[str, str]:
+    """character: ASCII that it imitates, from a file in the form of the Unicode list of confusables (source ; target ; type).
+
+    Only single characters outside ASCII with a target in ASCII are taken; the list holds some thousand lines.
+    """
+    part = F.split(F.regexp_replace("value", "#.*", ""), ";")
+    rows = spark.read.text(path).select(F.trim(part[0]).alias("a"), F.trim(part[1]).alias("b")).where("a rlike '^[0-9A-Fa-f]+$' and b rlike '^[0-9A-Fa-f ]+$'").collect()
+    said = {chr(int(r.a, 16)): "".join(chr(int(x, 16)) for x in r.b.split()) for r in rows}
+    return {k: v for k, v in said.items() if not k.isascii() and v.isascii()}
