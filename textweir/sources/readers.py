@@ -100,7 +100,7 @@ def confusables(spark: SparkSession, path: str) -> dict[str, str]:
 
     Only single characters outside ASCII with a target in ASCII are taken; the list holds some thousand lines.
     """
-    part = F.split(F.regexp_replace("value", "#.*", ""), ";")
-    rows = spark.read.text(path).select(F.trim(part[0]).alias("a"), F.trim(part[1]).alias("b")).where("a rlike '^[0-9A-Fa-f]+$' and b rlike '^[0-9A-Fa-f ]+$'").collect()
+    part = F.split(F.regexp_replace("value", "#.*", ""), r"\s*;\s*")
+    rows = spark.read.text(path).select(part[0].alias("a"), F.get(part, F.lit(1)).alias("b")).where("a rlike '^[0-9A-Fa-f]+$' and b rlike '^[0-9A-Fa-f ]+$'").collect()
     said = {chr(int(r.a, 16)): "".join(chr(int(x, 16)) for x in r.b.split()) for r in rows}
     return {k: v for k, v in said.items() if not k.isascii() and v.isascii()}
