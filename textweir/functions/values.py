@@ -121,6 +121,16 @@ JAVA_CARRIERS = {
 }
 # fixed values: the order in which carriers are read and reported
 CARRIER_ORDER = "comment meta alt_text title_attribute aria_label data_attribute script template invisible_style hidden_attribute hidden_input link_title image_alt".split()
+# fixed values: an answer that says whose words it repeats
+OWN_INSTRUCTIONS = (
+    r"(?i)\b(?:my|these|those|the|its|your)\s+(?:instructions?|rules?|guidelines?|system\s+(?:prompt|message)|prompt|directives?)\b"
+    r"|\bI\s+(?:was|am|have\s+been)\s+(?:told|instructed|configured|programmed|asked)\b"
+    r"|\b(?:system|developer)\s+(?:prompt|message)\s+(?:says|states|reads|is)\b"
+    r"|\b(?:mijn|deze|die|jouw|uw)\s+(?:instructies?|regels?|richtlijnen?|systeemprompt|voorschriften?)\b"
+    r"|\bik\s+(?:ben|werd|was)\s+(?:ge[ïÏ]nstrueerd|verteld|geconfigureerd|geprogrammeerd|gevraagd)\b"
+    r"|\bsysteemprompt\s+(?:zegt|staat|luidt|is)\b"
+)
+LEAK_PLACEHOLDER = "[redacted: system prompt]"
 PERSONAL_PATTERNS = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
     "phone": r"(?:\+|\b00)[1-9]\d{0,2}[\s.-]?(?:\(?\d{1,4}\)?[\s.-]?){2,5}\d{2,4}\b|\b0\d{1,3}[\s.-]\d{3}[\s.-]?\d{3,4}\b",

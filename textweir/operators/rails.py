@@ -132,6 +132,11 @@ def driver_shingles(s: str, size: int = 4) -> list[str]:
     return [body] if len(body) <= size else sorted({body[i : i + size] for i in range(len(body) - size + 1)})
 
 
+def driver_clauses(s: str) -> list[str]:
+    parts = re.split(r"(?<=[.!?;:])\s+|\n+|\r+", s)
+    return [x for x in (p.strip("\x00 \t\n\x0b\f\r") for p in parts) if x]
+
+
 def budget(limits: dict[str, int | None] | None = None) -> Rail:
     """Blocks texts over their side's length; no limit for a side passes everything."""
     limits = {"input": 8000, "context": 60000} if limits is None else limits

@@ -252,16 +252,6 @@ def seed_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("similarity >= 0.75")
 
 
-@query(f"WITH src AS (SELECT conv_id * 1000 + turn AS key, text FROM conversations), seeds AS (SELECT item_id * 1000 + z[1] AS seed_id, {sql_normalized('z[2]')} AS b FROM (SELECT item_id, UNNEST(list_zip(range(len(c)), c)) AS z FROM (SELECT item_id, {sql_clauses('text')} AS c FROM benchmark)) WHERE len(z[2]) >= 40), {SEEDS_SQL} SELECT key // 1000 AS conv_id, key % 1000 AS turn, round(max(c), 6) AS leak FROM hit GROUP BY key HAVING max(c) >= 0.4")
-def prompt_leak_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with clauses that repeat protected text (benchmark clauses of 40 characters or more)."""
-    c = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.clauses(F.col("text"))).alias("i", "text")).where(F.length("text") >= 40)
-    grams = c.select((F.col("item_id") * 1000 + F.col("i")).alias("seed_id"), T.shingles(F.col("text")).alias("g")).select("seed_id", F.size("g").alias("size"), F.explode("g").alias("g"))
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.clauses(F.col("text"))).alias("k", "c")).select("conv_id", "turn", "k", F.explode(T.shingles(F.col("c"))).alias("g"))
-    hit = turns.join(grams, "g").groupBy("conv_id", "turn", "k", "seed_id").agg((F.count(F.lit(1)) / F.any_value("size")).alias("c"))
-    return hit.groupBy("conv_id", "turn").agg(F.round(F.max("c"), 6).alias("leak")).where("leak >= 0.4")
-
-
 @query(
     f"WITH s AS (SELECT doc_id, {sql_matching(V.INJECTED_PATTERNS)} AS a, {sql_matching(V.JAILBREAK_PATTERNS)} AS b, regexp_replace(text, {q(V.TEMPLATE_TOKENS)}, '', 'g') AS x, text FROM {SPLICED}), t AS (SELECT *, "
     + " + ".join(f"len(regexp_extract_all(x, {q(p)}))" for p in V.TURN_PATTERNS)
