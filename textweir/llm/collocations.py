@@ -34,7 +34,7 @@ UNKNOWN = "und"
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 SCALE = 2_000_000
 #: Bytes of text that are counted together, and what stands between pieces meanwhile (no byte of UTF-8).
-CHUNK, EDGE = 12 << 20, b"\xff"
+CHUNK, EDGE = 6 << 20, b"\xff"
 BLOCK_BITS, BITS_EACH, MAX_BLOCKS = 1 << 16, 16, 1 << 12
 _SPLIT = bytes.maketrans(BREAKS + BLANKS, b"\n" * len(BREAKS) + b" " * len(BLANKS))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
