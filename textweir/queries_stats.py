@@ -323,13 +323,6 @@ def hashed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy(T.fnv1a(F.col("w"), 1024).alias("bucket")).agg(F.count(F.lit(1)).alias("words"))
 
 
-@query()
-def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of counted features and distinct buckets of each benchmark text under the hashed linear model."""
-    f = table(spark, sf_dir, "benchmark").select("item_id", train.linear_features(F.col("text"), 1 << 18).alias("f"))
-    return f.select("item_id", F.size("f").alias("features"), F.size(F.array_distinct("f")).alias("buckets"))
-
-
 @query(f"SELECT source, COUNT(*) AS n, COUNT(*) FILTER (length(text) % 2 = 0) AS hits, round(greatest(0, (h / k + 3.8414588206941 / (2 * k) - 1.959963984540054 * sqrt(h / k * (1 - h / k) / k + 3.8414588206941 / (4 * k * k))) / (1 + 3.8414588206941 / k)), 6) AS low FROM documents, LATERAL (SELECT 0) JOIN (SELECT source, COUNT(*)::DOUBLE AS k, (COUNT(*) FILTER (length(text) % 2 = 0))::DOUBLE AS h FROM documents GROUP BY 1) USING (source) GROUP BY source, h, k".replace(", LATERAL (SELECT 0)", ""))
 def wilson_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") % 2 == 0).alias("hits"))
