@@ -261,3 +261,19 @@ def test_table_from_file(spark, tmp_path):
     chars = readers.confusables(spark, str(p))
     assert chars == {"с": "c", "⑳": "(20)"}
     assert one(spark, L.fold(F.lit("xс ⑳a о"), chars)) == "xc (20)a о"
+
+
+def links(spark, text, **lists):
+    v = Engine([R.exfiltration(["ok.example"], **lists)]).run(spark.createDataFrame([(text,)], "text string"), side="output").first().verdict
+    return v.content, v.categories
+
+
+def test_exfiltration_keeps_words_and_prose(spark):
+    url = "https://evil.example/x"
+    assert links(spark, f"[{url}]({url}) and {url} in prose") == (f"{url} [link removed] and {url} in prose", ["foreign_link"])
+    assert links(spark, f"<{url}> <https://ok.example/y>") == ("[link removed] <https://ok.example/y>", ["foreign_link"])
+    assert links(spark, "![a](https://ok.example/i) [a](https://ok.example/i)", images=[]) == ("a [image removed] [a](https://ok.example/i)", ["foreign_image"])
+    assert links(spark, "[a](https://ok.example/i) ![a](https://ok.example/i)[b](//evil) [c](data:x)", images=["https://OK.example/path"]) == ("[a](https://ok.example/i) ![a](https://ok.example/i)b [link removed] c [link removed]", ["foreign_link"])
+    assert links(spark, "![a](u)[a](u)![](u)") == ("a [image removed]a [link removed][image removed]", ["foreign_image", "foreign_link"])
+    assert links(spark, f"<a href='{url}'> go\n on </a><img src=https://ok.example/a?{'q' * 50}>") == ("go\n on [link removed][image removed]", ["image_payload", "foreign_link"])
+    assert links(spark, "nothing [here] (at) all") == ("nothing [here] (at) all", [])

@@ -85,6 +85,12 @@ def clauses(c: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def longest(items: Column, most: int) -> Column:
+    """The longest of an array of texts, longest first, of equal ones the earlier."""
+    placed = F.transform(items, lambda x, k: F.struct((-F.length(x)).alias("n"), k.alias("k"), x.alias("x")))
+    return F.transform(F.slice(F.array_sort(placed), 1, most), lambda p: p["x"])
+
+
 def grams(c: Column, size: int = 4) -> Column:
     """Character n-grams of the normalised text, in order and with repeats; a shorter text is its own."""
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import concepts as C
+from ..functions import language as LG
 from ..functions import lookalikes as L
 from ..functions import splice
 from ..functions import text as T
@@ -265,15 +266,15 @@ def secrets() -> Rail:
     return Rail("secrets", decide, ("output",), language_agnostic=True)
 
 
-def language() -> Rail:
-    """Never blocks: uncertain where the text, or a clause of at least twelve words, is in no supported language."""
+def language(supported: tuple[str, ...] = ("en", "nl")) -> Rail:
+    """Never blocks: uncertain where the text or one of its clauses is in no supported language.
 
-    def decide(text: Column, _: dict) -> Column:
-        def unread(c: Column) -> Column:
-            return T.let(T.words(c), lambda w: F.when(F.size(w) >= 24, T.function_word_language(w) == "unknown").otherwise(False))
+    Under twelve words nothing is said; up to 23 words it takes another language that is named.
+    """
 
-        known = ~unread(text) & ~F.exists(T.clauses(text), unread)
-        return verdict("passed", text, none(), known)
+    def decide(text: Column, _: dict) -> Column:
+        unread = LG.unread(text, list(supported)) | F.exists(T.clauses(text), lambda c: LG.unread(c, list(supported)))
+        return verdict("passed", text, none(), ~F.coalesce(unread, F.lit(False)))
 
     return Rail("language", decide, ("input", "context"), posture=True)
 
@@ -483,33 +484,74 @@ def obfuscation(rails: list[Rail]) -> Rail:
     return Rail("obfuscation", decide, ("input", "context"))
 
 
-def link_findings(text: Column, allow: list[str]) -> Column:
-    """array<struct<kind, url, host, payload, allowed>> of links and images in markdown and HTML."""
-    shapes = {"image": (r"!\[[^\]]*\]\(\s*<?([^)\s>]+)>?[^)]*\)", r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']?([^"'>\s]+)[^>]*>"""), "link": (r"(?<!!)\[[^\]]*\]\(\s*<?([^)\s>]+)>?[^)]*\)", r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'>\s]+)[^>]*>.*?</a>""")}
+IMAGE_MARK, LINK_MARK = "[image removed]", "[link removed]"
+#: (image or link, pattern, group of the label or none, group of the address), in the order in which they are read. The first
+#: two are one pattern, so that nothing need be looked at before a match: a mark before the brackets tells images from links.
+MARKDOWN = r"(!?)\[([^\]]*)\]\(\s*<?([^)\s>]+)>?[^)]*\)"
+LINK_SHAPES = [
+    ("image", MARKDOWN, 2, 3),
+    ("link", MARKDOWN, 2, 3),
+    ("image", r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']?([^"'>\s]+)[^>]*>""", None, 1),
+    ("link", r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'>\s]+)[^>]*>(.*?)</a>""", 2, 1),
+    ("link", r"(?i)<((?:https?|data|file|ftp)://[^>\s]+)>", None, 1),
+]
+
 
-    def seen(kind: str, u: Column) -> Column:
-        query = F.regexp_extract(u, r"([?#].*)", 1)
-        payload = (F.length(query) > 40) | query.rlike(r"(?:%[0-9A-Fa-f]{2}){6,}|[A-Za-z0-9+/]{40,}={0,2}")
-        h = T.host(u)
-        ok = F.lit(False)
-        for a in allow:
-            ok = ok | F.coalesce((h == a) | h.endswith("." + a), F.lit(False))
-        return F.struct(F.lit(kind).alias("kind"), u.alias("url"), h.alias("host"), payload.alias("payload"), (ok & ~payload).alias("allowed"))
+def payload(url: Column, most: int = 40) -> Column:
+    """Whether an address carries more than one: a long query, or an encoded run in it."""
+    query = F.regexp_extract(url, r"([?#].*)", 1)
+    return (F.length(query) > most) | query.rlike(r"(?:%[0-9A-Fa-f]{2}){6,}|[A-Za-z0-9+/]{40,}={0,2}")
 
-    def every(kind: str, p: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda u: seen(kind, u))
 
-    return F.flatten(F.array(*[every(k, p) for k, ps in shapes.items() for p in ps]))
+def allowed(url: Column, hosts: list[str], most: int = 40) -> Column:
+    """Whether an address is of one of the hosts, or under one, and carries nothing; what is no http address is not."""
+    h, ok = T.host(url), F.lit(False)
+    for a in hosts:
+        ok = ok | (h == a) | h.endswith("." + a)
+    return F.coalesce(ok, F.lit(False)) & ~payload(url, most)
+
+
+def exfiltration(allow: list[str], images: list[str] | None = None, most: int = 40) -> Rail:
+    """Links and images to hosts that are not allowed, or that carry a payload, lose their address; their words stay.
+
+    images: hosts of images, by default those of links; none at all for an empty list. An address in plain prose is no link.
+    """
 
+    def bare(hosts: list[str]) -> list[str]:
+        return [h for h in (re.sub(r"^https?://", "", x.lower()).split("/")[0] for x in hosts) if h]
 
-def exfiltration(allow: list[str]) -> Rail:
-    """Links and images to hosts that are not allowed, or that carry a payload, are replaced; link texts stay."""
+    hosts = {"link": bare(allow), "image": bare(allow if images is None else images)}
 
     def decide(text: Column, _: dict) -> Column:
-        bad = F.filter(link_findings(text, allow), lambda x: ~x["allowed"])
-        cats = F.array_distinct(F.transform(bad, lambda x: F.when(x["payload"], F.concat(x["kind"], F.lit("_payload"))).otherwise(F.concat(F.lit("foreign_"), x["kind"]))))
-        now = F.aggregate(F.array_distinct(F.transform(bad, lambda x: x["url"])), text, lambda t, u: F.replace(t, u, F.lit("[removed]")))
-        return rewritten(text, now, cats)
+        def shape(kind: str, p: str, label: int | None, address: int) -> Callable[[Column], Column]:
+            def step(s: Column) -> Column:
+                def of(k: int) -> Column:
+                    return F.regexp_extract_all(s["now"], F.lit(p), F.lit(k))
+
+                def seen(x: Column) -> Column:
+                    mine = x["mark"] == ("!" if kind == "image" else "") if p == MARKDOWN else F.lit(True)
+                    words = x["label"] if kind == "image" else F.regexp_replace(x["label"], T.BLANK, "")
+                    mark = IMAGE_MARK if kind == "image" else LINK_MARK
+                    bad = mine & ~allowed(x["url"], hosts[kind], most)
+                    why = F.when(payload(x["url"], most), f"{kind}_payload").otherwise(f"foreign_{kind}")
+                    return F.struct(x["full"].alias("full"), F.when(~bad, x["full"]).when(words == "", mark).otherwise(F.concat(words, F.lit(" " + mark))).alias("new"), F.when(bad, why).alias("why"))
+
+                parts = {"full": of(0), "url": of(address), "label": of(label) if label else F.transform(of(0), lambda _: F.lit("")), "mark": of(1) if p == MARKDOWN else F.transform(of(0), lambda _: F.lit(""))}
+                found = F.transform(F.arrays_zip(*[v.alias(k) for k, v in parts.items()]), seen)
+
+                def done(f: Column) -> Column:
+                    whys = F.array_distinct(F.filter(F.transform(f, lambda x: x["why"]), lambda w: w.isNotNull()))
+                    new = F.when(F.size(whys) > 0, splice.rebuilt(s["now"], f, lambda x: x["full"], lambda x: x["new"])).otherwise(s["now"])
+                    return F.struct(new.alias("now"), F.array_distinct(F.concat(s["why"], whys)).alias("why"))
+
+                return F.when(s["now"].rlike(p), T.let(found, done)).otherwise(s)
+
+            return step
+
+        state = F.struct(text.alias("now"), none().alias("why"))
+        for one in LINK_SHAPES:
+            state = T.let(state, shape(*one))
+        return T.let(state, lambda s: rewritten(text, s["now"], s["why"]))
 
     return Rail("exfiltration", decide, ("output",), language_agnostic=True)
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import language
 from .functions import text as T
 from .functions import values as V
 from .operators import metrics, rails, train
 from .queries_base import ORACLES, q, query, spliced, sql_clauses, sql_list, sql_matching, sql_words, table
-from .queries_rails import ngram_language
 from .queries_stats import NAMES, SQL_FIRED, SQL_POSTERIOR, judged, observations
 
 CUT = 0.05
@@ -214,11 +214,15 @@ def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").distinct().join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query(f"SELECT doc_id, len(c) AS clauses, CAST(coalesce(list_sum(list_transform(list_sort(list_transform(c, lambda x: len(x)), 'DESC')[:64], lambda x: x)), 0) AS BIGINT) AS characters FROM (SELECT doc_id, {sql_clauses('text')} AS c FROM documents)")
+@query(
+    f"WITH c AS (SELECT doc_id, {sql_clauses('text')} AS c FROM documents), l AS (SELECT doc_id, len(c) AS clauses, list_transform(list_sort(list_transform(list_zip(c, range(len(c))), lambda z: {{'n': -len(z[1]), 'k': z[2], 'c': z[1]}}))[:64], lambda z: z.c) AS l FROM c) "
+    "SELECT doc_id, clauses, CAST(coalesce(list_sum(list_transform(l, lambda x: len(x))), 0) AS BIGINT) AS characters, sha256(array_to_string(l, chr(10))) AS longest FROM l"
+)
 def longest_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of the 64 longest clauses of each document."""
-    sizes = T.let(F.transform(T.clauses(F.col("text")), F.length), lambda s: F.struct(F.size(s).alias("clauses"), F.aggregate(F.slice(F.sort_array(s, asc=False), 1, 64), F.lit(0).cast("long"), lambda a, x: a + x).alias("characters")))
-    return table(spark, sf_dir, "documents").select("doc_id", sizes.alias("x")).select("doc_id", F.col("x.clauses").cast("long").alias("clauses"), "x.characters")
+    """The 64 longest clauses of each document, longest first, of equal ones the earlier."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.clauses(F.col("text")).alias("c"))
+    d = d.select("doc_id", F.size("c").cast("long").alias("clauses"), T.longest(F.col("c"), 64).alias("l"))
+    return d.select("doc_id", "clauses", F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("characters"), F.sha2(F.array_join("l", "\n"), 256).alias("longest"))
 
 
 @query(
@@ -229,17 +233,9 @@ SELECT doc_id, CASE WHEN n >= 6 AND grams >= 8 AND dist < 0.85 * second THEN lan
 )
 def named_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language that the n-gram profile names: clearly nearer than the second, of at least six words and eight n-grams."""
-    w = Window.partitionBy("doc_id").orderBy("distance", "lang")
-    d = ngram_language(spark, sf_dir).select("doc_id", "lang", "distance", F.row_number().over(w).alias("k"), F.lead("distance").over(w).alias("second")).where("k = 1")
-
-    def size(s: Column) -> Column:  # six words of at least a letter have more than eight n-grams unless they repeat
-        padded = F.transform(F.array_distinct(s), lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
-        grams = F.flatten(F.transform(F.slice(padded, 1, 8), lambda p: F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i, n=n: F.substring(p, i, F.lit(n))) for n in (2, 3)]))))
-        return F.struct(F.size(s).alias("n"), F.size(F.array_distinct(grams)).alias("grams"))
-
-    t = table(spark, sf_dir, "documents").select("doc_id", T.let(T.words(F.col("text")), size).alias("t"))
-    named = (F.col("t.n") >= 6) & (F.col("t.grams") >= 8) & (F.col("distance") < 0.85 * F.col("second"))
-    return d.join(t, "doc_id").select("doc_id", F.when(named, F.col("lang")).otherwise("unknown").alias("language"), (named & ~F.col("lang").isin("en", "nl")).alias("foreign_named"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
+    d = d.select("doc_id", language.named(F.col("w")).alias("language"))
+    return d.withColumn("foreign_named", (F.col("language") != "unknown") & ~F.col("language").isin("en", "nl"))
 
 
 @query(

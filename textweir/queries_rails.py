@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import concepts as C
+from .functions import language
 from .functions import text as T
 from .functions import values as V
 from .operators import rails as R
@@ -153,17 +154,7 @@ def language_posture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.coalesce(T.function_word_language(F.col("w")), F.lit("unknown")).alias("posture"))
 
 
-def profile(words: list[str]) -> list[str]:
-    counts: dict[str, int] = {}
-    for w in words:
-        for n in (2, 3, 4):
-            for i in range(len(w) + 3 - n):
-                g = f" {w} "[i : i + n]
-                counts[g] = counts.get(g, 0) + 1
-    return sorted(counts, key=lambda g: (-counts[g], g.encode()))[:200]
-
-
-PROFILES = [(lang, g, r) for lang, own in V.PROFILE_WORDS.items() for r, g in enumerate(profile(own))]
+PROFILES = [(lang, g, r) for lang, own in language.PROFILES.items() for r, g in enumerate(own)]
 
 
 @query(

@@ -216,3 +216,44 @@ def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     d = d.select("doc_id", "t", L.fold(F.col("t")).alias("f"), L.fold_all(F.col("t")).alias("a"), L.compatibility(F.col("t")).alias("n"))
     return d.select("doc_id", F.sha2("f", 256).alias("folded"), F.sha2("a", 256).alias("folded_all"), F.sha2("n", 256).alias("compatible"), (F.col("t") != F.col("f")).alias("imitates"))
+
+
+#: Links that every page gets besides its own, in turns; % is an address of its own.
+LINKED = [
+    "![a chart](https://img.bad.example/p/%)", "[the docs](https://ok.example/d/%)", "[ the docs ](https://evil.example/d/%)", "<https://evil.example/auto/%>", "see https://evil.example/plain/% there",
+    '<img src="https://ok.example/i/%.png">', "[open](https://ok.example/r?to=%aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa)", "![](http://bad.example/%)", '<a href="https://sub.ok.example/%">in</a>', "<ftp://files.example/%>",
+]
+ALLOWED = ["ok.example", "example.com"]
+
+
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.get(T.strings(LINKED), F.pmod("page_id", F.lit(len(LINKED))).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit("\n"), F.replace(one, F.lit("%"), F.col("page_id").cast("string"))).alias("html"))
+
+
+def _links_sql() -> str:
+    """Shape after shape; equal matches get equal replacements, and no plant's link stands within its image."""
+    host, query = "lower(regexp_extract({u}, '^https?://([^/?#:]+)', 1))", r"regexp_extract({u}, '([?#].*)', 1)"
+    load = f"(len({query}) > 40 OR regexp_matches({query}, '(?:%[0-9A-Fa-f]{{2}}){{6,}}|[A-Za-z0-9+/]{{40,}}={{0,2}}'))".replace("{{", "{").replace("}}", "}")
+    steps = [f"l0 AS (SELECT page_id, html || chr(10) || replace(({sql_list(LINKED)})[page_id % {len(LINKED)} + 1], '%', page_id::VARCHAR) AS t, []::VARCHAR[] AS why FROM pages)"]
+    for i, (kind, p, label, address) in enumerate(R.LINK_SHAPES):
+        u, h = "x.url", host.replace("{u}", "x.url")
+        mark = q(R.IMAGE_MARK if kind == "image" else R.LINK_MARK)
+        parts = [f"regexp_extract_all(t, {q(p)}, {k})" if k is not None else f"list_transform(regexp_extract_all(t, {q(p)}), lambda _: '')" for k in (0, address, label, 1 if p == R.MARKDOWN else None)]
+        good = f"({' OR '.join(f'{h} = {q(a)} OR ends_with({h}, {q('.' + a)})' for a in ALLOWED)}) AND NOT {load.replace('{u}', u)}"
+        words = "x.label" if kind == "image" else _STRIP.format("x.label")
+        mine = f"x.mark = '{'!' if kind == 'image' else ''}'" if p == R.MARKDOWN else "true"
+        bad = f"list_filter(list_transform(list_zip({', '.join(parts)}), lambda z: {{'full': z[1], 'url': z[2], 'label': z[3], 'mark': z[4]}}), lambda x: {mine} AND NOT ({good}))"
+        new = f"list_transform({bad}, lambda x: {{'full': x.full, 'new': CASE WHEN {words} = '' THEN {mark} ELSE {words} || ' ' || {mark} END, 'why': CASE WHEN {load.replace('{u}', u)} THEN '{kind}_payload' ELSE 'foreign_{kind}' END}})"
+        steps.append(f"m{i} AS (SELECT *, {new} AS z FROM l{i})")
+        steps.append(
+            f"l{i + 1} AS (SELECT page_id, list_reduce(list_prepend(t, list_distinct(list_transform(z, lambda x: x.full || chr(1) || x.new))), lambda a, x: replace(a, string_split(x, chr(1))[1], string_split(x, chr(1))[2])) AS t, list_concat(why, list_transform(z, lambda x: x.why)) AS why FROM m{i})"
+        )
+    return f"WITH {', '.join(steps)} SELECT page_id, array_to_string(list_sort(list_distinct(why)), ',') AS categories, sha256(t) AS content FROM l{len(R.LINK_SHAPES)}"
+
+
+@query(_links_sql())
+def exfiltration_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without addresses of hosts that are not allowed: images, links and autolinks in Markdown and HTML."""
+    seen = Engine([R.exfiltration(ALLOWED)]).run(linked(spark, sf_dir), text="html", side="output")
+    return seen.select("page_id", joined(F.array_sort("verdict.categories")).alias("categories"), F.sha2("verdict.content", 256).alias("content"))
