@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,14 +107,14 @@ def table_of(level: DataFrame) -> Table:
     return Table(blocks, out)
 
 
-def grams(texts: list[bytes], lang: str, k: int, before: list[Table]) -> tuple[list[bytes | None], np.ndarray]:
+def grams(texts: list[bytes], lang: str, k: int, before: list[Table]) -> tuple[pa.Array, np.ndarray]:
     """(phrases of k words, counts) of the texts; only those that `before`, tables of words and of k - 1 words, let pass.
 
     With k = 1 a null phrase carries the number of all words.
     """
-    t = tokens(texts)
+    t, none = tokens(texts), (pa.array([], pa.string()), np.zeros(0, np.int64))
     if not len(t):
-        return [], np.zeros(0, np.int64)
+        return none
     code, words = pd.factorize(t)
     words = list(words)
     edge = words.index(EDGE) if EDGE in words else -1
@@ -122,7 +123,7 @@ def grams(texts: list[bytes], lang: str, k: int, before: list[Table]) -> tuple[l
         if edge >= 0:
             n[edge] = 0
         here = np.flatnonzero(n)
-        return [None, *[words[i] for i in here]], np.concatenate([[n.sum()], n[here]])
+        return pa.array([None, *[words[i] for i in here]], pa.binary()).cast(pa.string()), np.concatenate([[n.sum()], n[here]])
     h = word_hashes(words, lang)
     ok = before[0].has(h)
     if edge >= 0:
@@ -130,7 +131,7 @@ def grams(texts: list[bytes], lang: str, k: int, before: list[Table]) -> tuple[l
     ok, h = ok[code], h[code]
     full = len(code) - k + 1
     if full <= 0:
-        return [], np.zeros(0, np.int64)
+        return none
     at = np.flatnonzero(np.logical_and.reduce([ok[j : j + full] for j in range(k)]))
     if k > 2:
         for first in (0, 1):
@@ -142,7 +143,12 @@ def grams(texts: list[bytes], lang: str, k: int, before: list[Table]) -> tuple[l
     for j in range(1, k):
         rank, key = pd.factorize(rank * len(words) + code[at + j])
         parts = np.column_stack([parts[key // len(words)], key % len(words)])
-    return [b" ".join([words[i] for i in p]) for p in parts.tolist()] if len(at) else [], np.bincount(rank, minlength=0)
+    if not len(at):
+        return none
+    if edge >= 0:
+        words[edge] = b""  # in no phrase, and no text
+    said = pa.array(words, pa.binary()).cast(pa.string())
+    return pc.binary_join_element_wise(*[said.take(pa.array(parts[:, j])) for j in range(k)], " "), np.bincount(rank)
 
 
 def counted(docs: DataFrame, k: int, before: list[Table]) -> DataFrame:
@@ -158,7 +164,7 @@ def counted(docs: DataFrame, k: int, before: list[Table]) -> DataFrame:
             for lang, texts in held.items():
                 said, n = grams(texts, lang, k, sent.value)
                 for i in range(0, len(said), 100_000):
-                    part = pa.array(said[i : i + 100_000], pa.binary()).cast(pa.string())
+                    part = said.slice(i, 100_000)
                     yield pa.record_batch([pa.array([lang] * len(part), pa.string()), part, pa.array(n[i : i + 100_000], pa.int64())], ["lang", "gram", "f"])
             held.clear()
 
