@@ -22,8 +22,34 @@ def posterior(observed: DataFrame, key: str, side: str, prior: float, confidence
     seen = observed.where("fired is not null").join(F.broadcast(table), "rail")  # a fixed table of at most 17 rows
     one = seen.groupBy(key, "grp").agg(F.max(F.when(F.col("fired"), F.struct("yes"))).alias("fired"), F.max_by("no", "detection").alias("silent"))
     bits = one.groupBy(key).agg(F.sum(F.coalesce("fired.yes", "silent")).alias("bits"))
-    odds = prior / (1 - prior) * F.pow(F.lit(2.0), F.col("bits"))
-    return bits.select(key, "bits", F.when(odds == float("inf"), 1.0).otherwise(odds / (1 + odds)).alias("posterior")).withColumn("action", action(F.col("posterior"), policy))
+    return bits.select(key, "bits", probability(F.col("bits"), prior).alias("posterior")).withColumn("action", action(F.col("posterior"), policy))
+
+
+def row_bits(fired: dict[str, Column], side: str, confidence: float | None = 0.95) -> Column:
+    """Bits of one row from what each rail says in it (null: nothing): the same as posterior() gives, without moving a row."""
+    groups: dict[str, list[tuple[str, float, float, float]]] = {}
+    for rail, group, detection, yes, no in weights(side, confidence):
+        if rail in fired:
+            groups.setdefault(group, []).append((rail, detection, yes, no))
+    return sum((F.coalesce(group_bits(g, fired), F.lit(0.0)) for g in groups.values()), F.lit(0.0))
+
+
+def group_bits(group: list[tuple[str, float, float, float]], fired: dict[str, Column]) -> Column:
+    """Of those of a group that fired the one with most bits speaks, else the most sensitive of those that looked."""
+    strongest = sorted(group, key=lambda g: -g[2])
+    sensitive = sorted(group, key=lambda g: -g[1])
+    return F.coalesce(*[F.when(fired[r], yes) for r, _, yes, _ in strongest], *[F.when(fired[r].isNotNull(), no) for r, _, _, no in sensitive])
+
+
+def probability(bits: Column, prior: float) -> Column:
+    odds = prior / (1 - prior) * F.pow(F.lit(2.0), bits)
+    return F.when(odds == float("inf"), 1.0).otherwise(odds / (1 + odds))
+
+
+def judged(rows: DataFrame, key: str, rails: list[str], side: str, prior: float, confidence: float | None = 0.95, policy: tuple[float, float] = (0.5, 0.05)) -> DataFrame:
+    """(key, bits, posterior, action) of rows with a boolean column for each rail: a projection."""
+    b = rows.select(key, row_bits({r: F.col(r) for r in rails}, side, confidence).alias("bits"))
+    return b.withColumn("posterior", probability(F.col("bits"), prior)).withColumn("action", action(F.col("posterior"), policy))
 
 
 def action(p: Column, policy: tuple[float, float]) -> Column:

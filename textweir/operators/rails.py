@@ -61,16 +61,57 @@ class Rail:
     placeholder: bool = False
 
 
+#: By label: a text that the pattern matches holds one of the words of each list, in lower case. Patterns without an entry are always run.
+GATES = {
+    "instruction_override": [["ignore", "disregard"], ["instruction"]],
+    "prompt_disclosure": [["prompt", "instruction", "message"], ["reveal", "print", "repeat", "show", "output"]],
+    "role_reset": [["you"], ["mode", "persona", "dan", "jailbreak"]],
+    "role_header": [["system", "systeem", "assist", "user", "gebruiker"], [":"]],
+    "override_above": [["ignore", "disregard", "forget", "override"], ["instruction", "guideline", "rule", "direct", "prompt", "system", "above", "previous", "prior", "earlier", "preced", "foregoing"]],
+    "role_assignment": [["you"], ["assistant", "ai", "model", "chatbot", "dan"]],
+    "answer_shaping": [["mention", "reveal", "disclose", "tell", "say", "admit"], ["user", "them", "you", "answer", "respon"]],
+    "exfiltration": [["reveal", "print", "repeat", "output", "send", "post"], ["prompt", "api", "token", "credential", "conversation"]],
+    "hidden_directive": [["<!--"]],
+    "unrestricted_persona": [["you", "act", "pretend", "simulate", "roleplay"], ["dan", "anything", "developer", "jailbroken", "unfiltered", "unrestricted", "without"]],
+    "restrictions_lifted": [["safety", "content", "ethical", "moral", "mode"]],
+    "dual_answer": [["respon", "answer", "reply", "output"], ["two", "both", "2", ":"]],
+    "sentimental_wrapper": [["mother", "father", "grandma", "grandpa", "mom", "dad", "late"], ["used", "would"], ["read", "tell", "recite", "whisper"]],
+    "fiction_licence": [["write", "compose", "imagine"], ["where"], ["how"]],
+    "forged_authority": [["developer", "creator", "admin", "owner", "vendor", "provider", "maker", "you"], ["instruct", "order", "command", "authori", "you"]],
+}
+
+
+def found(text: Column, low: Column, label: str, p: str) -> Column:
+    """Whether a pattern matches; low is the text in lower case, looked at for the pattern's words first."""
+    out = F.lit(True)
+    for words in GATES.get(label, []):
+        some = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            some = some | F.contains(low, F.lit(w))
+        out = out & some
+    return out & text.rlike(p)
+
+
 def matching(text: Column, patterns: dict[str, str]) -> Column:
-    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in patterns.items()]), lambda x: x.isNotNull())
+    return T.let(F.lower(text), lambda low: F.filter(F.array(*[F.when(found(text, low, k, p), F.lit(k)) for k, p in patterns.items()]), lambda x: x.isNotNull()))
+
+
+def any_match(text: Column, patterns: dict[str, str]) -> Column:
+    def some(low: Column) -> Column:
+        out = F.lit(False)
+        for k, p in patterns.items():
+            out = out | found(text, low, k, p)
+        return out
+
+    return T.let(F.lower(text), some)
 
 
 def pattern(patterns: dict[str, str], name: str = "pattern", sides: tuple[str, ...] = ("input", "output")) -> Rail:
     """The first matching label blocks."""
 
     def decide(text: Column, _: dict) -> Column:
-        first = F.coalesce(*[F.when(text.rlike(p), F.lit(k)) for k, p in patterns.items()])
-        return blocked_by(text, F.when(first.isNotNull(), F.array(first)).otherwise(none()))
+        first = T.let(F.lower(text), lambda low: F.coalesce(*[F.when(found(text, low, k, p), F.lit(k)) for k, p in patterns.items()]))
+        return blocked_by(text, T.let(first, lambda f: F.when(f.isNotNull(), F.array(f)).otherwise(none())))
 
     return Rail(name, decide, sides)
 

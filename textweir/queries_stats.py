@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .functions import stats as S
 from .functions import text as T
 from .functions import values as V
-from .operators import assess, evaluate, session, train
+from .operators import assess, evaluate, rails, session, train
+from .plans.escalation import escalate
 from .queries_base import SPLICED, q, query, spliced, sql_list, sql_matching, sql_normalized, sql_stem, sql_values, sql_words, table
 
 
@@ -60,14 +61,8 @@ def fired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, one boolean per rail) over spliced documents."""
     d = spliced(spark, sf_dir)
 
-    def any_of(patterns: dict[str, str]) -> Column:
-        out = F.lit(False)
-        for p in patterns.values():
-            out = out | F.col("text").rlike(p)
-        return out
-
     turns = sum(F.regexp_count("text", F.lit(p)) for p in V.TURN_PATTERNS) > 4
-    return d.select("doc_id", *[any_of(p).alias(r) for r, p in RAILS.items()], turns.alias("many_shot"))
+    return d.select("doc_id", *[rails.any_match(F.col("text"), p).alias(r) for r, p in RAILS.items()], turns.alias("many_shot"))
 
 
 SQL_FIRED = f"(SELECT doc_id, {', '.join(f'len({sql_matching(p)}) > 0 AS {r}' for r, p in RAILS.items())}, {' + '.join(f'len(regexp_extract_all(text, {q(p)}))' for p in V.TURN_PATTERNS)} > 4 AS many_shot FROM {SPLICED})"
@@ -83,7 +78,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess.posterior(observations(spark, sf_dir), "doc_id", "context", PRIOR)
+    return assess.judged(fired(spark, sf_dir), "doc_id", NAMES, "context", PRIOR)
 
 
 @query(f"SELECT doc_id, round(bits, 6) AS bits, round(p, 6) AS posterior, CASE WHEN p >= 0.5 THEN 'block' WHEN p >= 0.05 THEN 'review' ELSE 'allow' END AS action FROM ({SQL_POSTERIOR})")
@@ -91,6 +86,27 @@ def posterior_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).select("doc_id", F.round("bits", 6).alias("bits"), F.round("posterior", 6).alias("posterior"), "action")
 
 
+_YES, _NO = next((y, n) for r, y, n in WEIGHTS if r == "many_shot")
+_ACT = "CASE WHEN {0} / (1 + {0}) >= 0.5 THEN 'block' WHEN {0} / (1 + {0}) >= 0.05 THEN 'review' ELSE 'allow' END"
+
+
+def _ends(b: str) -> str:
+    return _ACT.format(f"({PRIOR / (1 - PRIOR)!r} * pow(2, {b}))")
+
+
+_TWO = " + ".join(f"CASE WHEN {r} THEN {y!r} ELSE {n!r} END" for r, y, n in WEIGHTS if r in RAILS)
+
+
+@query(
+    f"WITH f AS (SELECT doc_id, many_shot, {_TWO} AS b FROM {SQL_FIRED}), e AS (SELECT doc_id, b, many_shot, {_ends(f'(b + {min(_YES, _NO, 0.0)!r})')} AS low, {_ends(f'(b + {max(_YES, _NO, 0.0)!r})')} AS high FROM f) "
+    f"SELECT doc_id, {_ends(f'(b + CASE WHEN many_shot THEN {_YES!r} ELSE {_NO!r} END)')} AS action, CASE WHEN low = high THEN 2 ELSE 3 END AS looked FROM e"
+)
+def escalated_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is done with each spliced document, and how many rails it took: the last one looks only where it could change that."""
+    seen = escalate(spliced(spark, sf_dir), [rails.injected_instructions(), rails.jailbreak()], [rails.many_shot()], PRIOR)
+    return seen.select("doc_id", "risk.action", "risk.looked")
+
+
 @query(f"SELECT doc_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY CASE WHEN bucket = 'kept' THEN p ELSE -p END, doc_id) AS place FROM (SELECT doc_id, round(p, 9) AS p, CASE WHEN p >= 0.5 THEN 'dropped' WHEN p >= 0.05 THEN 'review' ELSE 'kept' END AS bucket FROM ({SQL_POSTERIOR}))")
 def triage_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = judged(spark, sf_dir).withColumn("posterior", F.round("posterior", 9))
