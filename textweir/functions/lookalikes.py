@@ -59,9 +59,9 @@ def char_class(chars: Mapping[str, str] | list[str]) -> str:
 
 
 def holds(c: Column, chars: Mapping[str, str]) -> Column:
-    """Whether c holds one of the characters; ASCII texts, and Latin letters that are none of them, are told by one cheap test."""
+    """Whether c holds one of the characters; ASCII texts, and Latin letters that are none of them, are told by cheap tests first."""
     plain = char_class([chr(n) for n in range(0x300) if chr(n) not in chars])
-    return c.rlike("[^" + plain[1:]) & c.rlike(f"(?=[^{plain[1:]})" + char_class(chars))
+    return c.rlike(r"[^\x00-\x7F]") & c.rlike(f"(?=[^\\x00-\\x7F])[^{plain[1:]}") & c.rlike(f"(?=[^{plain[1:]})" + char_class(chars))
 
 
 def replaced(c: Column, chars: Mapping[str, str]) -> Column:
