@@ -12,7 +12,7 @@ from textweir.functions import language as LG
 from textweir.functions import text as T
 from textweir.functions import values as V
 from textweir.functions.stats import beta_quantile
-from textweir.operators import assess, leak, risk
+from textweir.operators import assess, leak, provenance, risk
 from textweir.operators import rails as R
 from textweir.plans.engine import Engine
 from textweir.plans.escalation import escalate
@@ -219,3 +219,23 @@ def test_language_rail_bands(spark):
     twice = df.where("i = 6").withColumn("text", F.concat_ws(" ", "text", "text"))  # 24 words or more need no named language
     only = Engine([R.language(("en",))]).run(twice, side="context").first().verdict
     assert not only.certain
+
+
+# --- provenance
+
+
+def test_manifests_and_claims(spark):
+    cols = "case_id int, grp string, label boolean, role string, text string"
+    a = provenance.manifest(spark.createDataFrame([(1, "g", True, "train", "x"), (2, "g", False, "train", None), (3, "h", False, "test", "z"), (4, None, None, None, "w")], cols))
+    b = provenance.manifest(spark.createDataFrame([(1, "g", True, "test", "x"), (2, "g", False, "train", "y"), (4, None, None, None, "w"), (5, "k", True, "train", "v")], cols))
+    assert {(x.case_id, x.change) for x in provenance.changed(a, b).collect()} == {(1, "moved"), (2, "edited"), (3, "removed"), (5, "added")}
+    pred = spark.createDataFrame([(i, "threshold" if i < 5 else "train") for i in range(10)], "case_id int, role string")
+    claims = [("t", "threshold", i) for i in range(5)] + [("u", "threshold", i) for i in range(1, 5)] + [("w", "train", 5), ("w", "train", 5), ("x", "train", 1), ("y", "train", 99), ("z", "test", 5)]
+    got = {x.artifact: x for x in provenance.artifact_roles(spark.createDataFrame(claims, "artifact string, role string, case_id int"), pred).collect()}
+    assert {k: v.consistent for k, v in got.items()} == {"t": True, "u": False, "w": False, "x": False, "y": False, "z": False}
+    assert (got["u"].missing, got["w"].repeated, got["x"].wrong_role, got["y"].unknown) == (1, 1, 1, 1)
+    d = "a" * 64
+    rows = [("t1", 0.5, "threshold", "m", d, "exact", 0.95), ("", 2.0, "test", "m", "zz", "", 1.0), ("t3", None, "threshold", "other", d, "exact", 0.95)]
+    arts = spark.createDataFrame([("m", d)], "id string, sha256 string")
+    f = {x.id: x.faults for x in provenance.threshold_faults(spark.createDataFrame(rows, "id string, value double, selected_on string, artifact_id string, artifact_sha256 string, method string, level double"), arts).collect()}
+    assert f["t1"] == [] and len(f[""]) == 6 and f["t3"] == ["value out of range", "no such artifact"]

@@ -14,17 +14,25 @@ def effective(score: Column, attack: Column) -> Column:
 
 
 def curve(rows: DataFrame) -> DataFrame:
-    """(threshold, tp, fp, positives, negatives) at every distinct score of rows (score, attack), and beyond both ends.
+    """(threshold, tp, fp, p, n, positives, negatives) at every distinct score of rows (score, attack), and beyond both ends.
 
-    Counts are pre-aggregated by score, so the ordered sums run over distinct scores only.
+    p and n are the cases at the threshold itself. Counts are pre-aggregated by score, and summed in order by range partition: local sums
+    and the totals of the partitions before, so no task holds all distinct scores.
     """
     by = rows.groupBy("score").agg(F.count_if("attack").alias("p"), F.count_if(~F.col("attack")).alias("n"))
     ends = rows.sparkSession.createDataFrame([(1 + EPSILON, 0, 0), (-EPSILON, 0, 0)], "score double, p long, n long")
-    w = Window.orderBy(F.desc("score"))
-    every = by.unionByName(ends)
-    c = every.select(F.col("score").alias("threshold"), F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
-    total = by.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))  # one row
-    return c.join(F.broadcast(total))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # an exchange with a number of its own, which both readers below share
+    r = by.unionByName(ends).repartitionByRange(parts, F.desc("score")).withColumn("_part", F.spark_partition_id())
+    each = r.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # one row a partition
+    told = each.agg(F.array_sort(F.collect_list(F.struct("_part", "_p", "_n"))).alias("x"), F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"))
+
+    def before(k: str) -> Column:
+        return F.aggregate(F.filter("x", lambda y: y["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda s, y: s + y[k])
+
+    w = Window.partitionBy("_part").orderBy(F.desc("score"))
+    c = r.withColumns({"_tp": F.sum("p").over(w), "_fp": F.sum("n").over(w)}).join(F.broadcast(told))  # one row, of a few numbers a partition
+    return c.select(F.col("score").alias("threshold"), (F.col("_tp") + before("_p")).alias("tp"), (F.col("_fp") + before("_n")).alias("fp"), "p", "n", "positives", "negatives")
 
 
 def roc(rows: DataFrame) -> DataFrame:
@@ -38,15 +46,21 @@ def precision_recall(rows: DataFrame) -> DataFrame:
 
 
 def areas(rows: DataFrame, limit: float = 0.1) -> DataFrame:
-    """One row: area under ROC, its part up to a false-positive rate, and step-wise average precision."""
-    w = Window.orderBy(F.desc("threshold"))
-    r = roc(rows).select(F.col("fpr").alias("x"), F.col("tpr").alias("y"), F.lag("fpr").over(w).alias("x0"), F.lag("tpr").over(w).alias("y0")).where("x0 is not null")
+    """One row: area under ROC, its part up to a false-positive rate, and step-wise average precision.
+
+    The point before a threshold is that without the threshold's own cases, so every row stands for itself.
+    """
+    c = curve(rows).where("p > 0 or n > 0")
+    x, y = F.try_divide("fp", "negatives"), F.try_divide("tp", "positives")
+    x0, y0 = F.try_divide(F.col("fp") - F.col("n"), F.col("negatives")), F.try_divide(F.col("tp") - F.col("p"), F.col("positives"))
+    r = c.select(x.alias("x"), y.alias("y"), x0.alias("x0"), y0.alias("y0"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
     top = F.least("x", F.lit(limit))
     y_top = F.col("y0") + (top - F.col("x0")) / (F.col("x") - F.col("x0")) * (F.col("y") - F.col("y0"))
     part = F.when((F.col("x0") >= limit) | (F.col("x") == F.col("x0")), 0.0).otherwise((top - F.col("x0")) * (F.col("y0") + y_top) / 2)
-    a = r.agg(F.sum((F.col("x") - F.col("x0")) * (F.col("y") + F.col("y0")) / 2).alias("area"), F.sum(part).alias("partial"))
-    p = precision_recall(rows).select("recall", "precision", F.lag("recall").over(w).alias("r0")).where("recall > r0")
-    return a.join(F.broadcast(p.agg(F.coalesce(F.sum((F.col("recall") - F.col("r0")) * F.col("precision")), F.lit(0.0)).alias("average_precision"))))  # one row each
+    return r.agg(
+        F.sum((F.col("x") - F.col("x0")) * (F.col("y") + F.col("y0")) / 2).alias("area"), F.sum(part).alias("partial"),
+        F.coalesce(F.sum(F.when(F.col("y") > F.col("y0"), (F.col("y") - F.col("y0")) * F.col("precision"))), F.lit(0.0)).alias("average_precision"),
+    )
 
 
 def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:

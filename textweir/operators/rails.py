@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -273,7 +274,8 @@ def personal_data() -> Rail:
     """Redacts addresses and numbers; exact exemptions depend on the text around a match, so this is one Arrow UDF."""
 
     def decide(text: Column, _: dict) -> Column:
-        got = redact_personal()(text)
+        some = text.rlike(r"@|[0-9]")  # every shape has one: texts without are not sent to Python
+        got = redact_personal()(F.when(some, text))
         return rewritten(text, got["content"], got["categories"])
 
     return Rail("personal_data", decide, ("input",), language_agnostic=True)
@@ -283,14 +285,13 @@ def redact_personal():
     shapes = {k: re.compile(p, re.A) for k, p in V.PERSONAL_PATTERNS.items()}
     host, remote, stand_in = (re.compile(p, re.A) for p in (V.HOST_COMMANDS, V.REMOTE_PATH, V.PLACEHOLDER_USERS))
 
-    def checks(kind: str, m: re.Match, body: str) -> bool:
-        before = body[: m.start()]
-        if before.count("`") % 2 or len(re.findall(r"(?m)^```", before)) % 2:
+    def checks(kind: str, m: re.Match, body: str, ticks: list[int], fences: list[int]) -> bool:
+        if bisect(ticks, m.start() - 1) % 2 or bisect(fences, m.start() - 3) % 2:
             return False
         digits = re.sub(r"\D", "", m[0])
         if kind == "email":
-            line = before.rsplit("\n", 1)[-1]
-            return not (remote.match(body[m.end() :]) or host.search(line) or stand_in.match(m[0].split("@")[0]))
+            line = body[body.rfind("\n", 0, m.start()) + 1 : m.start()]
+            return not (remote.match(body[m.end() : m.end() + 2]) or host.search(line) or stand_in.match(m[0].split("@")[0]))
         if kind == "card":
             double = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
             return 13 <= len(digits) <= 19 and sum(x - 9 if x > 9 else x for x in double) % 10 == 0
@@ -302,8 +303,12 @@ def redact_personal():
         cats: list[str] = []
         for kind, shape in shapes.items():
             out, at, source = [], 0, body or ""
-            for m in shape.finditer(source):
-                if checks(kind, m, source):
+            found = list(shape.finditer(source))
+            # where code begins and ends, once a text: whether a match stands in code is then a search among these
+            ticks = [m.start() for m in re.finditer("`", source)] if found else []
+            fences = [m.start() for m in re.finditer(r"(?m)^```", source)] if found else []
+            for m in found:
+                if checks(kind, m, source, ticks, fences):
                     cats += [] if kind in cats else [kind]
                     out += [source[at : m.start()], m[0].replace(m[1], "[redacted]", 1) if m.re.groups and m[1] else "[redacted]"]
                     at = m.end()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import values as V
-from .operators import bayes, jointrisk, linear, risk, train
+from .operators import bayes, jointrisk, linear, provenance, risk, train
 from .operators import rails as R
 from .plans.engine import Engine
 from .queries_base import SPLICED, query, spliced, sql_clauses, sql_list, sql_stem, sql_words
@@ -113,3 +113,28 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = risk.paired(side(3.0), side(0.0), ["caught", "flagged"])
     return d.select("metric", "n", *[F.round(k, 9).alias(k) for k in ("baseline", "candidate", "difference")], F.col("difference").between(F.col("lower"), F.col("upper")).alias("inside"))
+
+
+_CLAIMED = "CASE role WHEN 'train' THEN 'weights' WHEN 'calibration' THEN 'bands' ELSE 'cut' END"
+_SAID = "CASE WHEN case_id % 43 = 0 THEN 'calibration' ELSE role END"
+
+
+@query(
+    f"{PRED}, cl AS (SELECT {_CLAIMED.replace('role', 'said')} AS artifact, said AS role, case_id FROM (SELECT case_id, {_SAID} AS said FROM pred WHERE role <> 'test' AND case_id % 41 <> 0) UNION ALL SELECT 'weights', 'train', case_id FROM pred WHERE role = 'train' AND case_id % 97 = 1), "
+    "nm AS (SELECT artifact, role, case_id, COUNT(*) AS times FROM cl GROUP BY ALL), j AS (SELECT nm.*, p.role AS real FROM nm LEFT JOIN pred p USING (case_id)), g AS (SELECT artifact, role, COUNT(*) AS cases, COUNT(*) FILTER (times > 1) AS repeated, COUNT(*) FILTER (real IS NULL) AS unknown, COUNT(*) FILTER (real <> role) AS wrong_role, COUNT(*) FILTER (real = role) AS ok FROM j GROUP BY 1, 2), "
+    "z AS (SELECT role, COUNT(*) AS size FROM pred GROUP BY 1) SELECT artifact, role, cases, repeated, unknown, wrong_role, coalesce(size, 0) - ok AS missing, repeated + unknown + wrong_role = 0 AND (role <> 'threshold' OR coalesce(size, 0) = ok) AND role <> 'test' AS consistent FROM g LEFT JOIN z USING (role)"
+)
+def artifact_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of three artifacts on the cases they were made from, with cases left out, named twice or of another role."""
+    p = predictions(spark, sf_dir).select("case_id", "role")
+    said = p.where("role <> 'test' and case_id % 41 <> 0").select("case_id", F.expr(_SAID).alias("role"))
+    twice = p.where("role = 'train' and case_id % 97 = 1").select(F.lit("weights").alias("artifact"), "role", "case_id")
+    claims = said.select(F.expr(_CLAIMED).alias("artifact"), "role", "case_id").unionByName(twice)
+    return provenance.artifact_roles(claims, p)
+
+
+@query(f"SELECT c.case_id, grp, attack AS label, role, sha256(json_object('group', grp, 'id', c.case_id::VARCHAR, 'label', attack, 'role', role, 'text', sha256(text))::VARCHAR) AS sha256 FROM {SQL_CASES} c JOIN {SQL_ROLES} r USING (grp) JOIN {SPLICED} s ON s.doc_id = c.case_id")
+def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case with its role and the digest of its canonical record."""
+    c, _ = bayes_cases(spark, sf_dir)
+    return provenance.manifest(c.withColumnRenamed("attack", "label"))
