@@ -12,19 +12,14 @@ from ..functions import values as V
 from .assess import action, probability
 
 
-def folded(df: DataFrame, key: str, order: str, value: Column, step, name: str) -> DataFrame:
-    """One row per key: the last state of a fold over its values in order; a key's values must fit one row."""
-    seq = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("x")))).alias("seq"), F.count(F.lit(1)).alias("turns"))
-    return seq.select(key, "turns", F.aggregate(F.transform("seq", lambda s: s["x"]), F.lit(0.0), step).alias(name))
-
-
 def log_odds(df: DataFrame, key: str, order: str, bits: Column, decay: float = 0.6) -> DataFrame:
-    """Excess over the prior's log-odds, decayed at every turn."""
-    return folded(df, key, order, bits, lambda a, x: a * decay + x, "excess")
+    """(key, turns, excess): excess over the prior's log-odds, decayed at every turn."""
+    return tracks(df, key, order, bits, F.lit("attack"), 0.5, decay).select(key, F.col("attack_turns").alias("turns"), F.col("attack_bits").alias("excess"))
 
 
 def cusum(df: DataFrame, key: str, order: str, bits: Column, decay: float = 0.6) -> DataFrame:
-    return folded(df, key, order, bits, lambda a, x: F.greatest(F.lit(0.0), a * decay + x), "cusum")
+    """(key, turns, cusum): what has gathered toward attack, decayed and never below 0."""
+    return tracks(df, key, order, bits, F.lit("attack"), 0.5, decay).select(key, F.col("attack_turns").alias("turns"), F.col("attack_cusum").alias("cusum"))
 
 
 SEGMENT = 512
@@ -81,7 +76,8 @@ def content_words(text: Column) -> Column:
 def escalation(turns: DataFrame, window: int = 6, tolerance: int = 2, overlap: float = 0.6) -> DataFrame:
     """turns (conv_id, turn, role, text, blocked) with a shape: repeated_refusals, paraphrase, reframed, reference_back or null.
 
-    categories holds the shape, after retry_after_refusal where it is a retry.
+    categories holds the shape, after retry_after_refusal where it is a retry. A turn without a conv_id has no history to be compared
+    with: it has no shape, and certain is false.
     The history of a turn is what stands before it in its conversation; refused are blocked user turns.
     """
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -94,7 +90,7 @@ def escalation(turns: DataFrame, window: int = 6, tolerance: int = 2, overlap: f
     same = (F.size("_now") >= 3) & (F.size("_then") > 0) & (common / F.size("_now") >= overlap)
     shape = F.when(F.col("_recent") > tolerance, "repeated_refusals").when(F.col("_last").isNull(), None).when(same, "paraphrase")
     shape = shape.when(F.col("text").rlike(V.REFRAMING) & (common > 0), "reframed").when(F.col("text").rlike(V.REFERENCE_BACK), "reference_back")
-    t = t.withColumn("shape", shape)
+    t = t.withColumn("certain", F.col("conv_id").isNotNull()).withColumn("shape", F.when(F.col("certain"), shape))
     none = F.array().cast("array<string>")
     retry = F.when(F.col("shape") == "repeated_refusals", none).otherwise(F.array(F.lit("retry_after_refusal")))
     return t.withColumn("categories", F.when(F.col("shape").isNull(), none).otherwise(F.concat(retry, F.array("shape")))).drop("_recent", "_last", "_now", "_then")

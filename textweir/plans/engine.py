@@ -63,6 +63,15 @@ class Engine:
         out = out.withColumn(into, F.struct(status.alias("status"), name.alias("rail"), s["content"].alias("content"), categories.alias("categories"), certain.alias("certain"), s["rewritten_by"].alias("rewritten_by")))
         return out.drop(STATE)
 
+    def run_distinct(self, df: DataFrame, text: str = "text", side: str = "input", into: str = "verdict") -> DataFrame:
+        """The same as run(), with each distinct text looked at once: for dear rails over texts with many copies.
+
+        Texts are told apart by SHA-256; rows meet their text's verdict in a join that the engine may split where one text has many rows.
+        """
+        d = df.withColumn("_text_key", F.coalesce(F.sha2(F.col(text), 256), F.lit("")))
+        once = self.run(d.groupBy("_text_key").agg(F.any_value(text).alias(text)), text, side, into=into).select("_text_key", into)
+        return d.join(once, "_text_key").drop("_text_key")
+
     def screen(self, df: DataFrame, text: str = "text", side: str = "context") -> tuple[DataFrame, DataFrame]:
         """(kept, rejected): kept rows carry the rewritten text, both keep their columns and verdict."""
         seen = self.run(df, text, side)

@@ -11,7 +11,7 @@ from .functions import text as T
 from .functions import values as V
 from .operators import rails as R
 from .plans.engine import Engine
-from .queries_base import CONCEPTS_SQL, SPLICED, q, query, spliced, sql_clauses, sql_list, sql_matching, sql_normalized, sql_stem, sql_values, sql_words, table
+from .queries_base import CONCEPTS_SQL, ORACLES, SPLICED, q, query, spliced, sql_clauses, sql_list, sql_matching, sql_normalized, sql_stem, sql_values, sql_words, table
 
 
 def joined(c: Column) -> Column:
@@ -253,6 +253,13 @@ def engine_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "verdict.status", "verdict.rail", joined(F.col("verdict.categories")).alias("categories"))
 
 
+@query(ORACLES["engine_verdict"])
+def memoized_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """engine_verdict with equal texts looked at once."""
+    seen = Engine([R.injected_instructions(), R.jailbreak(), R.many_shot()]).run_distinct(spliced(spark, sf_dir), side="context")
+    return seen.select("doc_id", "verdict.status", "verdict.rail", joined(F.col("verdict.categories")).alias("categories"))
+
+
 @query()
 def engine_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All deterministic rails of the context side."""

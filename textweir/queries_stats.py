@@ -35,25 +35,12 @@ def worst_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("n = 16").groupBy("user_id").agg(F.round(F.max("m"), 6).alias("worst"))
 
 
-BLOCKED = "(role = 'user' AND (length(text) % 3) = 0)"
-
-
 def sql_content(c: str) -> str:
     return f"list_filter({sql_words(c)}, lambda x: NOT list_contains({sql_list(V.STOP_WORDS)}, x))"
 
 
 
 
-@query(
-    f"WITH t AS (SELECT *, {BLOCKED} AS blocked FROM conversations), h AS (SELECT conv_id, turn, text, sum(CASE WHEN blocked THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS recent, last_value(CASE WHEN blocked THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM t), "
-    f"c AS (SELECT *, {sql_content('text')} AS a, {sql_content('prev')} AS b FROM h) "
-    f"SELECT conv_id, turn, CASE WHEN recent > 2 THEN 'repeated_refusals' WHEN prev IS NULL THEN NULL WHEN len(a) >= 3 AND len(b) > 0 AND len(list_distinct(list_intersect(a, b))) / len(a) >= 0.6 THEN 'paraphrase' WHEN regexp_matches(text, {q(V.REFRAMING)}) AND len(list_intersect(a, b)) > 0 THEN 'reframed' WHEN regexp_matches(text, {q(V.REFERENCE_BACK)}) THEN 'reference_back' END AS shape FROM c"
-)
-def escalation_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").withColumn("blocked", F.expr(BLOCKED))
-    return session.escalation(t).select("conv_id", "turn", "shape")
-
-
 RAILS = {"injected_instructions": V.INJECTED_PATTERNS, "jailbreak": V.JAILBREAK_PATTERNS}
 
 
@@ -137,20 +124,51 @@ def rail_phi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.phi(fired(spark, sf_dir), NAMES).withColumn("phi", F.round("phi", 6))
 
 
-BITS = "(CASE WHEN role = 'user' THEN (length(text) % 7) - 3.0 ELSE 0.0 END)"
+#: Every third turn asks for an injection, in the words of the one before it or in its own.
+_ASKED = f"({sql_list(V.INJECTIONS)})[(conv_id + turn // 6) % {len(V.INJECTIONS)} + 1]"
+
+
+def said_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations with injections in every third turn, and one boolean for each of two rails."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    one = F.get(T.strings(V.INJECTIONS), F.pmod(F.col("conv_id") + F.floor(F.col("turn") / 6), F.lit(len(V.INJECTIONS))).cast("int"))
+    t = t.withColumn("text", F.when(F.pmod("turn", F.lit(3)) == 0, F.concat(one, F.lit(" "), "text")).otherwise(F.col("text")))
+    return t.withColumns({r: rails.any_match(F.col("text"), p) for r, p in RAILS.items()})
+
+
+SQL_TURNS = f"(SELECT *, {', '.join(f'len({sql_matching(p)}) > 0 AS {r}' for r, p in RAILS.items())} FROM (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN {_ASKED} || ' ' || text ELSE text END AS text FROM conversations))"
+
+
+@query(
+    f"WITH t AS (SELECT *, role = 'user' AND (injected_instructions OR jailbreak) AS blocked FROM {SQL_TURNS}), h AS (SELECT conv_id, turn, text, sum(CASE WHEN blocked THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS recent, last_value(CASE WHEN blocked THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM t), "
+    f"c AS (SELECT *, {sql_content('text')} AS a, {sql_content('prev')} AS b FROM h) "
+    f"SELECT conv_id, turn, CASE WHEN recent > 2 THEN 'repeated_refusals' WHEN prev IS NULL THEN NULL WHEN len(a) >= 3 AND len(b) > 0 AND len(list_distinct(list_intersect(a, b))) / len(a) >= 0.6 THEN 'paraphrase' WHEN regexp_matches(text, {q(V.REFRAMING)}) AND len(list_intersect(a, b)) > 0 THEN 'reframed' WHEN regexp_matches(text, {q(V.REFERENCE_BACK)}) THEN 'reference_back' END AS shape FROM c"
+)
+def escalation_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that try again what the rails have refused before in their conversation."""
+    t = said_turns(spark, sf_dir).withColumn("blocked", (F.col("role") == "user") & (F.col("injected_instructions") | F.col("jailbreak")))
+    return session.escalation(t).select("conv_id", "turn", "shape")
+
+
+#: Bits of a turn: those of two rails for what users write, none for other turns.
+SQL_TURN_BITS = "CASE WHEN role = 'user' THEN " + " + ".join(f"CASE WHEN {r} THEN {y!r} ELSE {n!r} END" for r, y, n in WEIGHTS if r in RAILS) + " ELSE 0.0 END"
+
+
+def turn_bits() -> Column:
+    return F.when(F.col("role") == "user", assess.row_bits({r: F.col(r) for r in RAILS}, "context")).otherwise(0.0)
 
 
-@query(f"SELECT conv_id, COUNT(*) AS turns, round(list_reduce(list_prepend(0.0::DOUBLE, list(CAST({BITS} AS DOUBLE) ORDER BY turn)), lambda a, x: a * 0.6 + x), 6) AS excess FROM conversations GROUP BY 1")
+@query(f"SELECT conv_id, COUNT(*) AS turns, round(list_reduce(list_prepend(0.0::DOUBLE, list(CAST({SQL_TURN_BITS} AS DOUBLE) ORDER BY turn)), lambda a, x: a * 0.6 + x), 6) AS excess FROM {SQL_TURNS} GROUP BY 1")
 def session_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = session.log_odds(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.expr(BITS).cast("double"))
+    f = session.log_odds(said_turns(spark, sf_dir), "conv_id", "turn", turn_bits())
     return f.withColumn("excess", F.round("excess", 6))
 
 
 @query(
-    f"WITH c AS (SELECT conv_id, COUNT(*) AS turns, list_reduce(list_prepend(0.0::DOUBLE, list(CAST({BITS} AS DOUBLE) ORDER BY turn)), lambda a, x: greatest(0.0, a * 0.6 + x)) AS c FROM conversations GROUP BY 1) SELECT conv_id, turns, round(c, 6) AS cusum, CASE WHEN c >= log2(0.95 / 0.01) THEN 'attack' WHEN c <= log2(0.05 / 0.99) THEN 'benign' ELSE 'undecided' END AS verdict FROM c"
+    f"WITH c AS (SELECT conv_id, COUNT(*) AS turns, list_reduce(list_prepend(0.0::DOUBLE, list(CAST({SQL_TURN_BITS} AS DOUBLE) ORDER BY turn)), lambda a, x: greatest(0.0, a * 0.6 + x)) AS c FROM {SQL_TURNS} GROUP BY 1) SELECT conv_id, turns, round(c, 6) AS cusum, CASE WHEN c >= log2(0.95 / 0.01) THEN 'attack' WHEN c <= log2(0.05 / 0.99) THEN 'benign' ELSE 'undecided' END AS verdict FROM c"
 )
 def session_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = session.cusum(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.expr(BITS).cast("double"))
+    f = session.cusum(said_turns(spark, sf_dir), "conv_id", "turn", turn_bits())
     return f.select("conv_id", "turns", F.round("cusum", 6).alias("cusum"), session.sprt(F.col("cusum")).alias("verdict"))
 
 
