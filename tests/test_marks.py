@@ -8,7 +8,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
-from textweir.operators import session
+from textweir.operators import flow, session
 from textweir.operators import watermark as W
 from textweir.plans.engine import Engine
 
@@ -114,3 +114,35 @@ def test_watermark_rail(spark):
     assert seen[0].status == "modified" and seen[0].categories == ["watermark", "watermark:signed"] and seen[0].content == plain_mark("An answer.", "k", "us")
     assert seen[1].status == "passed" and seen[2].status == "passed"
     assert Engine([W.watermark()]).run(df, side="output").first().verdict.categories == ["watermark", "watermark:unsigned"]
+
+
+# --- labels
+
+
+def test_flow_lattice_and_audit(spark):
+    def made(provenance, integrity, sinks):
+        return F.struct(F.lit(provenance).alias("p"), F.lit(integrity).alias("i"), (F.lit(None).cast("array<string>") if sinks is None else F.lit(sinks)).alias("s"))
+
+    cells = [(["user"], None, None), (["user"], None, ["web", "file"]), (["data"], None, ["file"]), (["system"], [], None)]
+    df = spark.createDataFrame([(i, j) for i in range(4) for j in range(4)], "i int, j int")
+
+    def pick(k):
+        return F.coalesce(*[F.when(F.col(k) == n, flow.label(F.lit(p), None if q is None else F.lit(q).cast("array<string>"), flow.words(s), F.array(F.lit("t")))) for n, (p, q, s) in enumerate(cells)])
+
+    got = {(x.i, x.j): x.m for x in df.select("i", "j", flow.mixed(pick("i"), pick("j")).alias("m")).collect()}
+    for (i, j), m in got.items():
+        prov = list(dict.fromkeys(cells[i][0] + cells[j][0]))
+        own = [(q if q is not None else (p if "data" not in p else [])) for p, q, _ in (cells[i], cells[j])]
+        sinks = [s for _, _, s in (cells[i], cells[j]) if s is not None]
+        assert m.provenance == prov and m.integrity == ([] if not all(own) else list(dict.fromkeys(own[0] + own[1])))
+        assert m.sinks == (None if not sinks else [x for x in sinks[0] if all(x in s for s in sinks)]) and m.capabilities == ([] if "data" in prov else ["t"])
+    rules = {"approve": flow.Rule(("system",), integrity=("system",)), "open": flow.Rule(("user",), sinks=("web",))}
+    t = df.where("i = 2 and j < 3").select("j", pick("i").alias("label"), flow.label(F.array(F.when(F.col("j") == 1, "user").otherwise("system"))).alias("actor"), F.when(F.col("j") == 2, "erase").when(F.col("j") == 1, "open").otherwise("approve").alias("operation"))
+    done = flow.operate(t, rules)
+    rows = {x.j: x for x in done.collect()}
+    assert rows[0].after.integrity == ["system"] and rows[0].after.provenance == ["data", "system"] and rows[1].after.sinks == ["web"] and rows[2].denied == "not_granted" and rows[2].after == rows[2].label
+    a = flow.audit(done, ["j"], rules).collect()
+    assert {(x.j, x.type) for x in a} == {(0, "endorsement"), (1, "declassification")} and len({x.digest for x in a}) == 2
+    assert [x.denied for x in flow.operate(t.withColumn("operation", F.lit("approve")), rules).orderBy("j").collect()] == [None, "unauthorized", None]
+    with pytest.raises(ValueError, match="either"):
+        flow.Rule(("user",))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import values as V
-from .operators import assess, rails, session, watermark
+from .operators import assess, flow, rails, session, watermark
 from .queries_base import query, sql_list, sql_matching, table
 from .queries_stats import PRIOR, RAILS, WEIGHTS
 
@@ -49,3 +49,28 @@ def watermark_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.when(kind == 1, F.element_at(F.split(m, watermark.GAP), 1)).when(kind == 2, F.regexp_replace(m, "an", "na")).when(kind == 3, watermark.strip(m)).otherwise(m)
     d = d.withColumn("after", after).withColumn("v", watermark.verify(F.col("after"), "key", F.col("source")))
     return d.select("doc_id", "v.marked", "v.authentic", F.round("v.coverage", 6).alias("coverage"), F.col("v.segments").cast("long").alias("segments"), (watermark.strip(m) == F.col("text")).alias("restored"))
+
+
+FLOWS = {"approve": flow.Rule(("system",), integrity=("system",)), "publish": flow.Rule(("system", "user"), sinks=("web", "mail"))}
+_ORIGIN = "CASE {} WHEN 'system' THEN 'system' WHEN 'user' THEN 'user' ELSE 'data' END"
+_ACTOR = "CASE turn % 4 WHEN 0 THEN 'system' WHEN 1 THEN 'user' WHEN 2 THEN 'data' ELSE 'system' END"
+_OPERATION = "CASE (conv_id + turn) % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'erase' ELSE 'publish' END"
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, {_ORIGIN.format("role")} AS o, lag({_ORIGIN.format("role")}) OVER (PARTITION BY conv_id ORDER BY turn) AS p, {_ACTOR} AS actor, {_OPERATION} AS op, turn % 2 = 0 AS held FROM conversations),
+l AS (SELECT *, list_distinct([x for x in [p, o] if x IS NOT NULL]) AS prov, CASE WHEN o = 'data' OR p = 'data' THEN 0 ELSE len(list_distinct([x for x in [p, o] if x IS NOT NULL])) END AS integ FROM t),
+d AS (SELECT *, CASE WHEN op = 'erase' THEN 'not_granted' WHEN actor = 'data' OR (op = 'approve' AND actor <> 'system') THEN 'unauthorized' END AS denied FROM l)
+SELECT conv_id, turn, op AS operation, denied, array_to_string(list_sort(list_distinct(CASE WHEN denied IS NULL THEN list_append(prov, actor) ELSE prov END)), ',') AS provenance,
+  CASE WHEN denied IS NULL AND op = 'approve' THEN 1 ELSE integ END AS integrity, CASE WHEN denied IS NULL AND op = 'publish' THEN 'mail,web' WHEN held THEN 'file' END AS sinks FROM d"""
+)
+def flow_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns mixed with the one before them, then endorsed or declassified by an actor: what is denied, and the label after it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_ORIGIN.format("role")).alias("o"), F.expr(_ACTOR).alias("a"), F.expr(_OPERATION).alias("operation"))
+    own = flow.label(F.array("o"), sinks=F.when(F.col("turn") % 2 == 0, F.array(F.lit("file"))))
+    t = t.withColumn("before", F.lag("o").over(w))
+    t = t.select("conv_id", "turn", "operation", flow.mixed(F.when(F.col("before").isNotNull(), flow.label(F.array("before"))), own).alias("label"), flow.label(F.array("a")).alias("actor"))
+    d = flow.operate(t, FLOWS)
+    joined = {k: F.array_join(F.array_sort(F.col("after")[k]), ",") for k in ("provenance", "sinks")}
+    return d.select("conv_id", "turn", "operation", "denied", joined["provenance"].alias("provenance"), F.size("after.integrity").alias("integrity"), joined["sinks"].alias("sinks"))
