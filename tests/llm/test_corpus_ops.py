@@ -4,12 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import types
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
-from textweir.llm import collocations, hostrules, queries_corpus, turnrepair
+from textweir.llm import collocations, hostrules, queries_corpus, shared, turnrepair
 
 WHITE = r"\x20\x09-\x0D"
 
@@ -222,3 +223,18 @@ def test_counts_beyond_64_bits(spark):
 def test_no_texts(spark):
     found, totals = collocations.mine(spark.createDataFrame([], "lang string, text string"))
     assert found.count() == 0 and totals.where("n > 0").count() == 0
+
+
+# --- the shared folder
+
+
+@pytest.mark.parametrize("master,fine", [("local", True), ("local[4]", True), ("local-cluster[2,1,1024]", False), ("yarn", False), ("spark://host:7077", False)])
+def test_no_folder_of_one_machine_on_a_cluster(master, fine):
+    s = types.SimpleNamespace(conf={}, sparkContext=types.SimpleNamespace(master=master))
+    if fine:
+        assert shared.shared_dir(s)
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_dir(s)
+    s.conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert shared.shared_dir(s) == "hdfs://x/y"

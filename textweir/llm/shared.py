@@ -12,9 +12,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (one machine) a temporary folder."""
+    """The cluster's ``spark.checkpoint.dir``; only where it is unset on one machine a temporary folder. Elsewhere that is a ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="textweir-"))
         base = _own[0]
