@@ -207,7 +207,15 @@ def encoded_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IMITATED = "CASE doc_id % 3 WHEN 0 THEN replace(text, 'o', 'о') WHEN 1 THEN translate(text, '{}', '{}') ELSE translate(text, {}, {}) END".format("".join(CYRILLIC), "".join(CYRILLIC.values()), q("".join(WIDE)), q("".join(WIDE.values())))
 
 
-@query(f"WITH t AS (SELECT doc_id, {_IMITATED} AS t FROM documents), f AS MATERIALIZED (SELECT doc_id, t, {sql_fold('t')} AS f FROM t) SELECT doc_id, sha256(f) AS folded, sha256({sql_translated('t', L.table())}) AS folded_all, sha256({sql_translated('t', L.compatible())}) AS compatible, t <> f AS imitates FROM f")
+_SOME = q(L.char_class(L.table()))
+
+
+@query(
+    rf"WITH t AS MATERIALIZED (SELECT doc_id, {_IMITATED} AS t FROM documents), w AS MATERIALIZED (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '\s+|\S+') AS x FROM t)), "
+    f"u AS (SELECT DISTINCT w FROM w WHERE NOT regexp_full_match(w, '[\\x00-\\x7F]*') AND regexp_matches(w, '[A-Za-z0-9]')), m AS (SELECT w, {sql_translated('w', L.table())} AS v FROM u WHERE regexp_matches(w, {_SOME})), "
+    f"f AS (SELECT doc_id, string_agg(coalesce(v, w), '' ORDER BY i) AS f FROM w LEFT JOIN m USING (w) GROUP BY 1) "
+    f"SELECT doc_id, sha256(coalesce(f, '')) AS folded, sha256({sql_translated('t', L.table())}) AS folded_all, sha256({sql_translated('t', L.compatible())}) AS compatible, t <> coalesce(f, '') AS imitates FROM t LEFT JOIN f USING (doc_id)"
+)
 def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written with look-alike letters or full-width ones, folded by word, folded throughout, and in compatible forms."""
     c = F.col("text")
