@@ -12,7 +12,7 @@ from textweir.functions import language as LG
 from textweir.functions import text as T
 from textweir.functions import values as V
 from textweir.functions.stats import beta_quantile
-from textweir.operators import assess, leak, provenance, risk
+from textweir.operators import assess, leak, model_rails, provenance, risk
 from textweir.operators import rails as R
 from textweir.plans.engine import Engine
 from textweir.plans.escalation import escalate
@@ -247,3 +247,39 @@ def test_manifests_and_claims(spark):
     arts = spark.createDataFrame([("m", d)], "id string, sha256 string")
     f = {x.id: x.faults for x in provenance.threshold_faults(spark.createDataFrame(rows, "id string, value double, selected_on string, artifact_id string, artifact_sha256 string, method string, level double"), arts).collect()}
     assert f["t1"] == [] and len(f[""]) == 6 and f["t3"] == ["value out of range", "no such artifact"]
+
+
+# --- rails on a model's numbers
+
+
+def test_semantic_rail(spark):
+    texts = spark.createDataFrame([(0, "a clause that is long enough to be asked about. another clause that is long enough too."), (1, "short. tiny."), (2, "one more clause of a good length here"), (3, None), (4, "a clause without any vector at all here")], "i int, text string")
+    asked = model_rails.to_embed(texts, "i")
+    assert [(x.i, x.k) for x in asked.orderBy("i", "k").collect()] == [(0, 0), (0, 1), (2, 0), (4, 0)]
+    assert all(x.dropped == 1 for x in model_rails.to_embed(texts.where("i = 0"), "i", most=1).collect())
+    vec = spark.createDataFrame([(0, 0, [0.0, 1.0]), (0, 1, [1.0, 0.1]), (2, 0, [0.1, -1.0]), (9, 0, [1.0, 0.0])], "i int, k int, vector array<double>")
+    seeds = spark.createDataFrame([([1.0, 0.0],)], "vector array<double>")
+    got = {x.i: (x.status, x.certain) for x in model_rails.semantic(texts, asked, vec, seeds, "i").collect()}
+    assert got == {0: ("blocked", True), 1: ("passed", True), 2: ("passed", True), 3: ("passed", True), 4: ("passed", False)}
+    odd = vec.where("i <> 2").unionByName(spark.createDataFrame([(2, 0, [float("nan"), 1.0]), (4, 0, [1.0])], "i int, k int, vector array<double>"))
+    got = {x.i: (x.status, x.certain) for x in model_rails.semantic(texts, asked, odd, seeds, "i").collect()}
+    assert got[2] == ("passed", False) and got[4] == ("passed", False)
+    with pytest.raises(ValueError, match="seeds"):
+        model_rails.semantic(texts, asked, vec, seeds.limit(0), "i")
+
+
+def test_perplexity_rail(spark):
+    r = random.Random(8)
+    rows = {0: [-1.0] * 40, 1: [-1.0] * 20 + [-9.0] * 16 + [-1.0] * 5, 2: [-20.0] * 7, 3: [-9.0] * 8, 4: [-1.0] * 10 + [None], 6: [-r.random() * 12 for _ in range(50)]}
+    texts = spark.createDataFrame([(i,) for i in range(7)], "i int")
+    tokens = spark.createDataFrame([(i, p, x) for i, xs in rows.items() for p, x in enumerate(xs)], "i int, pos int, logprob double")
+    got = {x.i: x for x in model_rails.perplexity(texts, tokens, "i").collect()}
+    for i, xs in rows.items():
+        if None in xs:
+            assert (got[i].status, got[i].certain, got[i].score) == ("passed", False, None)
+            continue
+        size = min(16, len(xs))
+        worst = max(-sum(xs[k : k + size]) / size for k in range(len(xs) - size + 1)) if len(xs) >= 8 else None
+        assert got[i].certain and got[i].status == ("blocked" if worst is not None and worst >= 7 else "passed") and (worst is None) == (got[i].score is None)
+        assert worst is None or abs(got[i].score - worst) < 1e-9
+    assert (got[5].status, got[5].certain) == ("passed", False)
