@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from . import bytehash as H
 
 ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
-CACHE = 400_000
+#: Pieces that an encoder remembers, some 80 bytes each; beyond that it starts anew.
+CACHE = 1_200_000
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
