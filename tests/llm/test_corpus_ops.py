@@ -46,7 +46,8 @@ def test_hosts_verdicts(spark):
     marked = " ".join(f"##word{k}" for k in range(30))
     rows = [(i, good(i), f"h{i % 9}") for i in range(900)] + [(1000, marked, "h1"), (1001, marked, "tiny"), (1002, marked, None), (1003, marked, "")]
     rows += [(2000 + i, marked if i % 2 else good(i), "HTTPS://Noise.example/a") for i in range(200)] + [(3000 + i, "a b" if i else good(1), "junk") for i in range(300)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, kept string")
+    clash = {k: "x" for k in ("kept", "hot", "n", "host", "_m", "_own", "verdict", "rate_hard", "fails_symbols", "f_symbols", "n_words", "a.b")}
+    df = spark.createDataFrame([(*r, *clash.values()) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{k}` string" for k in clash))
     got = {x.doc_id: x for x in hostrules.judge(df).collect()}
     assert len(got) == len(rows) and all(got[i].kept for i in range(900)) and all(got[i].kept for i in (1000, 1002, 1003))
     assert got[2000].host == "noise.example" and got[2000].verdict == "habit" and got[2000].kept and not got[2001].kept and not got[2001].base_failed

@@ -139,13 +139,16 @@ def judge(docs: DataFrame, source: str = "source", habit: float = 0.2, lost: flo
     habit: shrunk rate from which a host's soft failures count; lost: rate of hard failures from which none
     of a host's documents stay. verdict is the host's: ordinary, habit or lost; null without a host.
     """
-    seen = shared.written(features(docs.drop("host").withColumn("host", host_of(c(source)))), "features")
+    own = [x for x in docs.columns if x != "text"]
+    packed = docs.select(F.struct(*[F.col(f"`{x}`") for x in own]).alias("_own"), "text", host_of(c(f"`{source}`")).alias("host"))  # so that no name of theirs meets one of ours
+    seen = shared.written(features(packed), "features")
     by = hosts(seen)
     shrunk = [x for x in by.columns if x.startswith("rate_")]
     verdict = F.when(c("rate_hard") >= lost, "lost").when(F.greatest(*[c(f"rate_{r}") for r in SOFT]) >= habit, "habit").otherwise("ordinary")
     by = shared.written(by.select("host", "n", *shrunk, verdict.alias("verdict")), "rates")
-    own = seen.drop("n", "verdict", *shrunk)
-    placed = shared.by_class(own.where("host is not null"), by, ["host"]).drop("n").unionByName(own.where("host is null"), allowMissingColumns=True)
+    placed = shared.by_class(seen.where("host is not null"), by, ["host"]).drop("n").unionByName(seen.where("host is null"), allowMissingColumns=True)
     failed = F.greatest(*[c(f"fails_{r}") for r in HARD])
     soft = F.greatest(*[c(f"fails_{r}") & (c(f"rate_{r}") >= habit) for r in SOFT])
-    return placed.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(soft, F.lit(False)) & (F.coalesce("verdict", F.lit("ordinary")) != "lost"))
+    placed = placed.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(soft, F.lit(False)) & (F.coalesce("verdict", F.lit("ordinary")) != "lost"))
+    ours = [x for x in placed.columns if x != "_own"]
+    return placed.select(*[c("_own")[x].alias(x) for x in own if x not in ours], *ours)
