@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from textweir.llm import pivots, queries
 
 from . import brute
@@ -87,3 +88,20 @@ def test_repeated_rows_and_nothing(spark):
     out = pivots.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", pivot string, n int")).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in out) == [(0, 0, 0, True), (4, 2, 4, True), (5, 0, 5, True), (5, 2, 4, False), (5, 2, 4, False)]
     assert pivots.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sample_sends_the_driver_no_more_than_it_needs(spark):
+    rows = [(i, [float(i % 7 + 1), float(i)]) for i in range(4000)]
+    classes = spark.createDataFrame(rows, "node long, embedding array<float>").repartition(8)
+    some = pivots.sample(classes, 50, 4000)
+    every = classes.orderBy(F.xxhash64("embedding"), "node").limit(50).select("embedding")
+    assert [r[0] for r in some.collect()] == [r[0] for r in every.collect()]
+    below = pivots.sample(classes, 10**6, 4000)  # more than there are: all
+    assert below.count() == 4000
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    least = int(-(2**63) + 2**64 * 100 / 4000)
+    assert str(least) in plan  # the bound is applied before rows are sorted for the driver
+    assert classes.where(F.xxhash64("embedding") < least).count() < 200
+    # a bound that leaves too few is dropped
+    same = spark.createDataFrame([(i, [3.0, 4.0]) for i in range(400)], "node long, embedding array<float>")
+    assert pivots.sample(same, 20, 400).count() == 20

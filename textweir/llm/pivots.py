@@ -68,13 +68,25 @@ def apart(v: np.ndarray, n: int, most: float) -> np.ndarray:
     return out[:k]
 
 
-def choose(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
+def sample(classes: DataFrame, most: int, total: int) -> DataFrame:
+    """The `most` of all `total` vectors with the smallest hashes, in their order.
+
+    Every task of a sorted limit sends the driver that many rows, so only the hashes below a bound go into it. The
+    bound is set for twice as many vectors as are needed; with fewer below it (far from what hashes give) all go in.
+    """
+    keyed = classes.select(F.xxhash64("embedding").alias("h"), "node", "embedding")
+    if total > 2 * most:
+        low = keyed.where(F.col("h") < int(-(2**63) + 2**64 * (2 * most / total)))
+        if low.count() >= most:
+            keyed = low
+    return keyed.orderBy("h", "node").limit(most).select("embedding")
+
+
+def choose(classes: DataFrame, n: int, total: int) -> dict[int, np.ndarray]:
     """At most n pivots by dimension, from the SAMPLE * n vectors with the smallest hashes (a bounded sample)."""
-    rows = classes.orderBy(F.xxhash64("embedding"), "node").limit(SAMPLE * n).select("embedding").collect()
-    by: dict[int, list] = {}
-    for r in rows:
-        by.setdefault(len(r.embedding), []).append(r.embedding)
-    return {d: apart(unit(np.array(v)), n, APART) for d, v in by.items()}
+    flat, off = vectors_of(sample(classes, SAMPLE * n, total).toArrow().column(0).combine_chunks())
+    size = np.diff(off)
+    return {d: apart(unit(flat[off[:-1][size == d][:, None] + np.arange(d)]), n, APART) for d in np.unique(size).tolist()}
 
 
 def vectors_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -244,9 +256,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, pivots: int | None
     good = v.where("ok").select("vec_id", "label", "embedding", *key)
     classes = good.groupBy("ka", "kb").agg(F.min("vec_id").alias("smallest"), F.count(F.lit(1)).alias("n"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    total = classes.count()
     if pivots is None:
-        pivots = min(MOST, max(FEWEST, int(PER_ROOT * classes.count() ** 0.5)))
-    posted = written(postings(classes, choose(classes, pivots), near), "postings")
+        pivots = min(MOST, max(FEWEST, int(PER_ROOT * total**0.5)))
+    posted = written(postings(classes, choose(classes, pivots, total), near), "postings")
     lists = listed(posted, BLOCK).join(classes.select("node", "n", "embedding"), "node")
     found = written(linked(lists, least, n), "links")
     dropped(posted)
