@@ -83,3 +83,17 @@ def test_phrases_cover_all_windows_once():
 
 def test_nothing(spark):
     assert prefixfree.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from textweir.llm import shared
+
+    def left() -> set:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = left()
+    was = spark.conf.get(shared.CLEANUP, None)
+    t = shared.written(spark.range(1000).repartition(3, "id"), "t")
+    assert not left() - before
+    assert t.count() == 1000 and spark.conf.get(shared.CLEANUP, None) == was
