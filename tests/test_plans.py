@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from textweir import queries_rails
 from textweir.functions import language as LG
 from textweir.functions import text as T
 from textweir.functions import values as V
@@ -218,6 +219,24 @@ def test_named_languages(spark):
     assert {x.n for x in got} >= {"de", "fr", "unknown"} and got[0].n == "de"
 
 
+def test_languages_are_measured_in_place(spark):
+    """The same languages as by expressions and by the plain version; n-grams are not shuffled."""
+    df = spark.createDataFrame(list(enumerate([*SAID, None])), "i int, text string").select("i", T.words(F.col("text")).alias("w"))
+    seen = df.select("i", "w", LG.named(F.col("w")).alias("n"), LG.measured(F.col("w")).alias("m"))
+    got = seen.withColumn("by", LG.named_by(F.size("w"), F.col("m"))).collect()
+    assert all(x.n == x.by for x in got)
+    assert {x.i: x.by for x in got if x.w is not None} == {x.i: plain_named(x.w) for x in got if x.w is not None}
+    assert "unknown" == got[-1].by and got[-1].m.grams == 0
+    plan = queries_rails.ngram_language(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
+def test_ngram_language_joins_rows_of_one_document(spark, tmp_path):
+    spark.createDataFrame([(1, SAID[2]), (1, SAID[5]), (2, SAID[2] + " " + SAID[5]), (3, None), (4, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    by = {(r.doc_id, r.lang): r.distance for r in queries_rails.ngram_language(spark, str(tmp_path)).collect()}
+    assert {k for k, _ in by} == {1, 2} and all(by[1, lang] == by[2, lang] for lang in LG.PROFILES)
+
+
 def test_language_rail_bands(spark):
     german = "der hund und die katze sind nicht mit dem ball auf dem dach"  # 12 words
     texts = [german, " ".join(german.split()[:11]), "alpha beta gamma delta " * 3, "alpha beta gamma delta " * 6, f"This is a page of the service and it is for all of the users that have it. {german}.", SAID[5], SAID[6], None]

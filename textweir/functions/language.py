@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,13 +75,58 @@ def distances(own: Column) -> Column:
     return F.array(*[F.struct(to(p).alias("distance"), F.lit(k).alias("k")) for k, p in enumerate(PROFILES.values())])
 
 
+RANKS = [{g: r for r, g in enumerate(own)} for own in PROFILES.values()]
+
+
+@lru_cache(1 << 16)
+def grams_of(word: str) -> list[str]:
+    """All n-grams of a padded word, with repeats."""
+    p = f" {word} "
+    return [p[i : i + n] for n in SIZES for i in range(len(p) + 1 - n)]
+
+
+def measures(text: str | None) -> tuple[int, list[int]]:
+    """N-grams of the profile of a text of words, and its distance to each language."""
+    counts: dict[str, int] = {}
+    for w, n in Counter((text or "").split(" ")).items():
+        for g in grams_of(w) if w else ():
+            counts[g] = counts.get(g, 0) + n
+    if len(counts) > PROFILE:  # only those as common as the last one can be in it
+        least = heapq.nlargest(PROFILE, counts.values())[-1]
+        counts = {g: n for g, n in counts.items() if n >= least}
+    own = sorted(counts, key=lambda g: (-counts[g], g.encode()))[:PROFILE]
+    return len(own), [sum(abs(known.get(g, PROFILE) - r) for r, g in enumerate(own)) for known in RANKS]
+
+
+def measured(words: Column) -> Column:
+    """struct<grams, distance>: as ranked() and distances(), counted by Python row by row; not for use inside lambdas.
+
+    As expressions this sorts every n-gram of a text, as a grouping it shuffles them all.
+    """
+
+    @F.pandas_udf("grams int, distance array<bigint>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        found = [measures(t) for t in texts]
+        return pd.DataFrame({"grams": [n for n, _ in found], "distance": [d for _, d in found]})
+
+    return of(F.array_join(words, " "))
+
+
+def nearest(d: Column) -> Column:
+    """The language of the first of sorted struct<distance, k>, if it is clearly nearer than the second."""
+    best, second = F.get(d, F.lit(0)), F.get(d, F.lit(1))
+    return F.when(best["distance"] < NEARER * second["distance"], F.get(T.strings(list(PROFILES)), best["k"])).otherwise("unknown")
+
+
+def named_by(n_words: Column, m: Column) -> Column:
+    """As named(), from the number of words and what measured() gives."""
+    d = F.sort_array(F.transform(m["distance"], lambda x, k: F.struct(x.alias("distance"), k.alias("k"))))
+    return F.when((n_words >= LEAST_WORDS) & (m["grams"] >= LEAST_GRAMS), nearest(d)).otherwise("unknown")
+
+
 def named(words: Column) -> Column:
     """The language whose profile is clearly nearest, else unknown: of at least six words and eight different n-grams."""
 
-    def nearest(d: Column) -> Column:
-        best, second = F.get(d, F.lit(0)), F.get(d, F.lit(1))
-        return F.when(best["distance"] < NEARER * second["distance"], F.get(T.strings(list(PROFILES)), best["k"])).otherwise("unknown")
-
     def of(own: Column) -> Column:
         return F.when(F.size(own) >= LEAST_GRAMS, T.let(F.array_sort(distances(own)), nearest)).otherwise("unknown")
 

@@ -168,22 +168,13 @@ SELECT doc_id, lang, CAST(dist AS BIGINT) AS distance FROM d"""
 )
 def ngram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-place distances of each document's n-gram ranks to each language's profile."""
-    w = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
-    w = w.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.concat(F.lit(" "), "w", F.lit(" ")))
-    grams = F.flatten(F.array(*[F.transform(F.when(F.length("p") >= n, F.sequence(F.lit(1), F.length("p") - n + 1)).otherwise(F.array().cast("array<int>")), cut(n)) for n in (2, 3, 4)]))
-    c = w.select("doc_id", "n", F.explode(grams).alias("g")).groupBy("doc_id", "g").agg(F.sum("n").alias("n"))
-    ranked = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "g"))), 1, 200), lambda x, i: F.struct(x["g"].alias("g"), i.alias("r")))
-    r = c.groupBy("doc_id").agg(ranked.alias("x")).select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.g", "x.r")
-    known = spark.createDataFrame(PROFILES, "lang string, g string, rank int")
-    by = known.groupBy("g").agg(F.collect_list(F.struct("lang", "rank")).alias("hits"))  # at most 800 rows: a fixed table
-    langs = T.strings(list(V.PROFILE_WORDS))
-    seen = r.join(F.broadcast(by), "g", "left").select("doc_id", "r", "hits", F.explode(langs).alias("lang"))
-    rank = F.get(F.filter(F.coalesce("hits", F.array().cast("array<struct<lang:string,rank:int>>")), lambda h: h["lang"] == F.col("lang")), F.lit(0))["rank"]
-    return seen.groupBy("doc_id", "lang").agg(F.sum(F.abs(F.coalesce(rank, F.lit(200)) - F.col("r"))).cast("long").alias("distance"))
-
-
-def cut(n: int):
-    return lambda i: F.substring("p", i, F.lit(n))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d, ids = d.select("doc_id", T.words(F.col("text")).alias("w")), d.select("doc_id")
+    if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows of one doc_id are one document; only then words move
+        d = d.groupBy("doc_id").agg(F.flatten(F.collect_list("w")).alias("w"))
+    m = d.select("doc_id", language.measured(F.col("w")).alias("m")).where("m.grams > 0")
+    at = m.select("doc_id", F.posexplode("m.distance").alias("k", "distance"))
+    return at.select("doc_id", F.get(T.strings(list(language.PROFILES)), F.col("k")).alias("lang"), "distance")
 
 
 @query(f"WITH src AS (SELECT doc_id, text FROM {SPLICED}), {CONCEPTS_SQL} SELECT concept, COUNT(*) AS hits, COUNT(DISTINCT doc_id) AS docs FROM found GROUP BY 1")
