@@ -13,7 +13,7 @@ from textweir.functions import language as LG
 from textweir.functions import text as T
 from textweir.functions import values as V
 from textweir.functions.stats import beta_quantile
-from textweir.operators import assess, leak, model_rails, provenance, risk
+from textweir.operators import assess, leak, model_rails, nearness, provenance, risk
 from textweir.operators import rails as R
 from textweir.plans.engine import Engine
 from textweir.plans.escalation import escalate
@@ -302,3 +302,33 @@ def test_perplexity_rail(spark):
         assert got[i].certain and got[i].status == ("blocked" if worst is not None and worst >= 7 else "passed") and (worst is None) == (got[i].score is None)
         assert worst is None or abs(got[i].score - worst) < 1e-9
     assert (got[5].status, got[5].certain) == ("passed", False)
+
+
+def test_nearness_block_by_block(spark, monkeypatch):
+    r = random.Random(5)
+    monkeypatch.setattr(nearness, "BLOCK", 7)
+    rows = [(i, [r.gauss(0, 1) for _ in range(3)]) for i in range(40)] + [(40, None), (41, [1.0, None, 0.0]), (42, [0.0, 0.0, 0.0]), (5, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+
+    def cosine(a, b):
+        norms = math.hypot(*a) * math.hypot(*b)
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norms if norms else 0.0
+
+    def usable(v):
+        return v is not None and None not in v
+
+    got = {x.id: x.best for x in nearness.best(df.where("id % 5 = 0 or id > 39"), df).collect()}
+    assert set(got) == {i for i, _ in rows if i % 5 == 0 or i > 39}
+    for i, best in got.items():
+        mine = [v for k, v in rows if k == i and usable(v)]
+        want = max((cosine(a, b) for a in mine for k, b in rows if k != i and usable(b)), default=None)
+        assert (best is None) == (want is None) and (best is None or abs(best - want) < 1e-12)
+    assert nearness.best(df.where("id = 3"), df.where("id = 3")).count() == 0
+
+
+def test_seeds_of_any_number(spark):
+    """Seeds were constants of the plan, at most 4096 of them."""
+    seeds = spark.range(5000).select(F.array(F.lit(-1.0), F.col("id") / 5000.0).alias("vector"))
+    vec = spark.createDataFrame([(0, [-1.0, 0.5]), (1, [1.0, 0.0]), (2, None)], "i long, vector array<double>")
+    got = {x.i: x.score for x in model_rails.near_seeds(vec, seeds, "i").collect()}
+    assert set(got) == {0, 1} and abs(got[0] - 1) < 1e-12 and got[1] < 0
