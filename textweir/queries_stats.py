@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import stats as S
 from .functions import text as T
 from .functions import values as V
-from .operators import assess, evaluate, rails, session, train
+from .operators import assess, evaluate, nearness, rails, session, train
 from .plans.escalation import escalate
 from .queries_base import SPLICED, q, query, spliced, sql_list, sql_matching, sql_normalized, sql_stem, sql_values, sql_words, table
 
@@ -18,13 +18,8 @@ from .queries_base import SPLICED, q, query, spliced, sql_list, sql_matching, sq
 )
 def embedding_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Highest cosine of each query vector (ids divisible by 100) with any other vector, block of queries by block."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = e.where("vec_id % 100 = 0")
-    blocks = asked.groupBy(F.floor(F.col("vec_id") / 6400).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))  # at most 64 queries a block
-    parts = e.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    dealt = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    near = parts.join(dealt, "part").select("vec_id", F.explode(F.transform("asked", lambda a: F.struct(a["vec_id"].alias("q"), F.when(a["vec_id"] != F.col("vec_id"), T.cosine(F.col("v"), a["v"])).alias("c")))).alias("x"))
-    return near.groupBy(F.col("x.q").alias("vec_id")).agg(F.round(F.max("x.c"), 5).alias("best"))
+    e = table(spark, sf_dir, "embeddings").where("vec_id is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return nearness.best(e.where("id % 100 = 0"), e).select(F.col("id").alias("vec_id"), F.round("best", 5).alias("best"))
 
 
 @query("SELECT user_id, round(max(m), 6) AS worst FROM (SELECT user_id, avg(value) OVER w AS m, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) WHERE n = 16 GROUP BY 1")
