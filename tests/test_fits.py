@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from textweir.functions import text as T
@@ -73,6 +74,15 @@ def test_one_shard_is_the_plain_loop_and_more_shards_learn(spark):
     assert sum((x.s > 0) == x.attack for x in new) >= 180
 
 
+def test_a_batch_of_texts_is_not_whole_in_python():
+    """Every row of an Arrow batch, up to 10,000, became Python lists at once."""
+    body = pa.array([f"a{i} b{i}" if i % 5 else None for i in range(2 * linear.STEP + 9)])
+    stems = pa.array([None if b is None else b.split(" ") for b in body.to_pylist()])
+    parts = list(linear.stepwise(body, stems, 4096, 2))
+    assert [len(p) for p in parts] == [linear.STEP, linear.STEP, 9]
+    assert [x for p in parts for x in p] == [linear.vector(b or "", (b or "").split(), 4096, 2) for b in body.to_pylist()]
+
+
 def test_linear_rail(spark):
     m = linear.Linear({linear.fnv("ignore", linear.OFFSET) % 4096: 3.0}, -1.0, 4096, threshold=0.5)
     df = spark.createDataFrame([(0, "please ignore this"), (1, "fine"), (2, ""), (3, None)], "i int, text string")

@@ -1,7 +1,7 @@
 """A linear model over hashed n-grams: sparse vectors, AdaGrad, scores and a rail.
 
 Vectors hold word stems, pairs of neighbouring stems and character n-grams, counted up to MOST times, by FNV-1a bucket.
-Stems and normal forms are built-in expressions; buckets are counted in Arrow batches.
+Stems and normal forms are built-in expressions; buckets are counted in Arrow batches, a few rows of which are Python objects at a time.
 
 Training runs AdaGrad over `shards` of the rows side by side and averages their weights after each epoch; with
 one shard it is the plain loop. A shard's rows stream through a task in seeded order, and a model is one array
@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ from .train import GRAM_OFFSET, OFFSET
 PRIME, MASK = 16777619, 0xFFFFFFFF
 #: Characters that are read, times that a feature counts, largest table.
 LIMIT, MOST, BUCKETS, MAX_BUCKETS = 4000, 3, 1 << 18, 1 << 20
+#: Rows of an Arrow batch that are Python objects at a time; a batch holds up to 10,000 rows.
+STEP = 128
 
 
 @dataclass(frozen=True)
@@ -65,16 +66,46 @@ def vector(body: str, stems: list[str], buckets: int, stride: int) -> tuple[list
     return at, [out[i] for i in at]
 
 
+def words(text: Column) -> tuple[Column, Column]:
+    """The normalised beginning of a text, and its stems."""
+    body = T.normalize(F.substring(text, 1, LIMIT))
+    return body, F.transform(F.filter(F.split(body, " "), lambda x: x != ""), T.stem)
+
+
+def stepwise(body: pa.Array, stems: pa.Array, buckets: int, stride: int) -> Iterator[list[tuple[list[int], list[int]]]]:
+    """vector() of a batch's rows, STEP rows at a time."""
+    for k in range(0, len(body), STEP):
+        yield [vector(b or "", s or [], buckets, stride) for b, s in zip(body.slice(k, STEP).to_pylist(), stems.slice(k, STEP).to_pylist(), strict=True)]
+
+
+def columns(rows: list[tuple[list[int], list[int]]]) -> list[pa.Array]:
+    return [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))]
+
+
 def vectors(text: Column, buckets: int = BUCKETS, stride: int = 2) -> Column:
     """struct<at array<int>, n array<int>>: the sparse vector of a text; a null text has none."""
 
-    def counted(body: pd.Series, stems: pd.Series) -> pd.DataFrame:
-        rows = [vector(b or "", [] if s is None else list(s), buckets, stride) for b, s in zip(body, stems, strict=True)]
-        return pd.DataFrame({"at": [r[0] for r in rows], "n": [r[1] for r in rows]})
+    @F.arrow_udf("at array<int>, n array<int>")
+    def counted(body: pa.Array, stems: pa.Array) -> pa.Array:
+        parts = [pa.StructArray.from_arrays(columns(rows), ["at", "n"]) for rows in stepwise(body, stems, buckets, stride)]
+        return pa.concat_arrays(parts or [pa.StructArray.from_arrays(columns([]), ["at", "n"])])
+
+    return counted(*words(text))
 
-    body = T.normalize(F.substring(text, 1, LIMIT))
-    stems = F.transform(F.filter(F.split(body, " "), lambda x: x != ""), T.stem)
-    return F.pandas_udf(counted, "at array<int>, n array<int>")(body, stems)
+
+def counted(rows: DataFrame, text: str, buckets: int, stride: int) -> DataFrame:
+    """(key, attack, at, n) of rows (key, attack, text), leaving tasks a few rows at a time, so that no batch of vectors is whole in Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, part in enumerate(stepwise(b.column(2), b.column(3), buckets, stride)):
+                own = b.slice(k * STEP, STEP)
+                at, n = columns(part)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), at, n], ["key", "attack", "at", "n"])
+
+    body, stems = words(F.col(text))
+    given = rows.select("key", "attack", body.alias("body"), stems.alias("stems"))
+    return given.mapInArrow(run, f"key {given.schema['key'].dataType.simpleString()}, attack int, at array<int>, n array<int>")
 
 
 def epoch(rows: DataFrame, w: np.ndarray, h: np.ndarray, bias: tuple[float, float], rate: float, l2: float, positive: float) -> DataFrame:
@@ -111,7 +142,7 @@ def fit(rows: DataFrame, key: str, text: str = "text", buckets: int = BUCKETS, s
     if not 0 < buckets <= MAX_BUCKETS:
         raise ValueError(f"buckets must lie in 1..{MAX_BUCKETS}")
     shards = shards or rows.sparkSession.sparkContext.defaultParallelism
-    v = rows.select(F.col(key).alias("key"), F.col("attack").cast("int").alias("attack"), vectors(F.col(text), buckets, stride).alias("v")).persist()
+    v = counted(rows.select(F.col(key).alias("key"), F.col("attack").cast("int").alias("attack"), F.col(text).alias("text")), "text", buckets, stride).persist()
     try:
         n, attacks = v.agg(F.count(F.lit(1)), F.sum("attack")).first()
         if not attacks or attacks == n:
@@ -119,7 +150,7 @@ def fit(rows: DataFrame, key: str, text: str = "text", buckets: int = BUCKETS, s
         w, h, bias = np.zeros(buckets), np.full(buckets, 1e-8), (0.0, 1e-8)
         for e in range(epochs):
             order = F.xxhash64(F.col("key").cast("string"), F.lit(seed), F.lit(e))
-            dealt = v.withColumn("o", order).repartition(shards, F.pmod(F.xxhash64("o"), F.lit(shards))).sortWithinPartitions("o", "key").select("v.at", "v.n", "attack")
+            dealt = v.withColumn("o", order).repartition(shards, F.pmod(F.xxhash64("o"), F.lit(shards))).sortWithinPartitions("o", "key").select("at", "n", "attack")
             # a weight that a shard never met is still what it was, and each shard tells all that are not 0
             told = epoch(dealt, w, h, bias, rate, l2, (n - attacks) / attacks).groupBy("at").agg(F.sum("w").alias("w"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("k")).toArrow()  # at most `buckets` rows
             at, ws, hs, ks = (told.column(c).to_numpy() for c in ("at", "w", "h", "k"))
@@ -140,15 +171,14 @@ def scored(model: Linear, text: Column) -> Column:
     dense[list(model.weights)] = list(model.weights.values())
     buckets, stride, bias = model.buckets, model.stride, model.bias
 
-    def dot(body: pd.Series, stems: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def dot(body: pa.Array, stems: pa.Array) -> pa.Array:
         out = []
-        for b, s in zip(body, stems, strict=True):
-            at, n = vector(b or "", [] if s is None else list(s), buckets, stride)
-            out.append(float(dense[at] @ np.array(n, float)) + bias if at else bias)
-        return pd.Series(out)
+        for rows in stepwise(body, stems, buckets, stride):
+            out += [float(dense[at] @ np.array(n, float)) + bias if at else bias for at, n in rows]
+        return pa.array(out, pa.float64())
 
-    body = T.normalize(F.substring(text, 1, LIMIT))
-    return F.pandas_udf(dot, "double")(body, F.transform(F.filter(F.split(body, " "), lambda x: x != ""), T.stem))
+    return dot(*words(text))
 
 
 def linear(model: Linear | None, threshold: float | None = None) -> R.Rail:
