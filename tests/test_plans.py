@@ -332,3 +332,28 @@ def test_seeds_of_any_number(spark):
     vec = spark.createDataFrame([(0, [-1.0, 0.5]), (1, [1.0, 0.0]), (2, None)], "i long, vector array<double>")
     got = {x.i: x.score for x in model_rails.near_seeds(vec, seeds, "i").collect()}
     assert set(got) == {0, 1} and abs(got[0] - 1) < 1e-12 and got[1] < 0
+
+
+def test_each_secret_shape_is_looked_for_once(spark):
+    """Shapes were nested in one another and looked for again wherever the text was named: over a hundred passes."""
+    said = R.secrets().decide(F.col("text"), {})._jc.toString()
+    assert said.count("regexp_replace") == len(R.SECRETS) and said.count("RLIKE") + said.count("rlike") <= len(R.SECRETS)
+    texts = {"Authorization: BEARER abcdefghijklmnop1234== and Api-Key = 'abcdefgh12'": ["bearer", "assignment"], "token: sk-abcdefghijklmnopqrst": ["api_key", "assignment"], "secretly nothing": [], "": [], None: []}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for x in Engine([R.secrets()]).run(df, side="output").collect():
+        want = x.text
+        for p, new in R.SECRETS.values():
+            want = want and re.sub(p, new.replace("$1", r"\1"), want)
+        assert x.verdict.content == want and x.verdict.categories in (texts[x.text], ["api_key"])
+
+
+def test_named_language_is_counted_row_by_row(spark, tmp_path):
+    """As expressions, every n-gram of a text was sorted."""
+    from textweir import queries_eval  # once queries_rails is there
+
+    rows = [(0, None), (1, ""), (2, "een twee"), (3, "the cat and the dog went out of the house and into the garden with us"), (4, "de kat en de hond gingen het huis uit en de tuin in met ons"), (5, "!!! ... ???"), (6, "a b c d e f g h")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries_eval.named_language(spark, str(tmp_path))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().optimizedPlan().toString()
+    want = {x.doc_id: x.v for x in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", LG.named(T.words(F.col("text"))).alias("v")).collect()}
+    assert {x.doc_id: x.language for x in df.collect()} == want

@@ -334,13 +334,40 @@ SECRETS = {
 }
 
 
+#: A text that the pattern matches holds one of these, in lower case where that is said.
+SECRET_WORDS = {
+    "private_key": (False, ["-----BEGIN"]),
+    "github_token": (False, ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]),
+    "aws_access_key": (False, ["AKIA", "ASIA"]),
+    "api_key": (False, ["sk-"]),
+    "jwt": (False, ["eyJ"]),
+    "bearer": (True, ["bearer"]),
+    "assignment": (True, ["apikey", "api_key", "api-key", "secret", "token", "password", "passwd"]),
+}
+
+
 def secrets() -> Rail:
     def decide(text: Column, _: dict) -> Column:
-        now, cats = text, []
+        def shape(label: str, p: str, new: str) -> Callable[[Column], Column]:
+            low, words = SECRET_WORDS[label]
+
+            def some(body: Column) -> Column:
+                out = F.lit(False)
+                for w in words:
+                    out = out | F.contains(body, F.lit(w))
+                return out
+
+            def step(s: Column) -> Column:
+                held = T.let(F.lower(s["now"]), some) if low else some(s["now"])
+                done = F.struct(F.regexp_replace(s["now"], p, new).alias("now"), F.concat(s["why"], F.array(F.lit(label))).alias("why"))
+                return F.when(held & s["now"].rlike(p), done).otherwise(s)
+
+            return step
+
+        state = F.struct(text.alias("now"), none().alias("why"))
         for label, (p, new) in SECRETS.items():
-            cats.append(F.when(now.rlike(p), F.lit(label)))
-            now = F.regexp_replace(now, p, new)
-        return rewritten(text, now, F.filter(F.array(*cats), lambda x: x.isNotNull()))
+            state = T.let(state, shape(label, p, new))
+        return T.let(state, lambda s: rewritten(text, s["now"], s["why"]))
 
     return Rail("secrets", decide, ("output",), language_agnostic=True)
 
