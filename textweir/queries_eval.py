@@ -234,7 +234,7 @@ SELECT doc_id, CASE WHEN n >= 6 AND grams >= 8 AND dist < 0.85 * second THEN lan
 def named_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language that the n-gram profile names: clearly nearer than the second, of at least six words and eight n-grams."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
-    d = d.select("doc_id", language.named(F.col("w")).alias("language"))
+    d = d.select("doc_id", language.named_by(F.size("w"), language.measured(F.col("w"))).alias("language"))
     return d.withColumn("foreign_named", (F.col("language") != "unknown") & ~F.col("language").isin("en", "nl"))
 
 
