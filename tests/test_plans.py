@@ -357,3 +357,12 @@ def test_named_language_is_counted_row_by_row(spark, tmp_path):
     assert "ArrowEvalPython" in df._jdf.queryExecution().optimizedPlan().toString()
     want = {x.doc_id: x.v for x in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", LG.named(T.words(F.col("text"))).alias("v")).collect()}
     assert {x.doc_id: x.language for x in df.collect()} == want
+
+
+def test_canaries_are_looked_for_in_one_bare_text(spark):
+    """The text without other characters was made once for each token."""
+    tokens = ["ab-1", "c.d", "zz9"]
+    assert R.canary(tokens).decide(F.col("text"), {})._jc.toString().count("regexp_replace") == 1
+    texts = {"x ab-1": True, "a b-1": True, "c.d": True, "c d": True, "z-z9": False, "z z\n9": True, "": False, None: False}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {x.text: x.verdict.status == "blocked" for x in Engine([R.canary(tokens)]).run(df).collect()} == texts

@@ -231,10 +231,15 @@ def canary(tokens: list[str]) -> Rail:
     """Blocks a text that holds a token, also across characters that are not letters, digits or hyphens."""
 
     def decide(text: Column, _: dict) -> Column:
-        flat = F.regexp_replace(text, "[^A-Za-z0-9-]", "")
-        hit = F.lit(False)
-        for t in tokens:
-            hit = hit | F.contains(text, F.lit(t)) | F.contains(flat, F.lit(re.sub("[^A-Za-z0-9-]", "", t)))
+        def held(body: Column, said: list[str]) -> Column:
+            hit = F.lit(False)
+            for t in said:
+                hit = hit | F.contains(body, F.lit(t))
+            return hit
+
+        # only a text without a token is looked at without other characters, once for all tokens
+        bare = [re.sub("[^A-Za-z0-9-]", "", t) for t in tokens]
+        hit = held(text, tokens) | T.let(F.regexp_replace(text, "[^A-Za-z0-9-]+", ""), lambda flat: held(flat, bare))
         return blocked_by(text, F.when(hit, F.array(F.lit("canary"))).otherwise(none()))
 
     return Rail("canary", decide, ("input", "output"), language_agnostic=True)
