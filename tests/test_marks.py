@@ -146,3 +146,9 @@ def test_flow_lattice_and_audit(spark):
     assert [x.denied for x in flow.operate(t.withColumn("operation", F.lit("approve")), rules).orderBy("j").collect()] == [None, "unauthorized", None]
     with pytest.raises(ValueError, match="either"):
         flow.Rule(("user",))
+
+
+def test_one_digest_a_paragraph(spark):
+    """The digest stood within a lambda over the bytes of a mark, and was computed for each of them."""
+    said = W.payload(F.col("text"), "key", F.lit("me"))._jc.toString()
+    assert "sha2(" in said and "substring(sha2(" not in said

@@ -48,14 +48,18 @@ def payload(text: Column, key: str | None, issuer: Column) -> Column:
     if not key:
         return F.lit("".join(SELECTORS[b] for b in (*MAGIC, VERSION, *[0] * TAG)))
     digest = hmac(key.encode(), F.concat(F.lit(DOMAIN + "\n"), F.coalesce(issuer, F.lit("")), F.lit("\n"), canonical(text)))
-    byte = F.transform(F.sequence(F.lit(0), F.lit(TAG - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
     table = F.array(*map(F.lit, SELECTORS))
-    tag = F.array_join(F.transform(byte, lambda b: F.get(table, b)), "")
+
+    def selectors(d: Column) -> Column:
+        byte = F.transform(F.sequence(F.lit(0), F.lit(TAG - 1)), lambda i: F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+        return F.array_join(F.transform(byte, lambda b: F.get(table, b)), "")
+
+    tag = T.let(digest, selectors)  # one digest a paragraph, not one for each byte of it
     return F.concat(F.lit("".join(SELECTORS[b] for b in (*MAGIC, VERSION))), tag)
 
 
 def authentic(segment: Column, key: str | None, issuer: Column) -> Column:
-    return F.array_contains(marks(segment), payload(segment, key, issuer)) if key else F.lit(False)
+    return segment.rlike(MARK) & F.array_contains(marks(segment), payload(segment, key, issuer)) if key else F.lit(False)
 
 
 def blank(c: Column) -> Column:
