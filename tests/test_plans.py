@@ -172,6 +172,22 @@ ANSWERS = [
 ]
 
 
+def test_leaks_make_no_row_of_a_pair(spark):
+    df = spark.createDataFrame([*enumerate(ANSWERS)], "i int, text string")
+    protected = spark.createDataFrame([(p,) for p in PROMPT], "text string")
+    plan = leak.leaks(df, protected, ["i"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and plan.count("Join") == 1
+
+
+def test_leaks_in_many_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([*enumerate(ANSWERS * 3)], "i int, text string")
+    protected = spark.createDataFrame([(p,) for p in PROMPT], "text string")
+    one = sorted((x.i, x.k, x.sentence, x.score) for x in leak.leaks(df, protected, ["i"]).collect())
+    monkeypatch.setattr(leak, "BLOCK", 2)
+    assert one and sorted((x.i, x.k, x.sentence, x.score) for x in leak.leaks(df, protected, ["i"]).collect()) == one
+    assert leak.leaks(df, protected.where("false"), ["i"]).count() == 0
+
+
 def test_prompt_leak_rail_and_join(spark, monkeypatch):
     df = spark.createDataFrame([*enumerate(ANSWERS), (99, None)], "i int, text string")
     want = {i: plain_leaks(t, PROMPT) for i, t in enumerate(ANSWERS)}

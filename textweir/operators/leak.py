@@ -3,12 +3,16 @@
 The score of a sentence is the largest share of its n-grams that one protected sentence holds. From `close` on it is a leak; from `loose`
 on only where it says whose words it repeats. Sentences under FLOOR characters are no evidence on either side.
 
-prompt_leak() is a rail over a few protected texts, which are constants of the plan. leaks() is a join with a table
-of any size: a set-similarity join that never meets on common n-grams unless a sentence has little else.
+prompt_leak() is a rail over a few protected texts, which are constants of the plan. leaks() is a set-similarity join with a table
+of any size, by pairs of blocks.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +22,8 @@ from ..functions import values as V
 from . import rails as R
 
 FLOOR, CLOSE, LOOSE = 40, 0.7, 0.4
-#: So many of the protected n-grams, the commonest, go out to all tasks to order n-grams by; a few kilobytes, whatever the table.
-COMMON = 1024
+#: Sentences of a block; an n-gram that more than COMMON protected sentences of a block hold is kept as a row of bits.
+BLOCK, COMMON = 4096, 1024
 
 
 def sentences(text: Column, floor: int = FLOOR) -> Column:
@@ -57,28 +61,56 @@ def prompt_leak(protected: list[str], close: float = CLOSE, loose: float = LOOSE
     return R.Rail("prompt_leak", decide, ("output",))
 
 
+def gram_set(body: str, size: int = 4) -> set[str]:
+    """text.shingles() of a normalised text."""
+    return {body} if len(body) <= size else {body[i : i + size] for i in range(len(body) - size + 1)}
+
+
+def shares(told: pa.Table, known: pa.Table) -> pa.Table:
+    """sentence and score of the told sentences (sentence, body, least) that reach their least score with one of the known bodies."""
+    out: list[tuple[str, float]] = []
+    if told.num_columns and known.num_columns:  # a side without rows has no columns
+        held: dict[str, list[int]] = {}
+        for i, body in enumerate(known["body"].to_pylist()):
+            for g in gram_set(body):
+                held.setdefault(g, []).append(i)
+        n = len(known)
+        # n-grams that very many hold are rows of bits, the others lists of places
+        rows = {g: np.bincount(v, minlength=n) for g, v in held.items() if len(v) > COMMON}
+        places = {g: np.array(v) for g, v in held.items() if len(v) <= COMMON}
+        none = np.zeros(0, int)
+        for sentence, body, least_score in zip(*(told[k].to_pylist() for k in ("sentence", "body", "least")), strict=True):
+            own = gram_set(body)
+            if len(own & held.keys()) < least_score * len(own) - 1e-9:
+                continue
+            count = np.bincount(np.concatenate([none, *(places[g] for g in own if g in places)]), minlength=n)
+            for g in own & rows.keys():
+                count += rows[g]
+            if (score := int(count.max()) / len(own)) >= least_score:
+                out.append((sentence, score))
+    return pa.table({"sentence": pa.array([s for s, _ in out], pa.string()), "score": pa.array([v for _, v in out], pa.float64())})
+
+
 def leaks(answers: DataFrame, protected: DataFrame, keys: list[str], text: str = "text", close: float = CLOSE, loose: float = LOOSE, floor: int = FLOOR) -> DataFrame:
     """keys, k, sentence, score of the answers' sentences that leak; k is the place among the answer's sentences, from 0.
 
-    Equal sentences are scored once. Where a sentence of n n-grams needs a shared ones, one of any n - a + 1 of
-    its n-grams must be in the protected sentence; those that protected text holds least often are taken, so a common
-    n-gram is joined only where a sentence consists of such. Protected sentences with fewer than a are left out,
-    and candidates are counted on whole sets.
+    Equal sentences are scored once. Blocks of them meet blocks of protected sentences: within a pair of blocks a
+    sentence's n-grams are looked up in lists of the protected sentences that hold them, and no pair of sentences becomes a row.
+    A task holds one pair of blocks at a time, whatever the size of the tables.
     """
-    own = protected.select(F.explode(F.array_distinct(sentences(F.col(text), floor))).alias("p")).distinct()
-    own = own.select(F.xxhash64("p", F.lit(1)).alias("seed_a"), F.xxhash64("p", F.lit(2)).alias("seed_b"), T.shingles(F.col("p")).alias("set"))
-    grams = own.select("seed_a", "seed_b", F.size("set").alias("size"), F.explode("set").alias("g"))
-    common = [r.g for r in grams.groupBy("g").count().where("count > 1").orderBy(F.desc("count"), "g").limit(COMMON).collect()]  # bounded
-    told = answers.select(*keys, F.posexplode(sentences(F.col(text), floor)).alias("k", "sentence"))
-    s = told.select("sentence").distinct().select("sentence", T.shingles(F.col("sentence")).alias("set"), least(F.col("sentence"), close, loose).alias("least"))
-    s = s.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("least") * F.size("set") - 1e-9).cast("int")))
-    # rarest first: n-grams that are not common, by themselves, then common ones from the least common on
-    known = F.map_from_arrays(T.strings(common), F.sequence(F.lit(len(common)), F.lit(1), F.lit(-1))) if common else F.create_map().cast("map<string,int>")
-    order = F.array_sort(F.transform("set", lambda g: F.struct(F.coalesce(F.element_at(known, g), F.lit(0)).alias("r"), g.alias("g"))))
-    first = s.select("sentence", "need", F.explode(F.slice(order, F.lit(1), F.size("set") - F.col("need") + 1)).alias("x")).select("sentence", "need", F.col("x.g").alias("g"))
-    pairs = first.join(grams, "g").where("size >= need").select("sentence", "seed_a", "seed_b").distinct()
-    near = pairs.join(s, "sentence").join(own.withColumnRenamed("set", "other"), ["seed_a", "seed_b"])
-    scored = near.withColumn("score", F.size(F.array_intersect("set", "other")) / F.size("set")).where("score >= least")
+    said = sentences(F.col(text), floor)
+    own = protected.select(F.explode(F.array_distinct(said)).alias("p")).distinct().select(T.normalize(F.col("p")).alias("body"))
+    most = answers.agg(F.sum(F.greatest(F.size(said), F.lit(0)))).first()[0] or 0  # equal ones counted each
+    na, nb = max(1, math.ceil(most / BLOCK)), max(1, math.ceil(own.count() / BLOCK))
+    told = answers.select(*keys, F.posexplode(said).alias("k", "sentence"))
+    s = told.select("sentence").distinct().select("sentence", T.normalize(F.col("sentence")).alias("body"), least(F.col("sentence"), close, loose).alias("least"))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    a = s.select("sentence", "body", "least", F.pmod(F.xxhash64("sentence", F.lit(1)), F.lit(na)).alias("a"), every(nb).alias("b"))
+    b = own.select("body", F.pmod(F.xxhash64("body", F.lit(1)), F.lit(nb)).alias("b"), every(na).alias("a"))
+    scored = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(shares, "sentence string, score double")
     best = scored.groupBy("sentence").agg(F.max("score").alias("score"))
     return told.join(best, "sentence").select(*keys, "k", "sentence", "score")
 
