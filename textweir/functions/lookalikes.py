@@ -10,6 +10,7 @@ Everything here is a built-in expression, so views can be used within higher-ord
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 from collections.abc import Mapping
@@ -58,10 +59,18 @@ def char_class(chars: Mapping[str, str] | list[str]) -> str:
     return "[" + "".join(rf"\x{{{a:X}}}" + (rf"-\x{{{b:X}}}" if b > a else "") for a, b in ranges) + "]"
 
 
+#: Before a class of many ranges, which costs each character as many calls: ASCII fails here at once.
+OTHER = r"(?=[^\x00-\x7F])"
+
+
+def ahead(chars: Mapping[str, str]) -> str:
+    return "" if any(k.isascii() for k in chars) else OTHER
+
+
 def holds(c: Column, chars: Mapping[str, str]) -> Column:
     """Whether c holds one of the characters; ASCII texts, and Latin letters that are none of them, are told by cheap tests first."""
     plain = char_class([chr(n) for n in range(0x300) if chr(n) not in chars])
-    return c.rlike(r"[^\x00-\x7F]") & c.rlike(f"(?=[^\\x00-\\x7F])[^{plain[1:]}") & c.rlike(f"(?=[^{plain[1:]})" + char_class(chars))
+    return c.rlike(r"[^\x00-\x7F]") & c.rlike(f"{OTHER}[^{plain[1:]}") & c.rlike(f"{ahead(chars)}(?=[^{plain[1:]})" + char_class(chars))
 
 
 def replaced(c: Column, chars: Mapping[str, str]) -> Column:
@@ -71,9 +80,13 @@ def replaced(c: Column, chars: Mapping[str, str]) -> Column:
     out = F.translate(c, "".join(single), "".join(single.values()))
     if not longer:
         return out
-    found = F.array_distinct(F.regexp_extract_all(out, F.lit(char_class(longer)), F.lit(0)))
     known = F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in longer.items())), F.lit("\x1e"), F.lit("\x1f"))
-    return F.when(holds(out, longer), F.aggregate(found, out, lambda t, x: F.replace(t, x, F.coalesce(known[x], x)))).otherwise(out)
+
+    def spelled(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(ahead(longer) + char_class(longer)), F.lit(0)))
+        return F.when(holds(t, longer), F.aggregate(found, t, lambda a, x: F.replace(a, x, F.coalesce(known[x], x)))).otherwise(t)
+
+    return F.get(F.transform(F.array(out), spelled), F.lit(0))  # what is translated is translated once
 
 
 def fold_all(c: Column, chars: Mapping[str, str] | None = None) -> Column:
@@ -89,8 +102,14 @@ def fold(c: Column, chars: Mapping[str, str] | None = None) -> Column:
     def word(w: Column) -> Column:
         return F.when(w.rlike("[A-Za-z0-9]") & holds(w, chars), replaced(w, chars)).otherwise(w)
 
-    parts = F.split(c, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")
-    return F.when(holds(c, chars), F.array_join(F.transform(parts, word), "")).otherwise(c)
+    def parts(t: Column) -> Column:
+        return F.split(t, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")
+
+    if any(not v or re.search(r"\s", k + v, re.A) for k, v in chars.items()):  # words may move: each is looked at by itself
+        words = F.transform(parts(c), word)
+    else:  # all of the text folded has its words where the text has them, so that the text is folded once, not each word
+        words = F.zip_with(parts(c), parts(replaced(c, chars)), lambda w, v: F.when((w != v) & w.rlike("[A-Za-z0-9]"), v).otherwise(w))
+    return F.when(holds(c, chars), F.array_join(words, "")).otherwise(c)
 
 
 def compatibility(c: Column) -> Column:

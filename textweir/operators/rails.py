@@ -516,7 +516,7 @@ def view(name: str, bare: Column, raw: Column) -> Column:
 VIEWS = ("invisible", "tags", "selectors", "confusables", "confusables_all", "rot13", "base64", "nfkc")
 
 
-def encoded_views(text: Column) -> Column:
+def encoded_views(text: Column, scrubbed: Column | None = None) -> Column:
     """array<struct<carrier, span>> of decodings that differ from the text they are made of, in order; blank ones are left out."""
 
     def made(bare: Column) -> Column:
@@ -524,7 +524,7 @@ def encoded_views(text: Column) -> Column:
         other = F.filter(every, lambda x: (x["span"] != x["base"]) & x["span"].rlike(r"[^\x00\s]"))
         return F.transform(other, lambda x: F.struct(x["carrier"], x["span"]))
 
-    return T.let(T.scrub(text), made)
+    return T.let(T.scrub(text), made) if scrubbed is None else made(scrubbed)
 
 
 def put_back(bare: Column, name: Column, decoded: Column, new: Column) -> Column:
@@ -595,7 +595,7 @@ def obfuscation(rails: list[Rail]) -> Rail:
             changes = (change_at > 0) & ((block_at == 0) | (change_at < block_at))
             return F.when(changes, T.let(F.get(seen, (change_at - 1).cast("int")), with_change)).otherwise(rest)
 
-        return T.let(T.scrub(text), lambda bare: T.let(F.transform(encoded_views(text), look), lambda seen: decided(bare, seen)))
+        return T.let(T.scrub(text), lambda bare: T.let(F.transform(encoded_views(text, bare), look), lambda seen: decided(bare, seen)))
 
     return Rail("obfuscation", decide, ("input", "context"))
 
