@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from textweir import queries_rails
+from textweir import queries_model, queries_rails
 from textweir.functions import language as LG
 from textweir.functions import text as T
 from textweir.functions import values as V
@@ -320,6 +320,27 @@ def test_perplexity_rail(spark):
     assert (got[5].status, got[5].certain) == ("passed", False)
 
 
+def test_improbable_by_shares(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["the", "of", "Sea", f"w{r.randrange(30)}", f"x{i}"]) for _ in range(n))) for i, n in enumerate([40, 17, 16, 15, 8, 7, 1])]
+    rows += [(7, None), (8, " .. "), (9, "a b"), (9, "c d e f g h i j"), (None, "the sea"), (None, "the sea of the sea of the sea")]
+    texts = spark.createDataFrame(rows, "i long, text string")
+
+    def told(df):
+        return sorted((-1 if x.i is None else x.i, x.status, x.certain, None if x.score is None else round(x.score, 9)) for x in df.collect())
+
+    for d, bounds in ((texts, (1, 20)), (texts.where("i is null or i < 9"), (1 << 18,))):  # with and without rows of one key; no word, some and all are looked up in their row
+        tokens = d.select("i", F.posexplode(T.words(F.col("text"))).alias("pos", "w"))
+        shares = tokens.groupBy("w").agg(F.log(F.count(F.lit(1)) / tokens.count()).alias("logprob"))
+        want = told(model_rails.perplexity(d, tokens.join(shares, "w"), "i", threshold=2.4))
+        assert {w[1] for w in want} == {"passed", "blocked"} and not all(w[2] for w in want)
+        for frequent in bounds:
+            monkeypatch.setattr(model_rails, "FREQUENT", frequent)
+            assert told(model_rails.improbable(d, "i", threshold=2.4)) == want
+    v = queries_model.perplexity_verdicts(spark, "/root/testdata/sf0.001")
+    assert "Window" not in v._jdf.queryExecution().optimizedPlan().toString()  # words are not sorted by text
+
+
 def test_nearness_block_by_block(spark, monkeypatch):
     r = random.Random(5)
     monkeypatch.setattr(nearness, "BLOCK", 7)
