@@ -74,11 +74,19 @@ def role_summary(rows: DataFrame) -> DataFrame:
 
 
 def performance(rows: DataFrame) -> DataFrame:
-    """One row: the threshold that the threshold role gives, and what is above it in the test role."""
-    t = rows.where("role = 'threshold' and not attack").agg(F.ceil(F.max("bits")).cast("long").alias("threshold"))
-    test = rows.where("role = 'test'").crossJoin(F.broadcast(t))  # one row
+    """One row: the threshold that the threshold role gives, and what is above it in the test role.
+
+    Both are read off counts by bits, so that the rows are made once; the counts are kept by persist().
+    """
+    by = rows.where("role = 'test' or role = 'threshold' and not attack").groupBy("role", "attack", "bits").agg(F.count(F.lit(1)).alias("n")).persist()
+    t = by.where("role = 'threshold' and not attack").agg(F.ceil(F.max("bits")).cast("long").alias("threshold"))
+    test = by.where("role = 'test'").crossJoin(F.broadcast(t))  # one row
+
+    def counted(of: Column) -> Column:
+        return F.sum(F.when(of, F.col("n")).otherwise(0))
+
     above = F.col("bits") > F.col("threshold")
-    return test.groupBy("threshold").agg(F.count_if(F.col("attack") & above).alias("caught"), F.count_if("attack").alias("attacks"), F.count_if(~F.col("attack") & above).alias("flagged"), F.count_if(~F.col("attack")).alias("benign"))
+    return test.groupBy("threshold").agg(counted(F.col("attack") & above).alias("caught"), counted(F.col("attack")).alias("attacks"), counted(~F.col("attack") & above).alias("flagged"), counted(~F.col("attack")).alias("benign"))
 
 
 def bands(rows: DataFrame) -> DataFrame:

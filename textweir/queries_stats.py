@@ -39,10 +39,10 @@ def sql_content(c: str) -> str:
 RAILS = {"injected_instructions": V.INJECTED_PATTERNS, "jailbreak": V.JAILBREAK_PATTERNS}
 
 
-def fired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, one boolean per rail) over spliced documents."""
+def fired(spark: SparkSession, sf_dir: str, of=None) -> DataFrame:
+    """(doc_id, one boolean per rail) over spliced documents, or those that of() leaves of them."""
     d = spliced(spark, sf_dir)
-
+    d = d if of is None else of(d)
     turns = sum(F.regexp_count("text", F.lit(p)) for p in V.TURN_PATTERNS) > 4
     return d.select("doc_id", *[rails.any_match(F.col("text"), p).alias(r) for r, p in RAILS.items()], turns.alias("many_shot"))
 
@@ -59,8 +59,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fired(spark, sf_dir).unpivot("doc_id", NAMES, "rail", "fired")
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess.judged(fired(spark, sf_dir), "doc_id", NAMES, "context", PRIOR)
+def judged(spark: SparkSession, sf_dir: str, of=None) -> DataFrame:
+    return assess.judged(fired(spark, sf_dir, of), "doc_id", NAMES, "context", PRIOR)
 
 
 @query(f"SELECT doc_id, round(bits, 6) AS bits, round(p, 6) AS posterior, CASE WHEN p >= 0.5 THEN 'block' WHEN p >= 0.05 THEN 'review' ELSE 'allow' END AS action FROM ({SQL_POSTERIOR})")
