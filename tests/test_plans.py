@@ -13,7 +13,7 @@ from textweir.functions import language as LG
 from textweir.functions import text as T
 from textweir.functions import values as V
 from textweir.functions.stats import beta_quantile
-from textweir.operators import assess, leak, model_rails, nearness, provenance, risk
+from textweir.operators import assess, leak, metrics, model_rails, nearness, provenance, risk
 from textweir.operators import rails as R
 from textweir.plans.engine import Engine
 from textweir.plans.escalation import escalate
@@ -341,6 +341,29 @@ def test_improbable_by_shares(spark, monkeypatch):
     assert "Window" not in v._jdf.queryExecution().optimizedPlan().toString()  # words are not sorted by text
 
 
+def looked_at(spark, rows, name):
+    """rows, each counted as often as its column is made."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    return rows.withColumn(name, F.udf(look, rows.schema[name].dataType)(name)), seen
+
+
+def test_performance_makes_rows_once(spark):
+    rows = spark.createDataFrame([(("threshold", "test")[i % 2], i % 3 == 0, float(i % 7)) for i in range(60)], "role string, attack boolean, bits double")
+    counted, seen = looked_at(spark, rows, "bits")
+    assert metrics.performance(counted).collect() == [(6, 0, 10, 0, 20)] and seen.value <= 60
+
+
+def test_risk_control_makes_rows_once(spark):
+    rows = spark.createDataFrame([("threshold", False, (i % 50) / 50) for i in range(200)], "role string, attack boolean, score double")
+    counted, seen = looked_at(spark, rows, "score")
+    assert risk.control(counted, 0.3).collect() == risk.control(rows, 0.3).collect() and seen.value <= 200
+
+
 def test_nearness_block_by_block(spark, monkeypatch):
     r = random.Random(5)
     monkeypatch.setattr(nearness, "BLOCK", 7)

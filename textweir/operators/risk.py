@@ -35,12 +35,14 @@ def control(rows: DataFrame, most: float, confidence: float = 0.95) -> DataFrame
     Candidates are 0, 1 and the double after each benign score; none within 0 to 1 gives no row. Since
     the bound depends on the count alone, the rule is one number of failures: the threshold follows the benign score
     that has just that many above it. Scores are counted by equal parts, so the order of one part's scores is all that is sorted.
+    Rows are made once, for counts by score that are kept by persist().
     """
     if not 0 < most < 1 or not 0 < confidence < 1:
         raise ValueError("most and confidence must lie between 0 and 1")
     spark = rows.sparkSession
     benign = rows.where("role = 'threshold' and not attack").select(F.col("score").cast("double").alias("score"))
-    n, bad = benign.agg(F.count(F.lit(1)), F.count_if(~F.coalesce(F.col("score").between(0, 1), F.lit(False)))).first()
+    benign = benign.groupBy("score").count().persist()
+    n, bad = benign.agg(F.sum("count"), F.sum(F.when(F.coalesce(F.col("score").between(0, 1), F.lit(False)), 0).otherwise(F.col("count")))).first()
     if not n or bad:
         raise ValueError("risk control needs benign threshold cases with scores from 0 to 1")
     k = most_failures(n, most, confidence)
@@ -51,18 +53,18 @@ def control(rows: DataFrame, most: float, confidence: float = 0.95) -> DataFrame
         return spark.createDataFrame([(0.0, n, n, upper(n, n, confidence))], out)
     part = F.least(F.floor(F.col("score") * PARTS), F.lit(PARTS - 1)).cast("int")
     above = 0
-    for p, m in sorted(benign.groupBy(part.alias("p")).count().collect(), reverse=True):  # at most PARTS rows
+    for p, m in sorted(benign.groupBy(part.alias("p")).agg(F.sum("count")).collect(), reverse=True):  # at most PARTS rows
         if above + m > k:
             break
         above += m
     # the (k + 1)-th largest score is in part p: every threshold up to it has too many at or above
-    by = benign.where(part == p).groupBy("score").count()
+    by = benign.where(part == p)
     rank = F.sum("count").over(Window.orderBy(F.desc("score")))
     last = by.withColumn("upto", rank + above).where(F.col("upto") > k).agg(F.max("score").alias("s")).first().s
     threshold = math.nextafter(last, math.inf)
     if threshold > 1:
         return spark.createDataFrame([], out)
-    failures = benign.where(F.col("score") >= threshold).count()
+    failures = benign.where(F.col("score") >= threshold).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     return spark.createDataFrame([(threshold, failures, n, upper(failures, n, confidence))], out)
 
 
