@@ -147,10 +147,15 @@ def alignment() -> Rail:
 LETTERS = "zqxjkvbpygfwmucldrhsnioate"
 
 
-def telling(grams: list[str], least: float) -> list[str]:
-    """So many n-grams of a seed that a text with `least` of them all must hold one of these; the rarest by their letters."""
+#: A clause near a seed holds at least so many of the n-grams that are looked for, where the seed has as many.
+HELD = 4
+
+
+def telling(grams: list[str], least: float) -> tuple[list[str], int]:
+    """N-grams of a seed and how many of these a text with `least` of them all must hold; the rarest by their letters."""
     missing = len(grams) - math.ceil(len(grams) * least - 1e-9)
-    return sorted(grams, key=lambda g: (" " in g, sum(LETTERS.find(c) if c in LETTERS else 30 for c in g), g))[: missing + 1]
+    own = sorted(grams, key=lambda g: (" " in g, sum(LETTERS.find(c) if c in LETTERS else 30 for c in g), g))[: missing + HELD]
+    return own, len(own) - missing
 
 
 def trie(words: list[str]) -> str:
@@ -165,18 +170,17 @@ def trie(words: list[str]) -> str:
 def seed_containment(text: Column, seeds: list[str], least: float) -> Column:
     """The largest share of a seed's shingles that one clause contains; null where no clause reaches `least`.
 
-    Of each seed a few rare n-grams are looked for, first in the whole text in lower case, then in each clause, and only a clause that
-    has one is normalised, and the seeds counted in it of which it has one. N-grams within a word stand in a text as
-    they do in its normal form.
+    Of each seed some rare n-grams are looked for in the clauses in lower case. Only a clause that has one is normalised, only
+    one that then has enough of them is met with seeds, and only those seeds are counted in it of which it has enough. What stands in a
+    normal form stands in the text as it is, with other characters for its spaces.
     """
     known = [driver_shingles(s) for s in seeds]
-    table = F.from_json(F.lit(json.dumps([{"first": telling(k, least), "every": k} for k in known])), "array<struct<first:array<string>,every:array<string>>>")
-    first = sorted({g for k in known for g in telling(k, least)})
-    some, short = trie(first), T.strings([g for g in first if len(g) < 4])
-    plain = not any(" " in g for g in first)
-
-    def gate(c: Column) -> Column:
-        return (F.lower(L.compatibility(c)) if plain else T.normalize(c)).rlike(some)
+    told = [telling(k, least) for k in known]
+    table = F.from_json(F.lit(json.dumps([{"first": f, "need": n, "every": k} for k, (f, n) in zip(known, told, strict=True)])), "array<struct<first:array<string>,need:int,every:array<string>>>")
+    first, few = sorted({g for f, _ in told for g in f}), min((n for _, n in told), default=1)
+    full, short = [g for g in first if len(g) == 4], T.strings([g for g in first if len(g) < 4])  # a short seed is its own n-gram
+    one = sorted({g for f, n in told for g in f[: len(f) - n + 1]})  # a clause without one of these lacks too many
+    raw = "|".join([trie(w) for w in ([g for g in one if " " not in g],) if w] + [re.sub(r"(\\?\ )+", "[^0-9a-z]+", re.escape(g)) for g in one if " " in g])
 
     def clause(body: Column) -> Column:
         def share(s: Column) -> Column:
@@ -184,12 +188,15 @@ def seed_containment(text: Column, seeds: list[str], least: float) -> Column:
             return F.size(own) / F.size(s["every"])
 
         def near(has: Column) -> Column:
-            return F.array_max(F.transform(F.filter(table, lambda s: F.arrays_overlap(s["first"], has)), share))
+            met = F.filter(table, lambda s: F.size(F.array_intersect(s["first"], has)) >= s["need"])
+            return F.when(F.size(has) >= few, F.array_max(F.transform(met, share)))
 
-        has = F.concat(F.regexp_extract_all(body, F.lit(f"(?=({some}))"), F.lit(1)), F.filter(short, lambda g: F.contains(body, g)))
-        return T.let(has, near)
+        has = F.filter(short, lambda g: F.contains(body, g))
+        if full:
+            has = F.concat(F.regexp_extract_all(body, F.lit(f"(?=({trie(full)}))"), F.lit(1)), has)
+        return T.let(F.array_distinct(has), near)
 
-    found = F.when(gate(text), F.array_max(F.transform(F.filter(T.clauses(text), gate), lambda c: T.let(T.normalize(c), clause))))
+    found = F.array_max(F.transform(F.filter(T.lowered_clauses(text), lambda c: c.rlike(raw)), lambda c: T.let(T.spaced(c), clause)))
     return T.let(found, lambda x: F.when(x >= least, x))
 
 
