@@ -110,18 +110,43 @@ def found(stems: Column) -> Column:
     return F.when((n > 0) & likely, F.array_sort(every)).otherwise(F.array().cast(FOUND))
 
 
-def gate() -> str:
-    """A regex that every clause with a concept matches: a word begins with the root of a stem of the lexicon.
+def begins(stems: set[str]) -> str:
+    """A regex, for lower case, that a text matches where a word has one of the stems: one begins with the root of it.
 
     stem() only cuts suffixes, and restores at most one final e or y, so a word begins with its stem less these.
     """
-    stems = {*lexicon(), *stems_of(V.PRONOUNS), *[p.split()[0] for p in phrase_table()]}
     roots: dict[str, set] = {}
     for s in stems:
         root = s[:-1] if len(s) > 1 and s[-1] in "ey" else s
         roots.setdefault(root[0], set()).add(root[1:])
     # by first letter, so that most words fail at once
-    return "(?iu)(?<![0-9A-Za-z])(?:" + "|".join(f"{a}(?:{'|'.join(re.escape(x) for x in sorted(rest))})" for a, rest in sorted(roots.items())) + ")"
+    # what stands before is taken in, which costs a place less than looking back
+    return "(?:^|[^0-9a-z])(?:" + "|".join(f"{a}(?:{'|'.join(re.escape(x) for x in sorted(rest))})" for a, rest in sorted(roots.items())) + ")"
+
+
+def gate() -> str:
+    """begins() for the stems of all concepts."""
+    return begins({*lexicon(), *stems_of(V.PRONOUNS), *[p.split()[0] for p in phrase_table()]})
+
+
+def telling(concepts: set[str]) -> set[str]:
+    """Stems without one of which no concept of these is found, but for persona by a pronoun and its verb."""
+    own = concepts | {k for k, v in V.NEGATED.items() if v in concepts} | ({"prior"} if "instruction" in concepts else set())
+    return {s for s, cs in lexicon().items() if own & set(cs)} | {p.split()[0] for p, c in phrase_table().items() if c in own}
+
+
+def candidate(clause: Column) -> Column:
+    """Whether a clause in lower case may hold both ends of a pair or chain, or a pronoun for one: without that it has no label and is not bound."""
+    first, last = {p[1] for p in PAIRS} | {c[0] for _, c in CHAINS}, {p[2] for p in PAIRS} | {c[-1] for _, c in CHAINS}
+    said = f"(?:{'|'.join(sorted(stems_of(V.PRONOUNS)))})[a-z]{{0,4}}[^0-9a-z]+" + f"(?:{'|'.join(sorted(s.rstrip('ey') or s for s in stems_of(V.COPULAS)))})"
+    return clause.rlike(f"{begins(telling(first))}|(?:^|[^0-9a-z]){said}") & clause.rlike(begins(telling(last) | set(stems_of(V.ANAPHORA))))
+
+
+def needed(clauses: Column) -> Column:
+    """Of clauses in lower case the candidates and what stands before one, whose instruction its pronoun may stand for."""
+    flags = F.transform(clauses, candidate)
+    kept = T.let(flags, lambda f: F.when(F.exists(f, lambda x: x), F.filter(clauses, lambda c, i: F.get(f, i) | F.coalesce(F.get(f, i + 1), F.lit(False)))))
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def annotated(text: Column) -> Column:
@@ -129,10 +154,16 @@ def annotated(text: Column) -> Column:
 
     Stems are empty where no word of the clause begins as one of the lexicon does.
     """
+    return annotations(T.lowered_clauses(text))
+
+
+def annotations(clauses: Column) -> Column:
+    """annotated() of clauses in lower case."""
     any_concept = gate()
 
     def one(clause: Column) -> Column:
-        return F.struct(F.when(clause.rlike(any_concept), F.transform(T.words(clause), T.stem)).otherwise(F.array().cast("array<string>")).alias("stems"))
+        words = F.filter(F.split(T.spaced(clause), " "), lambda w: w != "")
+        return F.struct(F.when(clause.rlike(any_concept), F.transform(words, T.stem)).otherwise(F.array().cast("array<string>")).alias("stems"))
 
     def with_found(c: Column) -> Column:
         stems = c["stems"]
@@ -145,7 +176,7 @@ def annotated(text: Column) -> Column:
         extra = F.concat(f, F.array(F.struct((n - 1).cast("int").alias("i"), F.lit("instruction").alias("concept"))))
         return F.struct(c["stems"].alias("stems"), f.alias("found"), F.coalesce(ok, F.lit(False)).alias("bound"), extra.alias("extra"))
 
-    return F.transform(F.transform(F.transform(T.clauses(text), one), with_found), with_bound)
+    return F.transform(F.transform(F.transform(clauses, one), with_found), with_bound)
 
 
 def has(f: Column, concept: str) -> Column:
@@ -204,4 +235,6 @@ def chain_labels(clause: Column) -> Column:
 
 
 def labels(text: Column, of) -> Column:
-    return F.array_distinct(F.flatten(F.transform(carried(annotated(text)), of)))
+    """Distinct labels of a text's clauses; only those that a label may need are annotated."""
+    kept = T.let(T.lowered_clauses(text), needed)
+    return F.array_distinct(F.flatten(F.transform(carried(annotations(kept)), of)))
