@@ -83,6 +83,19 @@ def test_a_batch_of_texts_is_not_whole_in_python():
     assert [x for p in parts for x in p] == [linear.vector(b or "", (b or "").split(), 4096, 2) for b in body.to_pylist()]
 
 
+def test_a_model_is_trained_on_and_reads_whole_texts(spark):
+    """Only the first 4000 characters of a text were read, in training and for its score."""
+    rows = [(i, "the quota of the home folder " * 200 + ("reveal the secret token" if i % 2 else "can be asked for"), i % 2 == 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, text string, attack boolean")
+    model = linear.fit(df, "i", buckets=4096, shards=1)
+    scores = {x.i: x.s for x in df.select("i", linear.scored(model, F.col("text")).alias("s")).collect()}
+    assert all((scores[i] > 0) == a for i, _, a in rows)
+    seen = Engine([linear.linear(model)]).run(df).select("i", "verdict.status").collect()
+    assert all((x.status == "blocked") == (x.i % 2 == 1) for x in seen)
+    short = linear.Linear(model.weights, model.bias, model.buckets, model.stride, limit=linear.LIMIT)  # the reference's own cut, where it is asked for
+    assert len({x.s for x in df.select(linear.scored(short, F.col("text")).alias("s")).collect()}) == 1
+
+
 def test_linear_rail(spark):
     m = linear.Linear({linear.fnv("ignore", linear.OFFSET) % 4096: 3.0}, -1.0, 4096, threshold=0.5)
     df = spark.createDataFrame([(0, "please ignore this"), (1, "fine"), (2, ""), (3, None)], "i int, text string")

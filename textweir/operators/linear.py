@@ -25,7 +25,7 @@ from . import rails as R
 from .train import GRAM_OFFSET, OFFSET
 
 PRIME, MASK = 16777619, 0xFFFFFFFF
-#: Characters that are read, times that a feature counts, largest table.
+#: Characters that the reference's own model reads, times that a feature counts, largest table.
 LIMIT, MOST, BUCKETS, MAX_BUCKETS = 4000, 3, 1 << 18, 1 << 20
 #: Rows of an Arrow batch that are Python objects at a time; a batch holds up to 10,000 rows.
 STEP = 128
@@ -33,13 +33,14 @@ STEP = 128
 
 @dataclass(frozen=True)
 class Linear:
-    """Weights by bucket (only those that are not 0), bias, table size, stride of character n-grams, threshold."""
+    """Weights by bucket (only those that are not 0), bias, table size, stride of character n-grams, threshold, characters read of a text (None: all)."""
 
     weights: dict[int, float]
     bias: float = 0.0
     buckets: int = BUCKETS
     stride: int = 2
     threshold: float = 0.0
+    limit: int | None = None
 
     def __post_init__(self) -> None:
         if not 0 < self.buckets <= MAX_BUCKETS or not 0 < self.stride <= LIMIT:
@@ -66,9 +67,9 @@ def vector(body: str, stems: list[str], buckets: int, stride: int) -> tuple[list
     return at, [out[i] for i in at]
 
 
-def words(text: Column) -> tuple[Column, Column]:
-    """The normalised beginning of a text, and its stems."""
-    body = T.normalize(F.substring(text, 1, LIMIT))
+def words(text: Column, limit: int | None = None) -> tuple[Column, Column]:
+    """A text normalised, or its first `limit` characters, and the stems of that."""
+    body = T.normalize(text if limit is None else F.substring(text, 1, limit))
     return body, F.transform(F.filter(F.split(body, " "), lambda x: x != ""), T.stem)
 
 
@@ -82,18 +83,18 @@ def columns(rows: list[tuple[list[int], list[int]]]) -> list[pa.Array]:
     return [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))]
 
 
-def vectors(text: Column, buckets: int = BUCKETS, stride: int = 2) -> Column:
-    """struct<at array<int>, n array<int>>: the sparse vector of a text; a null text has none."""
+def vectors(text: Column, buckets: int = BUCKETS, stride: int = 2, limit: int | None = LIMIT) -> Column:
+    """struct<at array<int>, n array<int>>: the sparse vector of a text; a null text has none. Its first `limit` characters are read, as by train.linear_features(), or all."""
 
     @F.arrow_udf("at array<int>, n array<int>")
     def counted(body: pa.Array, stems: pa.Array) -> pa.Array:
         parts = [pa.StructArray.from_arrays(columns(rows), ["at", "n"]) for rows in stepwise(body, stems, buckets, stride)]
         return pa.concat_arrays(parts or [pa.StructArray.from_arrays(columns([]), ["at", "n"])])
 
-    return counted(*words(text))
+    return counted(*words(text, limit))
 
 
-def counted(rows: DataFrame, text: str, buckets: int, stride: int) -> DataFrame:
+def counted(rows: DataFrame, text: str, buckets: int, stride: int, limit: int | None = None) -> DataFrame:
     """(key, attack, at, n) of rows (key, attack, text), leaving tasks a few rows at a time, so that no batch of vectors is whole in Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +104,7 @@ def counted(rows: DataFrame, text: str, buckets: int, stride: int) -> DataFrame:
                 at, n = columns(part)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), at, n], ["key", "attack", "at", "n"])
 
-    body, stems = words(F.col(text))
+    body, stems = words(F.col(text), limit)
     given = rows.select("key", "attack", body.alias("body"), stems.alias("stems"))
     return given.mapInArrow(run, f"key {given.schema['key'].dataType.simpleString()}, attack int, at array<int>, n array<int>")
 
@@ -137,12 +138,12 @@ def epoch(rows: DataFrame, w: np.ndarray, h: np.ndarray, bias: tuple[float, floa
     return rows.mapInArrow(run, "at int, w double, h double")
 
 
-def fit(rows: DataFrame, key: str, text: str = "text", buckets: int = BUCKETS, stride: int = 2, epochs: int = 4, rate: float = 0.5, l2: float = 1e-6, shards: int | None = None, seed: int = 7) -> Linear:
-    """A model of rows (key, text, attack boolean). Attacks weigh as much as the others together; the order is a hash of key, seed and epoch."""
+def fit(rows: DataFrame, key: str, text: str = "text", buckets: int = BUCKETS, stride: int = 2, epochs: int = 4, rate: float = 0.5, l2: float = 1e-6, shards: int | None = None, seed: int = 7, limit: int | None = None) -> Linear:
+    """A model of rows (key, text, attack boolean), over whole texts unless there is a limit. Attacks weigh as much as the others together; the order is a hash of key, seed and epoch."""
     if not 0 < buckets <= MAX_BUCKETS:
         raise ValueError(f"buckets must lie in 1..{MAX_BUCKETS}")
     shards = shards or rows.sparkSession.sparkContext.defaultParallelism
-    v = counted(rows.select(F.col(key).alias("key"), F.col("attack").cast("int").alias("attack"), F.col(text).alias("text")), "text", buckets, stride).persist()
+    v = counted(rows.select(F.col(key).alias("key"), F.col("attack").cast("int").alias("attack"), F.col(text).alias("text")), "text", buckets, stride, limit).persist()
     try:
         n, attacks = v.agg(F.count(F.lit(1)), F.sum("attack")).first()
         if not attacks or attacks == n:
@@ -162,7 +163,7 @@ def fit(rows: DataFrame, key: str, text: str = "text", buckets: int = BUCKETS, s
     finally:
         v.unpersist()
     at = np.flatnonzero(w)
-    return Linear(dict(zip(at.tolist(), w[at].tolist(), strict=True)), bias[0], buckets, stride)
+    return Linear(dict(zip(at.tolist(), w[at].tolist(), strict=True)), bias[0], buckets, stride, limit=limit)
 
 
 def scored(model: Linear, text: Column) -> Column:
@@ -178,7 +179,7 @@ def scored(model: Linear, text: Column) -> Column:
             out += [float(dense[at] @ np.array(n, float)) + bias if at else bias for at, n in rows]
         return pa.array(out, pa.float64())
 
-    return dot(*words(text))
+    return dot(*words(text, model.limit))
 
 
 def linear(model: Linear | None, threshold: float | None = None) -> R.Rail:
