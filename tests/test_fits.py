@@ -83,6 +83,24 @@ def test_a_batch_of_texts_is_not_whole_in_python():
     assert [x for p in parts for x in p] == [linear.vector(b or "", (b or "").split(), 4096, 2) for b in body.to_pylist()]
 
 
+def test_a_few_texts_are_counted_at_once(monkeypatch):
+    """Each n-gram and pair of each text was a Python object with its own hash; vectors of 2,000 buckets travelled as 16 KB."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdefgh é日本語𝒳ßı0123") for _ in range(r.choice([0, 1, 3, 4, 5, 6, 50, 900]))) for _ in range(300)] + [None, "x" * 3000 + " y", "stopping the misses hoped"]
+    wide = "".join(chr(0x4E00 + i) for i in range(20_000))  # too many characters for numbers of 63 bits
+    monkeypatch.setattr(linear, "CHARS", 5000)
+    codec = pa.Codec("zstd", compression_level=1)
+    for given, stride, buckets in ((texts, 1, 7), (texts, 2, 1 << 18), ([wide, "abcdefg"], 2, 4096)):
+        got = []
+        for off, at, n in linear.blocks(pa.array(given, pa.string()), None, buckets, stride):
+            for i, j in zip(off[:-1], off[1:], strict=True):
+                block = linear.packed(at[i:j], n[i:j], codec)
+                assert len(block) <= 4 * (j - i) + 40
+                got.append(tuple(x.tolist() for x in linear.unpacked(block, codec)))
+        stems = [[linear.stem_word(w) for w in (t or "").split(" ") if w] for t in given]
+        assert got == [linear.vector(t or "", s, buckets, stride) for t, s in zip(given, stems, strict=True)]
+
+
 def test_a_model_is_trained_on_and_reads_whole_texts(spark):
     """Only the first 4000 characters of a text were read, in training and for its score."""
     rows = [(i, "the quota of the home folder " * 200 + ("reveal the secret token" if i % 2 else "can be asked for"), i % 2 == 1) for i in range(40)]
