@@ -248,6 +248,23 @@ def test_languages_are_measured_in_place(spark):
     assert "hashpartitioning" not in plan
 
 
+def test_a_few_texts_are_measured_at_once():
+    """Each n-gram of each distinct word of a text was a Python object, a step of a loop."""
+    r = random.Random(2)
+    odd = ["".join(r.choice("abcé 日本語𝒳ß 0") for _ in range(r.choice([0, 1, 2, 3, 5, 50, 900]))) for _ in range(120)] + ["", " ", "x" * 3000]
+    plain = [" ".join(t.lower().split()) for t in SAID] + ["de der " * 200 + f"w{i} und" for i in range(20)]
+    wide = ["".join(map(chr, range(0x4E00, 0x9E00))) + " " + "".join(map(chr, range(0x20000, 0x25000))), "de der"]  # too many characters for numbers of 63 bits
+    assert LG.coded(wide) is None and LG.coded(["de"]) is not None
+    for texts in (odd, plain, wide, [""]):
+        assert LG.measures_of(texts) == [LG.measures(t) for t in texts]
+
+
+def test_ngram_language_counts_a_text_once(spark):
+    """A filter on the counts was moved below them, and they ran twice."""
+    plan = queries_rails.ngram_language(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_ngram_language_joins_rows_of_one_document(spark, tmp_path):
     spark.createDataFrame([(1, SAID[2]), (1, SAID[5]), (2, SAID[2] + " " + SAID[5]), (3, None), (4, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     by = {(r.doc_id, r.lang): r.distance for r in queries_rails.ngram_language(spark, str(tmp_path)).collect()}

@@ -6,7 +6,9 @@ import heapq
 from collections import Counter
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,18 +100,107 @@ def measures(text: str | None) -> tuple[int, list[int]]:
     return len(own), [sum(abs(known.get(g, PROFILE) - r) for r, g in enumerate(own)) for known in RANKS]
 
 
+class Numbers(dict):
+    """What is looked up gets the next number."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(code, word, RANKS) of all n-grams of padded words, word by word: numbers in byte order, with repeats, and each code's place in each profile.
+
+    None if the words hold too many different characters for such numbers.
+    """
+    points = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le"), np.uint32)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    there = np.zeros(0x110000, bool)
+    there[points] = True
+    alphabet = np.flatnonzero(there)
+    bits = len(alphabet).bit_length()
+    if SIZES[-1] * bits > 63:
+        return None
+    letter = np.zeros(0x110000, np.int64)
+    letter[alphabet] = np.arange(1, len(alphabet) + 1)  # 0 stands after the end of a shorter n-gram, and so before all others
+    at, end = letter[points], np.repeat(np.cumsum(size), size)
+    word, place = np.repeat(np.arange(len(words)), size), np.arange(len(points))
+    key, found = np.zeros(len(points), np.int64), []
+    for k in range(SIZES[-1]):
+        ok = place + k < end
+        key = key << bits | np.where(ok, at[np.minimum(place + k, len(at) - 1)], 0)
+        if k + 1 in SIZES:
+            found.append(np.where(ok, key << bits * (SIZES[-1] - k - 1), 0))
+    code, word = np.stack(found, 1).ravel(), np.repeat(word, len(SIZES))
+    code, word = code[code > 0], word[code > 0]
+    distinct, code = np.unique(code, return_inverse=True)
+    rank = np.full((len(RANKS), len(distinct)), PROFILE, np.int64)
+    for own, known in zip(rank, RANKS, strict=True):
+        for g, r in known.items():
+            codes = [int(letter[ord(c)]) for c in g]
+            if all(codes):
+                n = sum(c << bits * (SIZES[-1] - 1 - k) for k, c in enumerate(codes))
+                i = int(np.searchsorted(distinct, n))
+                if i < len(distinct) and distinct[i] == n:
+                    own[i] = r
+    return code, word, rank
+
+
+def measures_of(texts: list[str]) -> list[tuple[int, list[int]]]:
+    """measures() of a few texts at once: n-grams are made of each of their words once."""
+    seen, size, word = Numbers(), [], []
+    for t in texts:
+        own = [w for w in t.split(" ") if w]
+        word += map(seen.__getitem__, own)
+        size.append(len(own))
+    known = coded(list(seen)) if seen else None
+    if known is None:
+        return [measures(t) for t in texts]
+    code, of, rank = known
+    start = np.searchsorted(of, np.arange(len(seen) + 1))
+    out, k, word = [], 0, np.array(word)
+    for n in size:
+        w, times = np.unique(word[k : k + n], return_counts=True)
+        k += n
+        many = start[w + 1] - start[w]
+        at = np.repeat(start[w] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        count = np.bincount(code[at], np.repeat(times, many), rank.shape[1])
+        own = np.flatnonzero(count)  # in byte order
+        count = count[own]
+        if len(own) > PROFILE:  # only those as common as the last one can be in it
+            common = count >= np.partition(count, -PROFILE)[-PROFILE]
+            own, count = own[common], count[common]
+        own = own[np.argsort(-count, kind="stable")[:PROFILE]]
+        out.append((len(own), np.abs(rank[:, own] - np.arange(len(own))).sum(1).tolist()))
+    return out
+
+
+#: Texts that are measured together, and their bytes.
+ROWS, CHARS = 256, 1 << 20
+
+
 def measured(words: Column) -> Column:
-    """struct<grams, distance>: as ranked() and distances(), counted by Python row by row; not for use inside lambdas.
+    """struct<grams, distance>: as ranked() and distances(), counted in Arrow batches; not for use inside lambdas.
 
     As expressions this sorts every n-gram of a text, as a grouping it shuffles them all.
     """
+    return measured_text(F.array_join(words, " "))
+
+
+def measured_text(text: Column) -> Column:
+    """measured() of a text whose words stand between spaces."""
 
-    @F.pandas_udf("grams int, distance array<bigint>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        found = [measures(t) for t in texts]
-        return pd.DataFrame({"grams": [n for n, _ in found], "distance": [d for _, d in found]})
+    @F.arrow_udf("grams int, distance array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+        found, k = [], 0
+        while k < len(texts):
+            to = max(k + 1, min(k + ROWS, int(np.searchsorted(size, (size[k - 1] if k else 0) + CHARS, "right"))))
+            found += measures_of([t or "" for t in texts.slice(k, to - k).to_pylist()])
+            k = to
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int32()), pa.array([d for _, d in found], pa.list_(pa.int64()))], ["grams", "distance"])
 
-    return of(F.array_join(words, " "))
+    return of.asNondeterministic()(text)  # else a filter on what it gives is moved below and counts every text again
 
 
 def nearest(d: Column) -> Column:

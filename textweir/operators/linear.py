@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.concepts import stem_word
+from ..functions.language import Numbers
 from . import rails as R
 from .train import GRAM_OFFSET, OFFSET
 
@@ -78,14 +79,6 @@ def words(text: Column, limit: int | None = None) -> Column:
 stem_of = functools.lru_cache(1 << 18)(stem_word)
 
 
-class Numbers(dict):
-    """What is looked up gets the next number."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 class Tokens:
     """Strings of a few texts as bytes: what each is, by number, where it starts and ends, and its FNV-1a state."""
 

@@ -169,10 +169,10 @@ SELECT doc_id, lang, CAST(dist AS BIGINT) AS distance FROM d"""
 def ngram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-place distances of each document's n-gram ranks to each language's profile."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d, ids = d.select("doc_id", T.words(F.col("text")).alias("w")), d.select("doc_id")
+    d, ids = d.select("doc_id", T.normalize(F.col("text")).alias("w")), d.select("doc_id")
     if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows of one doc_id are one document; only then words move
-        d = d.groupBy("doc_id").agg(F.flatten(F.collect_list("w")).alias("w"))
-    m = d.select("doc_id", language.measured(F.col("w")).alias("m")).where("m.grams > 0")
+        d = d.groupBy("doc_id").agg(F.array_join(F.collect_list("w"), " ").alias("w"))
+    m = d.select("doc_id", language.measured_text(F.col("w")).alias("m")).where("m.grams > 0")
     at = m.select("doc_id", F.posexplode("m.distance").alias("k", "distance"))
     return at.select("doc_id", F.get(T.strings(list(language.PROFILES)), F.col("k")).alias("lang"), "distance")
 
