@@ -90,6 +90,23 @@ def test_repeated_rows_and_nothing(spark):
     assert pivots.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_no_side_of_a_join_is_gathered_on_the_driver(spark, monkeypatch):
+    """Lists come out of a small file, so the planner broadcast their sizes, a million rows of them at 6 GB."""
+    plans, written = [], pivots.written
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(pivots, "written", noted)
+    r = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, x, 0) for i, x in enumerate(r.normal(size=(300, 8)).tolist())], "vec_id long, embedding array<float>, label int")
+    out = pivots.near_duplicates(v, 0.9)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(out.collect()) == 300 and sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_sample_sends_the_driver_no_more_than_it_needs(spark):
     rows = [(i, [float(i % 7 + 1), float(i)]) for i in range(4000)]
     classes = spark.createDataFrame(rows, "node long, embedding array<float>").repartition(8)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import dropped, written
+from .shared import dropped, ungathered, written
 
 #: Edges that one task joins by itself (a few MB); while more are left, shuffles contract them.
 PER_TASK = 200_000
@@ -33,14 +33,14 @@ def components(edges: DataFrame, per_task: int = PER_TASK) -> DataFrame:
         else:
             p = written(pointed(e, turn), "parents")
             b = p.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-            nxt = e.join(p, "a").select("b", "p").join(b, "b").where("p <> pb")
+            nxt = e.join(ungathered(p), "a").select("b", "p").join(ungathered(b), "b").where("p <> pb")
             nxt = written(nxt.select(F.least("p", "pb").alias("a"), F.greatest("p", "pb").alias("b")).distinct(), "edges")
         dropped(e)
         if found is None:
             found = p
         else:
             old, step = found, p.select(F.col("a").alias("p"), F.col("p").alias("p2"))
-            found = written(old.join(step, "p", "left").select("a", F.coalesce("p2", "p").alias("p")), "found")
+            found = written(old.join(ungathered(step), "p", "left").select("a", F.coalesce("p2", "p").alias("p")), "found")
             for done in (old, p):
                 dropped(done)
         if nxt is None:

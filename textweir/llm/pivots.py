@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import by_class, dropped, partitions, written
+from .shared import by_class, dropped, partitions, ungathered, written
 
 NEAREST, BLOCK, APART, SMALL = 5, 1024, 0.8, 128
 #: Pivots number about PER_ROOT times the root of the vectors, within these bounds; the sample is SAMPLE times as large.
@@ -124,7 +124,7 @@ def listed(posted: DataFrame, block: int) -> DataFrame:
     lists = posted.withColumn("near", F.array_sort("near")).select("label", "dim", "node", "near", F.explode(F.when(F.size("near") > 1, pairs).otherwise(none)).alias("x")).select("label", "dim", "x.p", "x.q", "node", "near")
     sizes = lists.groupBy("label", "dim", "p", "q").agg(F.count(F.lit(1)).alias("n"))
     blocks = sizes.where("n > 1").withColumn("nb", F.ceil(F.col("n") / block).cast("int")).drop("n")
-    lists = lists.join(blocks, ["label", "dim", "p", "q"]).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    lists = lists.join(ungathered(blocks), ["label", "dim", "p", "q"]).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return lists.select("label", "dim", "p", "q", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk", "node", "near")
 
@@ -260,15 +260,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, pivots: int | None
     if pivots is None:
         pivots = min(MOST, max(FEWEST, int(PER_ROOT * total**0.5)))
     posted = written(postings(classes, choose(classes, pivots, total), near), "postings")
-    lists = listed(posted, BLOCK).join(classes.select("node", "n", "embedding"), "node")
+    lists = listed(posted, BLOCK).join(ungathered(classes.select("node", "n", "embedding")), "node")
     found = written(linked(lists, least, n), "links")
     dropped(posted)
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("c").alias("c"))
     comp = components(found.where("b is not null").select("a", "b"))
-    of = classes.select("ka", "kb", "node", "smallest", "n").join(links, "node", "left").join(comp, "node", "left")
+    of = classes.select("ka", "kb", "node", "smallest", "n").join(ungathered(links), "node", "left").join(ungathered(comp), "node", "left")
     of = of.withColumn("component", F.coalesce("component", "node"))
     smallest = of.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    of = written(of.join(smallest, "component").select("ka", "kb", (F.col("n") - 1 + F.coalesce("c", F.lit(0))).alias("n_links"), "component_id", "n"), "linked")
+    of = written(of.join(ungathered(smallest), "component").select("ka", "kb", (F.col("n") - 1 + F.coalesce("c", F.lit(0))).alias("n_links"), "component_id", "n"), "linked")
     out = by_class(good.select("vec_id", "ka", "kb"), of, ["ka", "kb"]).select("vec_id", "n_links", "component_id")
     out = out.unionByName(v.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
