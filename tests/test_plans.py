@@ -271,6 +271,21 @@ def test_ngram_language_joins_rows_of_one_document(spark, tmp_path):
     assert {k for k, _ in by} == {1, 2} and all(by[1, lang] == by[2, lang] for lang in LG.PROFILES)
 
 
+def test_languages_of_the_rail_are_named_in_batches(spark):
+    """As by expressions, which sorted every n-gram of a text and of each clause; what is blocked already is not sent."""
+    texts = [*SAID, *[t + ". " + u for t in SAID[:4] for u in SAID[5:9]], *[" ".join(t.split()[:k]) for t in SAID for k in (11, 12, 13, 23, 24)], "De der\n" + SAID[8].upper() + " ﬁn", SAID[6] + " " + SAID[8], "и в не на что по это как за то все она так его"]
+    for supported in (["en", "nl"], ["en"], ["de"]):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+        parts = df.select("i", F.explode(F.concat(F.array("text"), T.clauses(F.col("text")))).alias("p"), T.words(F.col("p")).alias("w")).where("size(w) >= 12")
+        known, x, long = T.function_word_language(F.col("w")), LG.named(F.col("w")), F.size("w") >= 24
+        guess = (known == "unknown") & x.isin("en", "nl") & x.isin(*supported)
+        want = {r.i for r in parts.where(~known.isin(*supported) & ~guess & (long | (x != "unknown") & ~x.isin(*supported))).collect()}
+        seen = Engine([R.language(tuple(supported))]).run(df, side="context")
+        assert {r.i for r in seen.where("not verdict.certain").collect()} == want and 0 < len(want) < len(texts)
+    plan = Engine([R.injected_instructions(), R.language()]).run(df, side="context")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "array_sort" not in plan
+
+
 def test_language_rail_bands(spark):
     german = "der hund und die katze sind nicht mit dem ball auf dem dach"  # 12 words
     texts = [german, " ".join(german.split()[:11]), "alpha beta gamma delta " * 3, "alpha beta gamma delta " * 6, f"This is a page of the service and it is for all of the users that have it. {german}.", SAID[5], SAID[6], None]

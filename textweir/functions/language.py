@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -179,6 +180,16 @@ def measures_of(texts: list[str]) -> list[tuple[int, list[int]]]:
 ROWS, CHARS = 256, 1 << 20
 
 
+def blocks(many: pa.Array, texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, end) of rows that are measured together, of which each has so many of the texts."""
+    size = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(texts), 0).to_numpy()))[np.cumsum(pc.fill_null(many, 0).to_numpy())]
+    k = 0
+    while k < len(many):
+        to = max(k + 1, min(k + ROWS, int(np.searchsorted(size, (size[k - 1] if k else 0) + CHARS, "right"))))
+        yield k, to
+        k = to
+
+
 def measured(words: Column) -> Column:
     """struct<grams, distance>: as ranked() and distances(), counted in Arrow batches; not for use inside lambdas.
 
@@ -192,12 +203,9 @@ def measured_text(text: Column) -> Column:
 
     @F.arrow_udf("grams int, distance array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
-        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
-        found, k = [], 0
-        while k < len(texts):
-            to = max(k + 1, min(k + ROWS, int(np.searchsorted(size, (size[k - 1] if k else 0) + CHARS, "right"))))
+        found = []
+        for k, to in blocks(pa.array(np.ones(len(texts), np.int32)), texts):
             found += measures_of([t or "" for t in texts.slice(k, to - k).to_pylist()])
-            k = to
         return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int32()), pa.array([d for _, d in found], pa.list_(pa.int64()))], ["grams", "distance"])
 
     return of.asNondeterministic()(text)  # else a filter on what it gives is moved below and counts every text again
@@ -229,16 +237,55 @@ def foreign(words: Column, supported: list[str]) -> Column:
     return T.let(named(words), lambda x: (x != "unknown") & ~x.isin(*supported))
 
 
-def unread(text: Column, supported: list[str]) -> Column:
-    """Whether a text of twelve words or more is in no supported language; under twice that, only where another one is named."""
+FUNCTION_WORDS = {code: frozenset(own) for code, own in V.FUNCTION_WORDS.items()}
+
+
+def by_function_words(words: list[str]) -> str:
+    """T.function_word_language() of a list of words."""
+    best = (-1, 0.0, "unknown")
+    for code, own in FUNCTION_WORDS.items():
+        hits, share = len(own.intersection(words)), sum(w in own for w in words) / len(words)
+        if hits > best[0] or hits == best[0] and share > best[1]:
+            best = (hits, share, code)
+    return best[2] if len(words) >= FLOOR and best[0] >= 3 and best[1] >= 0.04 else "unknown"
+
+
+def name(grams: int, distance: list[int]) -> str:
+    """The language of what measures() gives for six words or more, as named() names it."""
+    (best, k), (second, _) = sorted((d, k) for k, d in enumerate(distance))[:2]
+    return list(PROFILES)[k] if grams >= LEAST_GRAMS and best < NEARER * second else "unknown"
+
+
+def unreads(texts: list[str], supported: list[str]) -> list[bool]:
+    """Whether each normalised text of twelve words or more is in no supported language; under twice that, only where another one is named."""
+    out, open_ = [False] * len(texts), []
+    for i, t in enumerate(texts):
+        words = [w for w in t.split(" ") if w]
+        if len(words) >= FLOOR and (known := by_function_words(words)) not in supported:
+            if known != "unknown" and len(words) >= 2 * FLOOR:
+                out[i] = True
+            else:
+                open_.append((i, known, len(words)))
+    for (i, known, n), m in zip(open_, measures_of([texts[i] for i, _, _ in open_]), strict=True):
+        x = name(*m)
+        guess = known == "unknown" and x in FUNCTION_WORDS and x in supported
+        out[i] = not guess and (n >= 2 * FLOOR or x != "unknown" and x not in supported)
+    return out
 
-    def of(w: Column) -> Column:
-        known = T.function_word_language(w)
 
-        def other(x: Column) -> Column:
-            guess = (known == "unknown") & x.isin(*V.FUNCTION_WORDS) & x.isin(*supported)
-            return ~guess & ((F.size(w) >= 2 * FLOOR) | ((x != "unknown") & ~x.isin(*supported)))
+def any_unread(parts: Column, supported: list[str]) -> Column:
+    """Whether any of an array of normalised texts is unread, looked at in Arrow batches; not for use inside lambdas. The first is looked at first, the others where it is not."""
 
-        return F.when((F.size(w) < FLOOR) | known.isin(*supported), False).otherwise(T.let(named(w), other))
+    @F.arrow_udf("boolean")
+    def of(rows: pa.Array) -> pa.Array:
+        out: list[bool] = []
+        for k, to in blocks(pc.list_value_length(rows), rows.flatten()):
+            some = [[t or "" for t in r or ()] for r in rows.slice(k, to - k).to_pylist()]
+            found = unreads([r[0] if r else "" for r in some], supported)
+            rest = [(i, t) for i, r in enumerate(some) if not found[i] for t in r[1:]]
+            for (i, _), x in zip(rest, unreads([t for _, t in rest], supported), strict=True):
+                found[i] = found[i] or x
+            out += found
+        return pa.array(out, pa.bool_())
 
-    return T.let(T.words(text), of)
+    return of(parts)

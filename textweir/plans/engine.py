@@ -52,7 +52,9 @@ class Engine:
         for r in rails:
             s = F.col(STATE)
             # a blocked row is not looked at again: CASE branches are lazy in built-in expressions
-            seen = F.when(s["rail"].isNull() & s["content"].isNotNull(), r.decide(s["content"], ctx))
+            # what runs in Python is not lazy: such rails ask whether the row is still live
+            live = s["rail"].isNull() & s["content"].isNotNull()
+            seen = F.when(live, r.decide(s["content"], {**ctx, "live": live}))
             out = out.withColumn(STATE, T.let(seen, folded(r, s)))
         s = F.col(STATE)
         modified = F.size(s["rewritten_by"]) > 0
