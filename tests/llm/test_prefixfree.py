@@ -63,6 +63,22 @@ def test_matches_brute_force(spark, tmp_path, monkeypatch, hot):
     assert got(queries.op8_repeats(spark, str(tmp_path))) == brute(rows)
 
 
+def test_turns_share_out_the_windows(spark, monkeypatch):
+    """All windows that are compared lay on disk at once, half as much again as the texts."""
+    docs = spark.createDataFrame([r for r in corpus() if r[0] is not None], "doc_id long, text string")
+    first = prefixfree.written(prefixfree.dictionary(prefixfree.phrase_blocks(docs, 4), 4), "phrases")
+
+    def runs(turn, turns):
+        cols = [prefixfree.unpack(r.block, *[prefixfree.RUN[f] for f in prefixfree.RUN.names], np.dtype("u1"))[:-1] for r in prefixfree.window_blocks(docs, first, 4, turn, turns).collect()]
+        return sorted(x for c in cols for x in zip(*[a.tolist() for a in c], strict=True))
+
+    every, shares = runs(0, 1), [runs(k, prefixfree.TURNS) for k in range(prefixfree.TURNS)]
+    assert sorted(sum(shares, [])) == every and max(map(len, shares)) < 0.75 * len(every)
+    monkeypatch.setattr(prefixfree, "FEW", 0)  # as for a large corpus
+    assert got(prefixfree.remove_repeats(docs)) == brute([r for r in corpus() if r[0] is not None])
+    assert not {x[0] for x in shares[0]} & {x[0] for x in shares[1]}  # a trigger string has one turn
+
+
 def test_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     df = prefixfree.remove_repeats(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))

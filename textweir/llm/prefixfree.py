@@ -15,7 +15,7 @@ What moves between executors are packed blocks of fixed-size entries: 96 bits th
 that identify a window within its group, and places. Each task first merges equal entries of its own
 rows, so that a phrase that fills a third of the corpus arrives once from each task. A trigger string with
 many distinct phrases in one task is split by content, with one witness sent to its group, which keeps
-all its phrases in step 2. Nothing is sampled or capped; texts move three times, compressed.
+all its phrases in step 2. Nothing is sampled or capped; texts move twice, and once more for each of the TURNS of step 2, compressed.
 
 Null texts are empty. Texts shorter than LENGTH keep all bytes. Rows that repeat a doc_id are ordered
 by text, then arrival, and each is returned; rows with a null doc_id come before all others. Extra columns are ignored.
@@ -43,6 +43,9 @@ PLACE = np.dtype([("doc", "<i8"), ("row", "<u4"), ("at", "<u4"), ("n", "<u2")])
 #: A group of up to 16 windows of a phrase: k, distance of its first window from the trigger, place, windows, then their hashes.
 RUN = np.dtype([("k", "<u4"), ("d", "u1"), ("doc", "<i8"), ("row", "<u4"), ("at", "<u4"), ("n", "u1")])
 NULL = np.iinfo(np.int64).min
+#: Step 2 runs in so many turns, each over a share of the trigger strings, as its windows are the most that lies on disk at once; equal ones have one
+#: trigger string. Each turn reads all texts, so phrases to compare whose packed places take no more than FEW bytes have a single turn.
+TURNS, TURN, FEW = 2, H.U(0x9E3779B97F4A7C15), 1 << 24
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -227,8 +230,8 @@ def dictionary(blocks: DataFrame, n: int) -> DataFrame:
     return dealt(blocks, n).mapInArrow(run, BLOCK)
 
 
-def window_blocks(docs: DataFrame, kept: DataFrame, n: int) -> DataFrame:
-    """Windows of the phrases that are compared: kind 4, by trigger string and distance."""
+def window_blocks(docs: DataFrame, kept: DataFrame, n: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """Windows of the phrases that are compared: kind 4, by trigger string and distance; those of the trigger strings whose turn it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _part, blocks in by_part(batches):
@@ -271,7 +274,9 @@ def window_blocks(docs: DataFrame, kept: DataFrame, n: int) -> DataFrame:
                     e["at"] = y["at"][own][extra] + (top[extra] - e_hi)
                     e["d"], e["n"] = e_hi, e_hi - low2 + 1
                     z, own = np.concatenate([z, e]), np.concatenate([own, own[extra]])
-                ok = z["n"] > 0
+                ok = (z["n"] > 0) & (H.mix(z["k"].astype(H.U) ^ TURN) % H.U(turns) == H.U(turn))
+                if not ok.any():
+                    continue
                 z, own = z[ok], own[ok]
                 h = z["n"].astype(np.int64)
                 start = np.repeat(o[r][own] + z["at"] - (np.cumsum(h) - h), h) + np.arange(h.sum())
@@ -362,5 +367,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, null unless with_text) of every row."""
     n = partitions(docs.sparkSession)
     first = written(dictionary(phrase_blocks(docs, n), n), "phrases")
-    second = written(compared(window_blocks(docs, first, n), n), "windows")
-    return final(docs, first.where("kind = 2").unionByName(second), n, with_text)
+    repeats = first.where("kind = 2")
+    turns = TURNS if (first.where("kind = 3").agg(F.sum(F.length("block"))).head()[0] or 0) > FEW else 1
+    for turn in range(turns):
+        repeats = repeats.unionByName(written(compared(window_blocks(docs, first, n, turn, turns), n), "windows"))
+    return final(docs, repeats, n, with_text)
